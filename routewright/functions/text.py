@@ -33,8 +33,14 @@ def clean_title(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Upper-case a letter that follows any non-letter, lower-case the rest."""
     pieces = F.split(F.lower(c), r"(?<=[^\p{Ll}\p{Lu}\p{Lt}])(?=[\p{Ll}\p{Lu}\p{Lt}])")
-    cased = F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p))))
-    return F.array_join(cased, "")
+
+
+    def capital(piece: Column) -> Column:
+        first = F.substring(piece, 1, 1)
+        # The one letter here whose title form has two letters.
+        return F.concat(F.when(first == "ß", "Ss").otherwise(F.upper(first)), piece.substr(F.lit(2), F.length(piece)))
+
+    return F.array_join(F.transform(pieces, capital), "")
 
 
 def geocode_key(city: Column, country: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewright.functions import geo
+from routewright.session import cut_lineage
 
 # Cell sides in degrees for far searches, from continents down.
 _DESCENT = [45.0, 5.625, 0.703125, 0.087890625, 0.010986328125]
@@ -83,9 +84,11 @@ def nearest(
     close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id").agg(
         F.min(F.struct(distance.alias("distance"), F.col("t_id"))).alias("_best")
     ).filter(F.col("_best.distance") <= near)
+    close = cut_lineage(close)
     rest = src.select(*on, "src_id", "lat", "lon").join(close.select("src_id"), "src_id", "left_anti")
-    far = _far_nearest(rest, targets, on, radius)
-    return close.unionByName(far).select(*on, "src_id", F.col("_best.t_id").alias("t_id"), "_best.distance")
+    if not rest.isEmpty():
+        close = close.unionByName(_far_nearest(rest, targets, on, radius))
+    return close.select(*on, "src_id", F.col("_best.t_id").alias("t_id"), "_best.distance")
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, near_m: float = 250.0) -> DataFrame:

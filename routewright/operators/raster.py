@@ -16,25 +16,44 @@ ELLIPSE_5 = [(0, -2)] + [(dx, dy) for dy in (-1, 0, 1) for dx in range(-2, 3)] +
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
 
-def hsv(b: Column, g: Column, r: Column) -> Column:
-    """struct(h 0..180, s 0..255, v 0..255) of 8-bit colour, rounded to whole numbers."""
+def saturation(b: Column, g: Column, r: Column) -> Column:
+    """0..255 saturation of 8-bit colour, rounded to a whole number."""
     v = F.greatest(b, g, r)
-    spread = v - F.least(b, g, r)
-    some = F.nullif(spread, F.lit(0))
-    s = F.coalesce(F.floor(spread * 255.0 / F.nullif(v, F.lit(0)) + 0.5), F.lit(0)).cast("int")
-    sixth = F.when(v == r, (g - b) / some).when(v == g, (b - r) / some + 2.0).otherwise((r - g) / some + 4.0)
-    degrees = F.pmod(sixth * 60.0, F.lit(360.0))
-    h = F.coalesce(F.pmod(F.floor(degrees / 2.0 + 0.5), F.lit(180)), F.lit(0)).cast("int")
-    return F.struct(h.alias("h"), s.alias("s"), v.alias("v"))
+    return F.coalesce(F.floor((v - F.least(b, g, r)) * 255.0 / F.nullif(v, F.lit(0)) + 0.5), F.lit(0))
+
+
+def signed_hue(b: Column, g: Column, r: Column) -> Column:
+    """Hue of 8-bit colour in half degrees, -30..150: 0 is red and negative values stand for 180 more."""
+    v = F.greatest(b, g, r)
+    third = F.when(v == r, g - b).when(v == g, b - r).otherwise(r - g)
+    turn = F.when(v == r, 0.0).when(v == g, 60.0).otherwise(120.0)
+    return F.coalesce(F.floor(third * 30.0 / F.nullif(v - F.least(b, g, r), F.lit(0)) + turn + 0.5), F.lit(0))
+
+
+def _signed_bands(bands: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Hue bands on the signed scale, merged where they touch."""
+    signed = sorted(
+        (max(low - shift, -30), min(high - shift, 150)) for low, high in bands for shift in (0, 180)
+        if low - shift <= 150 and high - shift >= -30
+    )
+    merged: list[tuple[int, int]] = []
+    for low, high in signed:
+        if merged and low <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged
 
 
 def stroke_mask(pixels: DataFrame, s_min: int = 90, v_min: int = 60) -> DataFrame:
     """Pixels (image_id, x, y) of a drawn stroke: saturated, bright enough, hue in a stroke band."""
-    banded = pixels.withColumn("_c", hsv(F.col("b"), F.col("g"), F.col("r")))
+    b, g, r = F.col("b"), F.col("g"), F.col("r")
     hue = F.lit(False)
-    for low, high in dims.STROKE_HUE_BANDS:
-        hue = hue | F.col("_c.h").between(low, high)
-    return banded.filter((F.col("_c.s") >= s_min) & (F.col("_c.v") >= v_min) & hue).select("image_id", "x", "y")
+    for low, high in _signed_bands(dims.STROKE_HUE_BANDS):
+        hue = hue | signed_hue(b, g, r).between(low, high)
+    return pixels.filter((F.greatest(b, g, r) >= v_min) & (saturation(b, g, r) >= s_min) & hue).select(
+        "image_id", "x", "y"
+    )
 
 
 def image_sizes(pixels: DataFrame) -> DataFrame:
@@ -87,9 +106,10 @@ def morph_close(
 
 def saturated_mask(pixels: DataFrame, s_min: int = 110, v_min: int = 70) -> DataFrame:
     """Strongly coloured pixels, dilated by a 5x5 ellipse inside the image."""
-    coloured = pixels.withColumn("_c", hsv(F.col("b"), F.col("g"), F.col("r"))).filter(
-        (F.col("_c.s") >= s_min) & (F.col("_c.v") >= v_min)
-    ).select("image_id", "x", "y")
+    b, g, r = F.col("b"), F.col("g"), F.col("r")
+    coloured = pixels.filter((F.greatest(b, g, r) >= v_min) & (saturation(b, g, r) >= s_min)).select(
+        "image_id", "x", "y"
+    )
     return dilate(coloured, ELLIPSE_5, image_sizes(pixels))
 
 
