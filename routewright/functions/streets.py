@@ -51,15 +51,17 @@ def looks_like_street(text: Column) -> Column:
 
 def _one_site_each(name: Column, marked: Column, dropped: int, inserted: str) -> Column:
     """Variants that change one marked site each: drop ``dropped`` characters after the mark, insert text there."""
-    pieces = F.split(marked, _MARK)
+    def variants(pieces: Column) -> Column:
+        def change(site: Column) -> Column:
+            head = F.array_join(F.slice(pieces, 1, site), "")
+            tail = F.array_join(F.slice(pieces, site + 1, F.size(pieces)), "")
+            return F.concat(head, F.lit(inserted), F.substr(tail, F.lit(dropped + 1)))
 
-    def change(site: Column) -> Column:
-        head = F.array_join(F.slice(pieces, 1, site), "")
-        tail = F.array_join(F.slice(pieces, site + 1, F.size(pieces)), "")
-        return F.concat(head, F.lit(inserted), tail.substr(F.lit(dropped + 1), F.length(tail)))
+        sites = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1))
+        return F.transform(F.coalesce(sites, F.array().cast("array<int>")), change)
 
-    sites = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(sites, change)
+    # Mapping over the one split result binds it to a name, so it is computed once.
+    return F.flatten(F.transform(F.array(F.split(marked, _MARK)), variants))
 
 
 def name_variants(name: Column, limit: int = 6) -> Column:

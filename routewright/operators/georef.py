@@ -27,7 +27,7 @@ def control_points(anchors: DataFrame, matches: DataFrame, clusters: DataFrame)
     )
     d_lat, d_lon = F.col("lat") - F.col("c_lat"), F.col("lon") - F.col("c_lon")
     chosen = inside.groupBy("image_id", "street").agg(
-        F.min_by(F.struct("lat", "lon"), F.struct(d_lat * d_lat + d_lon * d_lon, "hit_no")).alias("_p")
+        F.min_by(F.struct("lat", "lon"), F.struct(F.round(d_lat * d_lat + d_lon * d_lon, 12), "hit_no")).alias("_p")
     )
     pixels = anchors.select("image_id", F.col("normalized").alias("street"), "x_px", "y_px", "confidence")
     return pixels.join(chosen, ["image_id", "street"]).select(

@@ -220,7 +220,7 @@ def best_hypothesis(spark, d):
 @query(f"""SELECT image_id, label, x_px, y_px, {s6('lat', 'lat')}, {s6('lon', 'lon')}, confidence AS weight FROM (
              SELECT a.image_id, a.normalized AS label, a.x_center AS x_px, a.y_center AS y_px, a.confidence, m.lat, m.lon,
                     row_number() OVER (PARTITION BY a.image_id, a.normalized ORDER BY
-                      (m.lat - b.lat) * (m.lat - b.lat) + (m.lon - b.lon) * (m.lon - b.lon), m.hit_no) AS n
+                      round((m.lat - b.lat) * (m.lat - b.lat) + (m.lon - b.lon) * (m.lon - b.lon), 12), m.hit_no) AS n
              FROM ({_s_candidates('labels', 0.2)}) AS a JOIN ({_s_matches('labels')}) AS m ON m.image_id = a.image_id AND m.street = a.normalized
              JOIN ({_BEST}) AS b ON b.image_id = a.image_id
              WHERE m.lat BETWEEN b.min_lat AND b.max_lat AND m.lon BETWEEN b.min_lon AND b.max_lon) AS c WHERE n = 1""")
