@@ -98,7 +98,7 @@ def snap_to_nodes(points: DataFrame, nodes: DataFrame, near_m: float = 250.0) ->
     ).select("src_id", F.col("t_id").alias("node"), F.col("distance").alias("distance_m"))
 
 
-def mean_nearest(src: DataFrame, dst: DataFrame, key: str, near_m: float = 60.0) -> DataFrame:
+def mean_nearest(src: DataFrame, dst: DataFrame, key: str, near_m: float = 250.0) -> DataFrame:
     """Mean over a line's points of the distance to the nearest point of the other line with the same key.
 
     Repeated coordinates are folded into one weighted point first, so they cost one lookup. A line whose counterpart is

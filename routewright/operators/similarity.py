@@ -90,33 +90,37 @@ def _swept_intervals(line: DataFrame, origin: DataFrame, key: str, buffer_m: flo
         key, "seq", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0")).alias("x"),
         geo.local_y(F.col("lat"), F.col("lat0")).alias("y"),
     )
+    r = F.lit(buffer_m)
+    length = F.nullif(F.hypot(F.col("next.x") - F.col("x"), F.col("next.y") - F.col("y")), F.lit(0.0))
+    # Per segment: its ends, the offset (nx, ny) to its side edges, and how far an edge moves in x per unit of y.
     pairs = segments(local, [key], ["x", "y"]).filter(F.col("next").isNotNull()).select(
-        key, "x", "y", F.col("next.x").alias("x2"), F.col("next.y").alias("y2")
+        key, "x", "y", F.col("next.x").alias("x2"), F.col("next.y").alias("y2"),
+        (-(F.col("next.y") - F.col("y")) / length * r).alias("nx"),
+        ((F.col("next.x") - F.col("x")) / length * r).alias("ny"),
+        ((F.col("next.x") - F.col("x")) / F.nullif(F.col("next.y") - F.col("y"), F.lit(0.0))).alias("lean"),
+        F.explode(F.sequence(
+            F.ceil((F.least("y", "next.y") - buffer_m) / row_height - 0.5),
+            F.floor((F.greatest("y", "next.y") + buffer_m) / row_height - 0.5),
+        )).alias("row"),
     )
-    low = F.ceil((F.least("y", "y2") - buffer_m) / row_height - 0.5)
-    high = F.floor((F.greatest("y", "y2") + buffer_m) / row_height - 0.5)
-    rows = pairs.withColumn("row", F.explode(F.sequence(low, high))).withColumn(
-        "h", (F.col("row") + 0.5) * row_height
+    at = (F.col("row") + 0.5) * row_height
+    # Height of the scanline over both ends; half widths of the end discs there.
+    rows = pairs.select(key, "row", "x", "x2", "nx", "ny", "lean", (at - F.col("y")).alias("h1"), (at - F.col("y2")).alias("h2"))
+
+    def half(h: str) -> Column:
+        return F.when(F.abs(h) <= r, F.sqrt(r * r - F.col(h) * F.col(h)))
+
+    def edge(sign: int) -> Column:
+        up1, up2 = F.col("h1") - sign * F.col("ny"), F.col("h2") - sign * F.col("ny")
+        return F.when(up1 * up2 <= 0, F.col("x") + sign * F.col("nx") + up1 * F.col("lean"))
+
+    ends = rows.select(
+        key, "row", "x", "x2", half("h1").alias("w1"), half("h2").alias("w2"), edge(1).alias("e1"), edge(-1).alias("e2")
     )
-    r = F.lit(buffer_m)
-    length = F.nullif(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")), F.lit(0.0))
-    normal_x = -(F.col("y2") - F.col("y")) / length * r
-    normal_y = (F.col("x2") - F.col("x")) / length * r
-
-    def disc(cx: str, cy: str) -> list[Column]:
-        rise = F.col("h") - F.col(cy)
-        half = F.sqrt(r * r - rise * rise)
-        return [F.when(F.abs(rise) <= r, F.col(cx) - half), F.when(F.abs(rise) <= r, F.col(cx) + half)]
-
-    def edge(sign: int) -> list[Column]:
-        y1, y2 = F.col("y") + sign * normal_y, F.col("y2") + sign * normal_y
-        share = (F.col("h") - y1) / F.nullif(y2 - y1, F.lit(0.0))
-        crosses = share.between(0.0, 1.0)
-        return [F.when(crosses, F.col("x") + sign * normal_x + share * (F.col("x2") - F.col("x")))]
-
-    ends = disc("x", "y") + disc("x2", "y2") + edge(1) + edge(-1)
-    return rows.select(key, "row", F.lit(side).alias("side"), F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi")).filter(
-        F.col("lo") < F.col("hi")
+    return ends.select(
+        key, "row", F.lit(side).alias("side"),
+        F.least(F.col("x") - F.col("w1"), F.col("x2") - F.col("w2"), "e1", "e2").alias("lo"),
+        F.greatest(F.col("x") + F.col("w1"), F.col("x2") + F.col("w2"), "e1", "e2").alias("hi"),
     )
 
 
@@ -137,7 +141,8 @@ def buffered_iou(a: DataFrame, b: DataFrame, key: str, buffer_m: float = BUFFER_
     )).alias("_e")).select(
         key, "row", "_e.x", F.when(F.col("_e.side") == 1, F.col("_e.step")).otherwise(0).alias("da"),
         F.when(F.col("_e.side") == 2, F.col("_e.step")).otherwise(0).alias("db"),
-    ).groupBy(key, "row", "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    )
+    # Events at one x may come in any order: what lies between them has no width.
     along = Window.partitionBy(key, "row").orderBy("x")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     spans = events.select(

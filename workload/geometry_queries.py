@@ -261,9 +261,12 @@ def pixel_degree(spark, d):
     return raster.pixel_degree(_stroke(spark, d)[0])
 
 
-@query(f"SELECT image_id, x, y FROM ({_DEGREE}) AS g WHERE degree = 1")
+_COLUMN = "x = 5 + image_id % 7 AND y % 12 <> 7"
+
+
+@query(f"SELECT image_id, x, y FROM ({_DEGREE.replace(f'({S_STROKE})', f'(SELECT * FROM ({S_STROKE}) AS k WHERE {_COLUMN})')}) AS g WHERE degree = 1")
 def endpoints(spark, d):
-    return raster.endpoints(_stroke(spark, d)[0])
+    return raster.endpoints(_stroke(spark, d)[0].filter(_COLUMN))
 
 
 @query(f"""WITH RECURSIVE m AS ({S_STROKE}), reach AS (SELECT image_id, x AS rx, y AS ry, x, y FROM m

@@ -1 +1,112 @@
-"""."""
+"""Whole jobs and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from routewright.plans import jobs
+from routewright.session import staging_path
+from routewright.streaming import jobs as streams
+from workload.catalogue_queries import _GEOCODED
+from workload.fixtures import STAMP, derive, table
+from workload.registry import query, r6, s6
+
+# Work rows for the image jobs: one catalogue row per image of the label fixture.
+_IMAGES = f"""
+    SELECT DISTINCT image_id AS id, 'Image ' || CAST(image_id AS STRING) AS title, 'shapes' AS category, CAST(NULL AS STRING) AS subcategory,
+      CAST(NULL AS STRING) AS city, CAST(NULL AS STRING) AS country, CASE WHEN image_id % 7 = 0 THEN 1D END AS lat, CASE WHEN image_id % 7 = 0 THEN 1D END AS lon,
+      0D AS geocode_confidence, 'title' AS geocode_source, CAST(NULL AS STRING) AS ocr_streets, CAST(NULL AS STRING) AS ocr_attempted_at,
+      'https://img.example.org/i' || CAST(image_id AS STRING) AS image_url, 'https://site.example.org' AS page_url, CAST(NULL AS DOUBLE) AS distance_estimate_km,
+      '{STAMP}' AS scraped_at, CAST(NULL AS STRING) AS gpx_path, CAST(NULL AS DOUBLE) AS reconstruction_confidence,
+      CAST(NULL AS STRING) AS reconstruction_attempted_at, CAST(NULL AS STRING) AS reconstruction_failure FROM [streets]"""
+
+
+@query()
+def label_geocode_batch(spark, d):
+    rows, outcomes = jobs.label_geocode_batch(
+        derive(spark, d, _IMAGES), derive(spark, d, "fragments"), derive(spark, d, "gazetteer"), STAMP
+    )
+    return outcomes.select("id", "fragments", "candidates", "matched", r6("cluster_lat"), r6("cluster_lon"), r6("confidence"), "streets_json").join(
+        rows.select("id", "geocode_source", "city"), "id"
+    )
+
+
+@query()
+def reconstruct_batch(spark, d):
+    work = derive(spark, d, _IMAGES).withColumns({"lat": F.lit(1.0), "lon": F.lit(1.0)})
+    nodes = derive(spark, d, """SELECT id, 40 + CAST(id % 30 AS DOUBLE) + CAST(floor(id / 30) AS DOUBLE) / 2000 AS lat,
+                                CAST(id % 30 AS DOUBLE) - 10 + CAST(floor(id / 30) AS DOUBLE) / 2500 AS lon FROM [nodes]""")
+    edges = derive(spark, d, "SELECT u, v, length FROM [edges]")
+    _, outcomes = jobs.reconstruct_batch(
+        work, derive(spark, d, "pixels"), derive(spark, d, "fragments"), derive(spark, d, "gazetteer"), nodes, edges, STAMP,
+        min_area=100,
+    )
+    return outcomes.select("id", "failure", "n_gcps", r6("confidence"), r6("fidelity_score"), "gpx_path")
+
+
+@query(f"""SELECT t.image_url, t.title, g.city, g.country, {s6('g.lat', 'lat')}, g.position + 1 AS id FROM ({_GEOCODED}) AS g JOIN [titles] AS t ON t.position = g.position""")
+def stream_index(spark, d):
+    source, changes = staging_path(spark, "arrivals"), staging_path(spark, "changes")
+    derive(spark, d, "titles").drop("position").coalesce(1).write.json(source)
+    tiles = spark.readStream.schema("title string, image_url string, thumbnail_url string, category string, page_url string, scraped_at string").json(source)
+    streams.stream_index(tiles, derive(spark, d, "place_hits"), changes, staging_path(spark, "checkpoint")).awaitTermination()
+    base = derive(spark, d, "catalogue").filter("id < 0")
+    current = streams.current_catalogue(base, streams.read_changes(spark, changes))
+    return current.select("image_url", "title", "city", "country", r6("lat"), "id")
+
+
+_ATTEMPTS = "SELECT event_id % 500 AS id, CAST(floor(event_id / 500) AS BIGINT) % 3 AS attempt_no, ts AS attempted_ts, event_type AS outcome FROM {events}"
+
+
+@query(f"""SELECT id, attempt_no, outcome, strftime(attempted_ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY attempted_ts DESC, attempt_no DESC) AS n
+           FROM ({_ATTEMPTS}) AS a) AS l WHERE n = 1""")
+def latest_attempts(spark, d):
+    latest = streams.latest_attempts(derive(spark, d, _ATTEMPTS))
+    return latest.select("id", "attempt_no", "outcome", F.date_format("attempted_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
+def _event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("SELECT event_id AS id, event_type AS outcome FROM {events}")
+def stream_attempts(spark, d):
+    ledger = staging_path(spark, "ledger")
+    attempts = _event_stream(spark, d).select(
+        F.col("event_id").alias("id"), F.explode(F.array(F.lit(0), F.lit(0))).alias("attempt_no"),
+        F.col("ts").alias("attempted_ts"), F.col("event_type").alias("outcome"),
+    )
+    streams.stream_attempts(attempts, ledger, staging_path(spark, "checkpoint"), "40 days").awaitTermination()
+    return spark.read.option("basePath", ledger).parquet(ledger).select("id", "outcome")
+
+
+_SHARES = "SELECT event_id AS share_id, ts AS created_at, props AS payload FROM {events}"
+_LIVE = """SELECT event_id AS share_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM {events}
+           WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL 7 DAY ORDER BY ts DESC, event_id LIMIT 1024"""
+
+
+def _shown(df):
+    return df.select("share_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
+@query(_LIVE)
+def live_shares(spark, d):
+    now = table(spark, d, "events").agg(F.max("ts")).scalar()
+    return _shown(streams.live_shares(derive(spark, d, _SHARES), now))
+
+
+@query(_LIVE)
+def stream_shares(spark, d):
+    emitted = staging_path(spark, "shares")
+    shares = _event_stream(spark, d).select(F.col("event_id").alias("share_id"), F.col("ts").alias("created_at"))
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{emitted}/batch_id={batch_id}")
+
+    running = streams.stream_shares(shares).writeStream.outputMode("update").foreachBatch(keep).option(
+        "checkpointLocation", staging_path(spark, "checkpoint")
+    ).trigger(availableNow=True).start()
+    running.awaitTermination()
+    now = table(spark, d, "events").agg(F.max("ts")).scalar()
+    return _shown(streams.merge_shards(spark.read.option("basePath", emitted).parquet(emitted), now))
