@@ -10,6 +10,7 @@ from routewright.functions.scores import cluster_confidence
 from routewright.functions.streets import name_variants
 from routewright.operators.components import connected_components
 from routewright.operators.labels import rank_candidates
+from routewright.session import cut_lineage
 
 # Lookups per image, misreadings per name, hits per name, and city hypotheses per image.
 MAX_LOOKUPS = 6
@@ -212,15 +213,17 @@ def find_geocodes(
     max_lookups: int = MAX_LOOKUPS, variants: int = VARIANTS, two_pass: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(best cluster per image, matches). Images whose matched names never co-locate get the city check."""
-    matches = match_streets(candidates, gazetteer, max_lookups, variants)
+    matches = cut_lineage(match_streets(candidates, gazetteer, max_lookups, variants))
     enough = matches.groupBy("image_id").agg(F.count_distinct("street").alias("_n")).filter(
         F.col("_n") >= min_streets
     ).select("image_id")
     eligible = matches.join(enough, "image_id", "left_semi")
-    clusters = best_cluster(score_clusters(single_link_clusters(eligible, radius_km), min_streets))
+    clusters = cut_lineage(best_cluster(score_clusters(single_link_clusters(eligible, radius_km), min_streets)))
     if not two_pass:
         return clusters, matches
-    open_images = enough.join(clusters.select("image_id"), "image_id", "left_anti")
+    open_images = cut_lineage(enough.join(clusters.select("image_id"), "image_id", "left_anti"))
+    if open_images.isEmpty():
+        return clusters, matches
     open_matches = eligible.join(open_images, "image_id", "left_semi")
     verified = verify_city_hypotheses(
         city_hypotheses(open_matches), candidates.join(open_images, "image_id", "left_semi"), open_matches, gazetteer

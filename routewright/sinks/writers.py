@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routewright.functions.text import xml_escape
+from routewright.session import cut_lineage
 
 CREATOR = "routewright"
 _HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
@@ -119,28 +120,35 @@ def shippable(outcomes: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     )
 
 
-def write_route_files(outcomes: DataFrame, folder: str, min_confidence: float = 0.6) -> DataFrame:
-    """Write one file per shippable route under ``folder`` on the executors; returns (id, gpx_path).
+def write_documents(rows: DataFrame, folder: str) -> DataFrame:
+    """Write one file per row (id, path, body) under ``folder`` on the executors; returns (id, path) of what was written.
 
     A file is written under a task's own name and then moved, so a retried task leaves whole files only.
     """
-    rows = shippable(outcomes, min_confidence).select("id", "gpx_path", "gpx_xml")
-
     def write_part(batches):
         import uuid
 
         from pyarrow import fs
 
         filesystem, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        filesystem.create_dir(f"{root}/gpx", recursive=True)
+        made = set()
         for pdf in batches:
-            for path, body in zip(pdf["gpx_path"], pdf["gpx_xml"]):
-                staged = f"{root}/gpx/.{uuid.uuid4().hex}"
+            for path, body in zip(pdf["path"], pdf["body"]):
+                target = f"{root}/{path}"
+                parent = target.rsplit("/", 1)[0]
+                if parent not in made:
+                    filesystem.create_dir(parent, recursive=True)
+                    made.add(parent)
+                staged = f"{parent}/.{uuid.uuid4().hex}"
                 with filesystem.open_output_stream(staged) as out:
                     out.write(body.encode("utf-8"))
-                filesystem.move(staged, f"{root}/{path}")
-            yield pdf[["id", "gpx_path"]]
+                filesystem.move(staged, target)
+            yield pdf[["id", "path"]]
 
-    from routewright.session import cut_lineage
+    return cut_lineage(rows.select("id", "path", "body").mapInPandas(write_part, "id long, path string"))
 
-    return cut_lineage(rows.mapInPandas(write_part, "id long, gpx_path string"))
+
+def write_route_files(outcomes: DataFrame, folder: str, min_confidence: float = 0.6) -> DataFrame:
+    """Write one GPX file per shippable route under ``folder``; returns (id, gpx_path)."""
+    rows = shippable(outcomes, min_confidence).select("id", F.col("gpx_path").alias("path"), F.col("gpx_xml").alias("body"))
+    return write_documents(rows, folder).withColumnRenamed("path", "gpx_path")

@@ -49,7 +49,7 @@ def stream_index(tiles: DataFrame, hits: DataFrame | None, changes: str, checkpo
 def read_changes(spark: SparkSession, changes: str) -> DataFrame:
     """Change log with one ``position`` that orders rows over all batches."""
     rows = spark.read.option("basePath", changes).parquet(changes)
-    order = F.col("batch_id").cast("decimal(38,0)") * F.lit(2**63).cast("decimal(38,0)") + F.col("position")
+    order = F.expr("CAST(batch_id AS DECIMAL(19, 0)) * CAST(9223372036854775808 AS DECIMAL(19, 0)) + position")
     return rows.withColumn("position", order).drop("batch_id")
 
 

@@ -226,9 +226,10 @@ def write_kml(spark, d):
 
 
 def _written(spark, d, document):
-    path = staging_path(spark, "documents")
-    _records(spark, d).select(document.alias("value")).write.text(path)
-    return path
+    folder = staging_path(spark, "documents")
+    name = F.concat(F.lit("line_"), F.col("route_id").cast("string"), F.lit(".xml"))
+    writers.write_documents(_records(spark, d).select(F.col("route_id").alias("id"), name.alias("path"), document.alias("body")), folder)
+    return folder
 
 
 @query(f"SELECT 'Line ' || CAST(route_id AS STRING) || ' & <co>' AS name, seq, {s6('lat', 'lat')}, {s6('lon', 'lon')} FROM [lines]")
@@ -262,7 +263,7 @@ def read_street_graph(spark, d):
     )
 
 
-@query("SELECT route_id AS id, 'gpx/route_' || lpad(CAST(route_id AS STRING), greatest(5, length(CAST(route_id AS STRING))), '0') || '.gpx' AS gpx_path, 40 AS points FROM (SELECT DISTINCT route_id FROM [lines] WHERE route_id % 10 >= 6) AS r")
+@query("SELECT route_id AS id, 'gpx/route_' || lpad(CAST(route_id AS STRING), CAST(greatest(5, length(CAST(route_id AS STRING))) AS INT), '0') || '.gpx' AS gpx_path, 40 AS points FROM (SELECT DISTINCT route_id FROM [lines] WHERE route_id % 10 >= 6) AS r")
 def write_route_files(spark, d):
     about = F.lit("about")
     outcomes = _records(spark, d).select(

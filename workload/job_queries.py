@@ -75,7 +75,7 @@ def stream_attempts(spark, d):
     ledger = staging_path(spark, "ledger")
     attempts = _event_stream(spark, d).select(
         F.col("event_id").alias("id"), F.explode(F.array(F.lit(0), F.lit(0))).alias("attempt_no"),
-        F.col("ts").alias("attempted_ts"), F.col("event_type").alias("outcome"),
+        F.col("ts").cast("timestamp").alias("attempted_ts"), F.col("event_type").alias("outcome"),
     )
     streams.stream_attempts(attempts, ledger, staging_path(spark, "checkpoint"), "40 days").awaitTermination()
     return spark.read.option("basePath", ledger).parquet(ledger).select("id", "outcome")
@@ -99,7 +99,7 @@ def live_shares(spark, d):
 @query(_LIVE)
 def stream_shares(spark, d):
     emitted = staging_path(spark, "shares")
-    shares = _event_stream(spark, d).select(F.col("event_id").alias("share_id"), F.col("ts").alias("created_at"))
+    shares = _event_stream(spark, d).select(F.col("event_id").alias("share_id"), F.col("ts").cast("timestamp").alias("created_at"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{emitted}/batch_id={batch_id}")
