@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Each job keeps its own earth radius and degree length; they must not be unified.
@@ -111,22 +111,47 @@ def cell_id(lat: Column, lon: Column, size: float) -> Column:
     return band * _COLUMN_BITS + column
 
 
-def cells_within(lat: Column, lon: Column, reach_deg: Column, size: float) -> Column:
-    """Ids of all cells that may hold a point within ``reach_deg`` degrees of great circle; wraps the date line."""
-    # For a cap that stays off the poles, longitudes reach asin(sin r / cos lat); otherwise every longitude does.
+def _longitude_spread(lat: Column, reach_deg: Column) -> Column:
+    """Half width in degrees of longitude of a cap: asin(sin r / cos lat) off the poles, everything near them."""
     ratio = F.sin(F.radians(F.least(reach_deg, F.lit(90.0)))) / F.cos(F.radians(lat))
-    spread = F.when(
+    return F.when(
         (F.abs(lat) + reach_deg < 89.9) & (ratio < 1.0), F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001
     ).otherwise(F.lit(180.0))
-    bands = F.sequence(_band_of(lat - reach_deg, size), _band_of(lat + reach_deg, size))
+
+
+def _column_range(lon: Column, spread: Column, columns: Column) -> Column:
+    """Column numbers that meet the spread, unwrapped and none twice."""
+    first = F.floor((lon - spread + 180.0) / 360.0 * columns)
+    last = F.floor((lon + spread + 180.0) / 360.0 * columns)
+    return F.sequence(first, F.least(last, first + columns - 1))
+
+
+def cells_within(lat: Column, lon: Column, reach_deg: Column, size: float) -> Column:
+    """Ids of all cells that may hold a point within ``reach_deg`` degrees of great circle; wraps the date line."""
+    spread = _longitude_spread(lat, reach_deg)
 
     def cells_of(band: Column) -> Column:
         columns = _columns_in(band, size)
-        first = F.floor((lon - spread + 180.0) / 360.0 * columns)
-        last = F.least(F.floor((lon + spread + 180.0) / 360.0 * columns), first + columns - 1)
-        return F.transform(F.sequence(first, last), lambda c: band * _COLUMN_BITS + F.pmod(c, columns))
+        return F.transform(
+            _column_range(lon, spread, columns), lambda c: band * _COLUMN_BITS + F.pmod(c, columns)
+        )
 
-    return F.array_distinct(F.flatten(F.transform(bands, cells_of)))
+    bands = F.sequence(_band_of(lat - reach_deg, size), _band_of(lat + reach_deg, size))
+    return F.flatten(F.transform(bands, cells_of))
+
+
+def explode_cells(
+    df: DataFrame, lat: Column, lon: Column, reach_deg: Column, size: float, name: str = "cell"
+) -> DataFrame:
+    """One row per cell of :func:`cells_within`. Bands and columns are exploded in turn, so all of it is compiled code."""
+    banded = df.withColumns({
+        "_lon": lon, "_spread": _longitude_spread(lat, reach_deg),
+        "_band": F.explode(F.sequence(_band_of(lat - reach_deg, size), _band_of(lat + reach_deg, size))),
+    }).withColumn("_columns", _columns_in(F.col("_band"), size))
+    spread = banded.withColumn("_c", F.explode(_column_range(F.col("_lon"), F.col("_spread"), F.col("_columns"))))
+    return spread.withColumn(
+        name, F.col("_band") * _COLUMN_BITS + F.pmod(F.col("_c"), F.col("_columns"))
+    ).drop("_lon", "_spread", "_band", "_columns", "_c")
 
 
 def degrees_for_m(metres: float, radius_m: float = MATCH_RADIUS_M) -> float:

@@ -45,25 +45,25 @@ def match_streets(
 ) -> DataFrame:
     """Hits of each image's first candidates, by exact name or else by the first misreading that has any.
 
-    Hits stay under the candidate's own name. Names are looked up once however many images carry them: each distinct
-    key meets the gazetteer, and its at most ``hits_per_name`` hits travel as one array.
+    Hits stay under the candidate's own name. Names are respelled and looked up once however many images carry them, and
+    the at most ``hits_per_name`` hits of a name travel as one array.
     """
-    asked = rank_candidates(candidates, max_lookups)
-    spelled = asked.select(
-        "image_id", F.col("normalized").alias("street"), "confidence", "rank",
-        F.posexplode(name_variants(F.col("normalized"), variants) if variants > 0 else F.array("normalized"))
-        .alias("attempt", "spelling"),
+    asked = rank_candidates(candidates, max_lookups).select(
+        "image_id", F.col("normalized").alias("street"), "confidence", "rank"
+    )
+    spellings = name_variants(F.col("street"), variants) if variants > 0 else F.array("street")
+    spelled = asked.select("street").distinct().select(
+        "street", F.posexplode(spellings).alias("attempt", "spelling")
     ).withColumn("key", name_key(F.col("spelling")))
-    wanted = spelled.select("key").distinct()
     hit = F.struct("hit_no", "lat", "lon", "city", "country")
-    found = (
-        top_hits_per_name(gazetteer, hits_per_name, wanted).groupBy("key").agg(F.collect_list(hit).alias("hits"))
+    found = top_hits_per_name(gazetteer, hits_per_name, spelled.select("key").distinct()).groupBy("key").agg(
+        F.collect_list(hit).alias("hits")
     )
-    answered = spelled.join(found, "key").groupBy("image_id", "street", "confidence", "rank").agg(
-        F.min_by("hits", "attempt").alias("hits"), F.min_by("spelling", "attempt").alias("spelling")
+    answered = spelled.join(found, "key").groupBy("street").agg(
+        F.min_by(F.struct("spelling", "hits"), "attempt").alias("_a")
     )
-    return answered.select(
-        "image_id", "street", "confidence", "rank", "spelling", F.explode("hits").alias("_h")
+    return asked.join(answered, "street").select(
+        "image_id", "street", "confidence", "rank", "_a.spelling", F.explode("_a.hits").alias("_h")
     ).select("image_id", "street", "confidence", "rank", "spelling", "_h.*")
 
 
@@ -71,10 +71,9 @@ def near_pairs(points: DataFrame, radius_km: float) -> DataFrame:
     """Point pairs of one image at most ``radius_km`` apart (a.point_id < b.point_id), by cells instead of all pairs."""
     size = geo.degrees_for_m(radius_km, geo.CLUSTER_RADIUS_KM)
     reach = F.lit(size)
-    left = points.select(
-        "image_id", F.col("point_id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
-        F.explode(geo.cells_within(F.col("lat"), F.col("lon"), reach, size)).alias("cell"),
-    )
+    left = geo.explode_cells(points.select(
+        "image_id", F.col("point_id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")
+    ), F.col("a_lat"), F.col("a_lon"), reach, size)
     right = points.select(
         "image_id", F.col("point_id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"),
         geo.cell_id(F.col("lat"), F.col("lon"), size).alias("cell"),
@@ -97,10 +96,9 @@ def single_link_clusters(points: DataFrame, radius_km: float) -> DataFrame:
     # A cell is one side high and, near the poles, up to two sides wide: its diagonal stays under 2.3 sides.
     small = geo.degrees_for_m(radius_km, geo.CLUSTER_RADIUS_KM) / 2.3
     reach = F.lit(geo.degrees_for_m(radius_km, geo.CLUSTER_RADIUS_KM))
-    coords = points.select(
-        "image_id", "lat", "lon", geo.cell_id(F.col("lat"), F.col("lon"), small).alias("node")
-    ).distinct()
-    probe = coords.withColumn("near", F.explode(geo.cells_within(F.col("lat"), F.col("lon"), reach, small))).filter(
+    keyed = cut_lineage(points.withColumn("node", geo.cell_id(F.col("lat"), F.col("lon"), small)))
+    coords = keyed.select("image_id", "lat", "lon", "node").distinct()
+    probe = geo.explode_cells(coords, F.col("lat"), F.col("lon"), reach, small, "near").filter(
         F.col("near") > F.col("node")
     )
     other = coords.select(
@@ -113,7 +111,6 @@ def single_link_clusters(points: DataFrame, radius_km: float) -> DataFrame:
     )
     nodes = coords.select("image_id", "node").distinct()
     labelled = connected_components(nodes, links, ["image_id"])
-    keyed = points.withColumn("node", geo.cell_id(F.col("lat"), F.col("lon"), small))
     return keyed.join(labelled, ["image_id", "node"]).drop("node")
 
 

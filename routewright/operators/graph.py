@@ -36,7 +36,7 @@ def graph_in_boxes(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, key: st
         for lat in (F.col("south"), F.col("north")) for lon in (F.col("west"), F.col("east"))
     ])
     reach = F.degrees(corner / geo.CLUSTER_RADIUS_KM) * 1.001
-    probe = boxes.withColumn("cell", F.explode(geo.cells_within(center_lat, center_lon, reach, GRAPH_CELL)))
+    probe = geo.explode_cells(boxes, center_lat, center_lon, reach, GRAPH_CELL)
     placed = nodes.withColumn("cell", geo.cell_id(F.col("lat"), F.col("lon"), GRAPH_CELL))
     inside = probe.join(placed, "cell").filter(
         F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))

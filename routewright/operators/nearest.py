@@ -25,7 +25,7 @@ def _box_floor_km(lat: Column, lon: Column, box: dict, radius: float) -> Column:
     return F.lit(radius * (1 - 1e-9)) * F.greatest(F.radians(lat_gap), by_lon)
 
 
-def _far_nearest(src: DataFrame, dst: DataFrame, on: list[str], radius: float) -> DataFrame:
+def _far_nearest(src: DataFrame, dst: DataFrame, on: list[str], carry: list[str], radius: float) -> DataFrame:
     """Nearest target of points with none close by: walk down the grid, at each level keeping only the cells whose
     lower bound does not exceed the best distance to a real point seen so far."""
     leveled = dst
@@ -54,41 +54,40 @@ def _far_nearest(src: DataFrame, dst: DataFrame, on: list[str], radius: float) -
         front = (
             front.withColumn("_floor", _box_floor_km(F.col("lat"), F.col("lon"), box, radius))
             .withColumn("_reach", F.min(reach).over(best)).filter(F.col("_floor") <= F.col("_reach") * (1 + 1e-9))
-            .select(*on, "src_id", "lat", "lon", f"_l{i}")
+            .select(*on, "src_id", "lat", "lon", *carry, f"_l{i}")
         )
     bottom = f"_l{len(_DESCENT) - 1}"
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"), radius, True)
-    return front.join(leveled, [*on, bottom]).groupBy(*on, "src_id").agg(
+    return front.join(leveled, [*on, bottom]).groupBy(*on, "src_id", *carry).agg(
         F.min(F.struct(distance.alias("distance"), F.col("t_id"))).alias("_best")
     )
 
 
 def nearest(
     src: DataFrame, dst: DataFrame, on: Sequence[str] = (), radius: float = geo.MATCH_RADIUS_M,
-    near: float = 250.0, clamp: bool = True,
+    near: float = 250.0, clamp: bool = True, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest ``dst`` (t_id, lat, lon) of every ``src`` (src_id, lat, lon), within equal ``on`` keys if given.
 
     Distances are in the unit of ``radius``; ties go to the smallest t_id. Most points find their neighbour among the
     cells within ``near``; the rest go down a cell hierarchy, so no point is compared with a whole target set.
-    Points whose key has no target are absent.
+    Points whose key has no target are absent. ``carry`` names columns of ``src`` to keep.
     """
-    on = list(on)
+    on, carry = list(on), list(carry)
     size = geo.degrees_for_m(near, radius)
     targets = dst.select(*on, "t_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     placed = targets.withColumn("cell", geo.cell_id(F.col("t_lat"), F.col("t_lon"), size))
-    probe = src.select(*on, "src_id", "lat", "lon").withColumn(
-        "cell", F.explode(geo.cells_within(F.col("lat"), F.col("lon"), F.lit(size), size))
-    )
+    src = src.select(*on, "src_id", "lat", "lon", *carry)
+    probe = geo.explode_cells(src, F.col("lat"), F.col("lon"), F.lit(size), size)
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"), radius, clamp)
-    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id").agg(
+    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id", *carry).agg(
         F.min(F.struct(distance.alias("distance"), F.col("t_id"))).alias("_best")
     ).filter(F.col("_best.distance") <= near)
     close = cut_lineage(close)
-    rest = src.select(*on, "src_id", "lat", "lon").join(close.select("src_id"), "src_id", "left_anti")
+    rest = src.join(close.select("src_id"), "src_id", "left_anti")
     if not rest.isEmpty():
-        close = close.unionByName(_far_nearest(rest, targets, on, radius))
-    return close.select(*on, "src_id", F.col("_best.t_id").alias("t_id"), "_best.distance")
+        close = close.unionByName(_far_nearest(rest, targets, on, carry, radius))
+    return close.select(*on, "src_id", *carry, F.col("_best.t_id").alias("t_id"), "_best.distance")
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, near_m: float = 250.0) -> DataFrame:
@@ -108,8 +107,9 @@ def mean_nearest(src: DataFrame, dst: DataFrame, key: str, near_m: float = 250.0
         "src_id", F.struct(F.col(key), F.col("lat"), F.col("lon"))
     )
     targets = dst.select(key, "lat", "lon").distinct().withColumn("t_id", F.struct("lat", "lon"))
-    found = nearest(folded, targets, [key], geo.OUTLINE_RADIUS_M, near_m, clamp=False)
-    weighted = folded.join(found.select("src_id", "distance"), "src_id", "left")
-    return weighted.groupBy(key).agg(
-        (F.sum(F.coalesce(F.col("distance"), F.lit(float("inf"))) * F.col("w")) / F.sum("w")).alias("mean_nearest_m")
+    folded = cut_lineage(folded)
+    found = nearest(folded, targets, [key], geo.OUTLINE_RADIUS_M, near_m, clamp=False, carry=["w"])
+    means = found.groupBy(key).agg((F.sum(F.col("distance") * F.col("w")) / F.sum("w")).alias("mean_nearest_m"))
+    return folded.select(key).distinct().join(means, key, "left").select(
+        key, F.coalesce("mean_nearest_m", F.lit(float("inf"))).alias("mean_nearest_m")
     )

@@ -70,8 +70,7 @@ def radius_search(
     asked = asked.withColumn("level", level)
     probe = None
     for i, size in enumerate(CELL_SIZES):
-        cells = geo.cells_within(F.col("q_lat"), F.col("q_lon"), reach, size)
-        part = asked.filter(F.col("level") == i).withColumn("cell", F.explode(cells))
+        part = geo.explode_cells(asked.filter(F.col("level") == i), F.col("q_lat"), F.col("q_lon"), reach, size)
         probe = part if probe is None else probe.unionByName(part)
     placed = points.withColumn("_c", F.explode(F.array(*[
         F.struct(F.lit(i).alias("level"), geo.cell_id(F.col("lat"), F.col("lon"), size).alias("cell"))

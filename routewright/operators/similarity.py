@@ -12,6 +12,7 @@ from routewright.functions import geo, scores
 from routewright.operators.lines import as_lines, box_diagonal, densify, shared_origin
 from routewright.operators.nearest import mean_nearest
 from routewright.operators.scans import segments
+from routewright.session import cut_lineage
 
 # Densify step, buffers and soft limit in metres.
 DENSIFY_M = 25.0
@@ -26,7 +27,7 @@ def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float
     Inputs (key, seq, lat, lon). No points on either side, or no diagonal, gives infinity.
     """
     diagonal = box_diagonal(ideal, [key])
-    a, b = densify(ideal, [key], step_m), densify(snapped, [key], step_m)
+    a, b = cut_lineage(densify(ideal, [key], step_m)), cut_lineage(densify(snapped, [key], step_m))
     there = mean_nearest(a, b, key).withColumnRenamed("mean_nearest_m", "there_m")
     back = mean_nearest(b, a, key).withColumnRenamed("mean_nearest_m", "back_m")
     joined = there.join(back, key, "full_outer").join(diagonal, key, "left")

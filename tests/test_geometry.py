@@ -35,6 +35,9 @@ def test_cells_cover_the_disc(spark):
             geo.cells_within(F.col("a"), F.col("b"), F.lit(1.0001), size), geo.cell_id(F.col("c"), F.col("d"), size)
         )
         assert df.filter(~inside).count() == 0
+        exploded = geo.explode_cells(df, F.col("a"), F.col("b"), F.lit(1.0001), size)
+        arrays = df.select("*", F.explode(geo.cells_within(F.col("a"), F.col("b"), F.lit(1.0001), size)).alias("cell"))
+        assert exploded.exceptAll(arrays).isEmpty() and arrays.exceptAll(exploded).isEmpty()
 
 
 def test_running_and_numbers_match_a_plain_loop(spark):
