@@ -117,9 +117,9 @@ FIXTURES = {
                n_nationkey - 10 + CAST((nn * 29 + copy * 7) % 20 AS DOUBLE) / 1000 AS lon,
                'City ' || CAST(n_nationkey AS STRING) AS city, 'Land ' || CAST(n_regionkey AS STRING) AS country,
                CAST((nn * 7 + n_nationkey * 13 + copy) % 11 AS DOUBLE) AS importance
-        FROM (SELECT name, min(no) AS nn FROM [streets] GROUP BY name) AS n
-        CROSS JOIN {nation} CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1) AS c
-        WHERE (nn * 7 + n_nationkey * 5) % 4 = 0""",
+        FROM (SELECT name, min(no) AS nn, 0 AS copy FROM [streets] GROUP BY name
+              UNION ALL SELECT name, min(no), 1 FROM [streets] GROUP BY name) AS n
+        JOIN {nation} ON n_nationkey % 4 = nn % 4""",
     # Lines of 40 points, drawn from events by number.
     "lines": f"""
         SELECT {div('event_id', 40)} AS route_id, event_id % 40 AS seq,
@@ -173,17 +173,16 @@ FIXTURES = {
                CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_suppkey % 20 AS DOUBLE) END AS search_radius_km,
                CAST(1 + s_suppkey % 4 AS INT) AS candidates, CAST(1 + s_suppkey % 3 AS INT) AS scales
         FROM {supplier}""",
-    # Outlines: a rectangle and a star whose sizes come from the parts.
+    # Outlines: a rectangle as large as the part sizes span, and a star with one corner per part size.
+    "extent": "SELECT CAST(max(p_size) AS DOUBLE) AS w, CAST(min(p_size) + 20 AS DOUBLE) AS h FROM {part}",
     "outlines": """
-        SELECT 'box' AS shape, CAST(n AS BIGINT) AS seq, CASE WHEN n = 1 OR n = 2 THEN w ELSE 0.0 END AS x,
-               CASE WHEN n = 2 OR n = 3 THEN h ELSE 0.0 END AS y
-        FROM (SELECT CAST(max(p_size) AS DOUBLE) AS w, CAST(min(p_size) + 20 AS DOUBLE) AS h FROM {part}) AS s
-        CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS k
-        UNION ALL
-        SELECT 'star', CAST(n AS BIGINT), CAST((n * 7) % 11 AS DOUBLE) * w, CAST((n * 4) % 11 AS DOUBLE) * h
-        FROM (SELECT CAST(max(p_size) AS DOUBLE) / 10 AS w, CAST(min(p_size) + 20 AS DOUBLE) / 10 AS h FROM {part}) AS s
-        CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL
-                    SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 11) AS k""",
+        SELECT 'box' AS shape, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM [extent]
+        UNION ALL SELECT 'box', 1, w, CAST(0 AS DOUBLE) FROM [extent]
+        UNION ALL SELECT 'box', 2, w, h FROM [extent]
+        UNION ALL SELECT 'box', 3, CAST(0 AS DOUBLE), h FROM [extent]
+        UNION ALL SELECT 'box', 4, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM [extent]
+        UNION ALL SELECT 'star', row_number() OVER (ORDER BY p_size) - 1, CAST((p_size * 7) % 50 AS DOUBLE), CAST((p_size * 4) % 50 AS DOUBLE)
+        FROM (SELECT p_size FROM {part} GROUP BY p_size) AS s""",
     "outcomes": f"""
         SELECT event_id AS id, CAST(event_id % 101 AS DOUBLE) / 101 AS confidence,
                CASE WHEN event_type = 'click' THEN NULL WHEN event_id % 6 = 0 THEN 'fetch: ' || event_type
