@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe
+from routewright.llm import bpe, quality_rules
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -32,3 +32,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_SPACE = "[\\x20\\x09-\\x0D]"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words,
+        length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))
+         - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))))::BIGINT AS n_dup_lines,
+        coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
+s AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS k, sum(n * n) AS n2, sum(f * f / n) AS ff FROM h),
+p AS (SELECT *, least(greatest(f / n, 0.5 / (n + 1)), 1 - 0.5 / (n + 1)) AS mean FROM s),
+e AS (SELECT mean, mean * (1 - mean) AS noise,
+        CASE WHEN n - n2 / n > 0 THEN (ff - f * f / n - (k - 1) * mean * (1 - mean)) / (n - n2 / n) ELSE 0 END AS excess FROM p),
+prior AS (SELECT mean, CASE WHEN excess <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, noise / excess - 1)) END AS weight FROM e),
+v AS (SELECT source, (f + mean * weight) / (n + weight) >= 0.5 AS rejected FROM h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+""")
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host", "host_rate")
