@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, quality_rules
+from routewright.llm import bpe, near_duplicates, quality_rules
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -64,3 +64,8 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """)
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+
+
+@query()
+def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
