@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, near_duplicates, quality_rules
+from routewright.llm import bpe, licenses, near_duplicates, quality_rules
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -69,3 +69,24 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _licenses_sql() -> str:
+    rows = ", ".join(f"({n}, '{k}', '{t}')" for n, (k, t) in enumerate(licenses.notices()))
+    clean = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t AS (SELECT template, license, {pairs} AS g FROM (
+    SELECT template, license, {clean.format('notice')} AS w FROM (VALUES {rows}) AS x(template, license, notice))),
+s AS (SELECT DISTINCT doc_id, {clean.format('line')} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+b AS (SELECT doc_id, w, {pairs} AS g FROM s WHERE len(w) > 1),
+m AS (SELECT doc_id, w, license, template, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice
+      FROM b JOIN t ON len(b.g) BETWEEN len(t.g) * 0.6 AND len(t.g) / 0.6),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY dice DESC, template) AS n FROM m WHERE dice >= 0.75)
+SELECT doc_id, license, count(*) AS n_segments, round(max(dice), 6) AS best_dice FROM r WHERE n = 1 GROUP BY doc_id, license
+"""
+
+
+@query(_licenses_sql())
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
