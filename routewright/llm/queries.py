@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, licenses, near_duplicates, quality_rules
+from routewright.llm import bpe, decontamination, licenses, near_duplicates, quality_rules
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -90,3 +90,8 @@ SELECT doc_id, license, count(*) AS n_segments, round(max(dice), 6) AS best_dice
 @query(_licenses_sql())
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -66,8 +66,11 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def blocks(column: pa.Array, lower: bool = True, is_space: np.ndarray = IS_SPACE) -> Iterator[Block]:
-    """Rows of a non-null string column in blocks of about ``BLOCK_BYTES``; words are runs of bytes outside ``is_space``."""
+def blocks(column: pa.Array, is_space: np.ndarray = IS_SPACE, clean=None) -> Iterator[Block]:
+    """Rows of a non-null string column in blocks of about ``BLOCK_BYTES``; words are runs of bytes outside ``is_space``.
+
+    A-Z are lower-cased; ``clean`` may then change bytes.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offset_buffer, data_buffer = column.buffers()
@@ -78,7 +81,9 @@ def blocks(column: pa.Array, lower: bool = True, is_space: np.ndarray = IS_SPACE
     while begin < len(column):
         stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_BYTES, side="right")) - 1)
         data = everything[offsets[begin]:offsets[stop]]
-        data = TO_LOWER[data] if lower else data
+        data = TO_LOWER[data]
+        if clean is not None:
+            data = clean(data)
         places = offsets[begin:stop + 1] - offsets[begin]
         inside = ~is_space[data]
         opens, closes = np.ones(len(data), bool), np.ones(len(data), bool)
