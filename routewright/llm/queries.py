@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, decontamination, licenses, near_duplicates, quality_rules
+from routewright.llm import bpe, decontamination, licenses, near_duplicates, quality_rules, token_files
+from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -95,3 +96,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), WORD_BPE, 2, path)
+    return token_files.read_documents(spark, path)
