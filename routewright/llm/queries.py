@@ -6,12 +6,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, decontamination, licenses, near_duplicates, quality_rules, token_files
+from routewright.llm import bpe, decontamination, language_id, licenses, near_duplicates, quality_rules, token_files
 from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = os.path.join(TOKENIZERS, "word_bpe_49k.json")
+PIECES = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), WORD_BPE, 2, path)
     return token_files.read_documents(spark, path)
+
+
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), PIECES)
