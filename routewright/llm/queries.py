@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, decontamination, language_id, licenses, near_duplicates, quality_rules, token_files
+from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, quality_rules, token_files
 from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
@@ -109,3 +109,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
