@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, quality_rules, token_files
+from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, quality_classifier, quality_rules, sharding, token_files
 from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
@@ -114,3 +114,25 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: Bytes of text in a shard.
+SHARD_BYTES = 64 << 20
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS hash FROM documents),
+p AS (SELECT depth, hash >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM d, range(61) AS r(depth) GROUP BY ALL),
+l AS (SELECT doc_id, n_bytes, hash, min(depth) AS depth FROM d, range(61) AS r(depth) JOIN p USING (depth)
+      WHERE p.prefix = hash >> (60 - depth) AND (shard_bytes <= {SHARD_BYTES} OR depth = 60) GROUP BY ALL)
+SELECT doc_id, CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.hash >> (60 - l.depth)), 60, '0'), l.depth::INT) END AS shard,
+       l.depth::INT AS depth, n_bytes, shard_bytes
+FROM l JOIN p ON l.depth = p.depth AND p.prefix = l.hash >> (60 - l.depth)
+""")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query()
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
