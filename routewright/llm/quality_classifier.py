@@ -214,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTraining()) -
     found = _features(chosen, ["doc_id", "quality", "turn"]).dropDuplicates(["doc_id"]).toArrow()
     found = found.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
     quality = np.array([np.nan if v is None else v for v in found.column("quality").to_pylist()], float)
-    views = [np.array(found.column(c).to_pylist(), float).reshape(len(found), -1) for c in ("text_view", "page_view")]
+    widths = (("text_view", TEXT_FEATURES), ("page_view", SOURCE_SLOTS + LANG_SLOTS + 2))
+    views = [np.array(found.column(c).to_pylist(), float).reshape(len(found), width) for c, width in widths]
     known = ~np.isnan(quality)
     held = np.arange(int(known.sum())) % 5 == 0  # rows are in hash order
     return co_train([v[known] for v in views], (quality[known] > 0).astype(float), held, [v[~known] for v in views], params)
