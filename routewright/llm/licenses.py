@@ -84,10 +84,12 @@ def scan(docs: DataFrame, pairs: list[tuple[str, str]] | None = None, least: flo
     reach = known.agg(F.min("t_size").alias("low"), F.max("t_size").alias("high")).first()
     low, high = (reach["low"] or 0) * least / (2 - least), (reach["high"] or 0) * (2 - least) / least
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
-    words = lines.select("doc_id", F.split(_normalised(F.col("line")), " ").alias("words")).where(F.size("words") > low)
+    words = lines.select("doc_id", F.split(_normalised(F.col("line")), " ").alias("words"))
     segments = words.select("doc_id", F.xxhash64("words").alias("segment"), _bigrams("words").alias("bigrams"))
-    segments = segments.withColumn("size", F.size("bigrams")).where(f"size >= {low} and size <= {high}")
-    each = segments.select("doc_id", "segment", "size", F.explode("bigrams").alias("bigram"))
+    segments = segments.withColumn("size", F.size("bigrams"))
+    # a filter on the sizes, or one that explode() implies, would move below and split the line again for every word
+    fitting = F.when(F.col("size").between(low, high), F.col("bigrams"))
+    each = segments.select("doc_id", "segment", "size", F.explode_outer(fitting).alias("bigram"))
     in_some = each.join(F.broadcast(known.select("bigram").distinct()), "bigram", "left_semi")
     hits = in_some.groupBy("doc_id", "segment", "size").agg(F.collect_set("bigram").alias("bigrams"))
     hits = hits.where(F.size("bigrams") * (2 - least) >= least * F.col("size"))
