@@ -7,8 +7,9 @@ what may reach the threshold is verified on the texts.
 
 Hot buckets are never expanded into all their pairs. Exact copies fold into one representative first. Then every member
 of a bucket meets the bucket's smallest one; what is verified there joins components. Buckets whose members are still in
-several components are compared block by block in tasks, first for a forest of the most similar pairs over components,
-then, with the components that these leave, for every pair of two components that may reach the threshold.
+several components are compared block by block in tasks: first by registers, which tells the members that agree with one
+of another component often enough, then with the full sets of those. Every such pair is verified there, unless links found
+before already join it, and only links leave the task.
 
 A document's set is its distinct k-word shingles; with fewer words, the whole sequence; without words, or with a null
 text, it is empty and linked with nothing. Rows that repeat a doc_id are one node with the links of all its texts. Rows
@@ -42,8 +43,9 @@ class SetSketch:
     rate: float = 20.0
     #: Standard errors below the threshold down to which estimates are verified.
     slack: float = 4.0
-    #: Members of a bucket that one task compares with as many others.
-    block: int = 512
+    #: Members of a bucket, and shingles of their sets, that one task compares with as many others.
+    block: int = 1024
+    block_shingles: int = 1 << 20
 
     @property
     def registers(self) -> int:
@@ -165,7 +167,8 @@ def verify(pairs: DataFrame, docs: DataFrame, params: SetSketch = SetSketch()) -
                     keep.append(0 < params.percent * (len(sets[i]) + len(sets[j]) - both) <= 100 * both)
                 yield _rows(part.columns[:2], keep)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = cut_lineage(pairs)
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                         .where("text is not null").join(wanted, "doc_id", "left_semi"))
     for c in ("a", "b"):
@@ -183,89 +186,124 @@ def _split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, with their component."""
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    return labelled.join(several.select("key", "size"), "key")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
+        F.sum("n").alias("shingles")).where("low < high")
+    return labelled.select("key", "node", "component").join(several.select("key", "size", "shingles"), "key")
 
 
-def _block_candidates(split: DataFrame, nodes: DataFrame, params: SetSketch, forest: bool) -> DataFrame:
-    """Pairs of different components that may reach the threshold, found block against block of each bucket.
-
-    With ``forest``, a task gives the most similar pairs that span its components, else all of them.
-    """
-    blocks_of = F.ceil(F.col("size") / params.block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks_of).cast("int")
-    rows = split.join(nodes.select("node", "n", "keys"), "node").withColumn("mine", mine)
+def _sets(nodes: DataFrame, docs: DataFrame, params: SetSketch) -> DataFrame:
+    """``node, shingles``: the full sets of some nodes, as bytes of sorted hashes."""
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                hashes, bounds = shingle_sets(block, params.words)
+                sets = [hashes[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(block.rows.start, len(block.rows)), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+
+
+def _grouped(batches, handle, names: list[str]):
+    """``handle`` each run of rows with equal (key, i, j) in a sorted stream of batches; a run may go on over batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([*held, batch])
+        key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
+        yield from _handled((whole.slice(x, y - x) for x, y in zip(cuts, cuts[1:])), handle, names)
+        held = whole.slice(cuts[-1]).to_batches()
+    if held:
+        yield from _handled([pa.Table.from_batches(held)], handle, names)
+
+
+def _handled(groups, handle, names: list[str]):
+    out = [handle(g.combine_chunks()) for g in groups if g.num_rows > 1]
+    if out:
+        yield from pa.concat_tables(out).select(names).combine_chunks().to_batches()
+
+
+class _Group:
+    """Members of one bucket, or of two of its blocks, and which pairs of two components agree often enough."""
+
+    def __init__(self, rows: pa.Table, params: SetSketch):
+        self.params = params
+        self.left, self.right = (np.flatnonzero(rows.column(c).to_numpy()) for c in ("left", "right"))
+        self.node, self.component, self.n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
+        self.band = int(rows.column("key")[0].as_py()) >> 48
+        self.registers = params.registers_of(_matrix(rows.column("keys").combine_chunks(), params.bands))
+        self.least = math.floor(params.least_estimate * params.registers)
+        self.within = len(self.left) == rows.num_rows == len(self.right)
+
+    def likely(self, one: int) -> np.ndarray:
+        """Members after ``one`` that may be linked with it, most alike first; a pair counts in its first common bucket."""
+        n, others = self.n, self.right[self.right > one] if self.within else self.right
+        others = others[(self.component[others] != self.component[one])
+                        & (100 * np.minimum(n[others], n[one]) >= self.params.percent * np.maximum(n[others], n[one]))]
+        if not len(others):
+            return others
+        same = self.registers[others] == self.registers[one]
+        agree = same.sum(1)
+        first = same.reshape(len(others), self.params.bands, self.params.width).all(2).argmax(1)
+        good = np.flatnonzero((agree >= self.least) & (first == self.band))
+        return others[good[np.argsort(-agree[good], kind="stable")]]
+
+
+_BLOCK_ROWS = "key long, i int, j int, left boolean, right boolean, node long, component long, n long, keys array<long>"
+
+
+def _likely_rows(split: DataFrame, nodes: DataFrame, params: SetSketch) -> DataFrame:
+    """Block rows of the members that may be linked with one of another component."""
+    blocks_of = F.greatest(F.ceil(F.col("size") / params.block), F.ceil(F.col("shingles") / params.block_shingles)).cast("int")
+    rows = split.withColumn("mine", F.pmod(F.xxhash64("node"), blocks_of).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
-                       "node", "component", "n", "keys")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+                       (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "node", "component")
+    rows = rows.join(nodes.select("node", "n", "keys"), "node").select(*[c.split()[0] for c in _BLOCK_ROWS.split(", ")])
+    names = rows.columns
+
+    def handle(group: pa.Table) -> pa.Table:
+        members, found = _Group(group, params), np.zeros(group.num_rows, bool)
+        for one in members.left.tolist():
+            others = members.likely(one)
+            found[others] = True
+            found[one] |= len(others) > 0
+        return group.filter(pa.array(found))
 
-    def candidates(group: pa.Table):
-        left, right = (np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
-        node, component, n = (group.column(c).to_numpy() for c in ("node", "component", "n"))
-        registers = params.registers_of(_matrix(group.column("keys").combine_chunks(), params.bands))
-        ones, twos, scores = [], [], []
-        for one in left.tolist():
-            others = right[(component[right] != component[one]) & (node[right] != node[one])]
-            if left is not right and len(left) == len(group) == len(right):
-                others = others[node[others] > node[one]]
-            if len(others):
-                score = params.possible(np.broadcast_to(registers[one], (len(others), params.registers)), registers[others],
-                                        np.full(len(others), n[one]), n[others])
-                good = score >= params.least_estimate
-                ones.append(np.full(int(good.sum()), one))
-                twos.append(others[good])
-                scores.append(score[good])
-        if not ones:
-            return [], []
-        one, two, score = map(np.concatenate, (ones, twos, scores))
-        if forest:
-            parent: dict[int, int] = {}
-
-            def root(c):
-                while (up := parent.get(c, c)) != c:
-                    parent[c] = parent.get(up, up)
-                    c = up
-                return c
-
-            chosen = []
-            for at in np.argsort(-score, kind="stable").tolist():
-                x, y = root(int(component[one[at]])), root(int(component[two[at]]))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return rows.mapInArrow(lambda batches: _grouped(batches, handle, names), _BLOCK_ROWS)
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, params: SetSketch) -> DataFrame:
+    """Verified links (a, b) that join the components of each group of block rows."""
+    def handle(group: pa.Table) -> pa.Table:
+        members = _Group(group, params)
+        node, component = members.node.tolist(), members.component.tolist()
+        full = [np.frombuffer(s.as_py(), np.uint64) for s in group.column("shingles")]
+        parent: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
+
+        def root(c):
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        for one in members.left.tolist():
+            for two in members.likely(one).tolist():
+                x, y = root(component[one]), root(component[two])
                 if x != y:
-                    parent[x] = y
-                    chosen.append(at)
-            one, two = one[chosen], two[chosen]
-        return np.minimum(node[one], node[two]).tolist(), np.maximum(node[one], node[two]).tolist()
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, last: bool):
-            """Whole groups at the front of the table, then what may go on in the next batch."""
-            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            cuts = [0, *cuts.tolist(), *([table.num_rows] if last else [])]
-            return [table.slice(x, y - x) for x, y in zip(cuts, cuts[1:])], table.slice(cuts[-1])
-
-        for batch in batches:
-            if batch.num_rows:
-                whole, rest = groups(pa.Table.from_batches([*held, batch]), False)
-                held = rest.to_batches()
-                yield from made(whole)
-        if held:
-            yield from made(groups(pa.Table.from_batches(held), True)[0])
-
-    def made(whole):
-        a, b = [], []
-        for group in whole:
-            if group.num_rows > 1:
-                x, y = candidates(group)
-                a += x
-                b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    both = len(np.intersect1d(full[one], full[two], assume_unique=True))
+                    if 100 * both >= params.percent * (len(full[one]) + len(full[two]) - both):
+                        parent[x] = y
+                        found.append((node[one], node[two]))
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = rows.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return rows.mapInArrow(lambda batches: _grouped(batches, handle, ["a", "b"]), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: SetSketch = SetSketch()) -> DataFrame:
@@ -277,27 +315,25 @@ def near_duplicates(docs: DataFrame, params: SetSketch = SetSketch()) -> DataFra
     nodes = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "copy_a", "copy_b", "keys").join(
         copies, ["node", "copy_a", "copy_b"], "left_semi").dropDuplicates(["node", "copy_a", "copy_b"])
     nodes = cut_lineage(nodes.select("node", "n", "keys"))
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    members = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     members = cut_lineage(members.join(shared, "key", "left_semi"))
 
-    tested = cut_lineage(_estimated(_first_candidates(members), nodes, params))
-    links = cut_lineage(verify(tested, docs, params))
+    likely = _estimated(_first_candidates(members), nodes, params)
+    links = cut_lineage(verify(likely, docs, params))
+    split = _split_buckets(members, graph.components(links))
+    rows = cut_lineage(_likely_rows(split, nodes, params))
+    sets = cut_lineage(_sets(cut_lineage(rows.select("node").distinct()), docs, params))
+    links = links.union(cut_lineage(_block_links(rows, sets, params)))
     # rows that repeat a doc_id with other words are one node
-    full_ids = full.select("doc_id", "copy_a", "copy_b").join(copies, ["copy_a", "copy_b"])
-    same = full_ids.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    for forest in (True, False):
-        labels = cut_lineage(graph.components(links))
-        split = cut_lineage(_split_buckets(members, labels))
-        pairs = _block_candidates(split, nodes, params, forest).join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tested = tested.union(pairs)
-        links = links.union(cut_lineage(verify(pairs, docs, params)))
+    owners = full.select("doc_id", "copy_a", "copy_b").join(copies, ["copy_a", "copy_b"])
+    same = owners.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     repeated = full.groupBy("doc_id").agg(F.min("copy_a").alias("x"), F.max("copy_a").alias("y")).where("x < y").select("doc_id")
     links = links.union(same.join(repeated.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b"))
     labels = cut_lineage(graph.components(links))
     named = copies.join(labels, "node", "left").select("copy_a", "copy_b", F.coalesce("component", "node").alias("component_id"))
     found = sketched.drop("keys").join(named, ["copy_a", "copy_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
