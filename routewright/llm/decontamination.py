@@ -4,9 +4,10 @@ Texts become lower-case words. The CGK random walk embeds a window of words so t
 places; bit-sampling LSH draws some places of several walks as keys. Items and all item-sized windows of documents that
 share a key are candidates, and an exact edit distance over words decides.
 
-By the q-gram lemma a window within the edit limit keeps most of its item's word bigrams, so windows with too few
-benchmark bigrams are passed over before the walk. That never loses a match. The bigram filter is a Bloom bitmap of fixed
-size, whatever the number of items. Equal passages of many documents are verified once.
+By the q-gram lemma a window that begins with its item keeps all but two of the item's word bigrams for each edit (an
+inserted word breaks one and pushes one out, any other edit breaks two), so windows with too few benchmark bigrams are
+passed over before the walk. That never loses a match. The bigram filter is a Bloom bitmap of fixed size, whatever the
+number of items. Equal passages of many documents are verified once.
 
 Items with fewer than ``least_words`` words are too short to tell a leak and are not searched; null texts have no words.
 Rows that repeat a doc_id or an item_id count as one. Rows without an id are not reported. Other columns are not read. An
@@ -164,7 +165,7 @@ def passages(docs: DataFrame, windows: list[int], bitmap, params: LeakSearch) ->
                         edits = params.window_edits(window)
                         stop = np.minimum(np.arange(n) + window, last)
                         held = sums[np.maximum(stop - 1, np.arange(n))] - sums[:n]
-                        good = np.flatnonzero((held >= max(1, window - 1 - 3 * edits)) & (stop - np.arange(n) >= window - edits))
+                        good = np.flatnonzero((held >= max(1, window - 1 - 2 * edits)) & (stop - np.arange(n) >= window - edits))
                         if len(good):
                             found = params.keys(block.hashes, good, stop[good], window)
                             starts.append(good - edits)
