@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from routewright.functions import geo
 from routewright.operators.lines import as_lines, as_points, downsample, padded_box
 from routewright.operators.nearest import nearest, snap_to_nodes
 from routewright.operators.scans import CHUNK, running, segments
-from routewright.session import cut_lineage
+from routewright.session import cut_lineage, staged_rounds
 
 GRAPH_CELL = 0.02
 
@@ -49,7 +50,7 @@ def graph_in_boxes(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, key: st
     return inside, kept
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, key: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """Shortest directed path of each distinct (key..., u, v): columns dist and path (node array), NULL if unreachable.
 
     All pairs are relaxed together, one hop per round, and each round is checkpointed. A partial path is dropped once it
@@ -66,24 +67,23 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, key: Sequence[str] = (),
     settled = asked.select(
         *pair, F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.array("src").alias("path"), F.lit(0).alias("born")
     )
-    for round_no in range(1, max_rounds + 1):
-        bound = settled.filter(F.col("node") == F.col("dst")).select(*pair, F.col("dist").alias("_bound"))
-        front = settled.filter((F.col("born") == round_no - 1) & (F.col("node") != F.col("dst")))
-        grown = (
-            front.join(hops, [*key, "node"]).filter(~F.array_contains("path", F.col("to")))
-            .select(*pair, F.col("to").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
-                    F.concat("path", F.array("to")).alias("path"), F.lit(round_no).alias("born"))
-            .join(bound, pair, "left").filter(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
-            .drop("_bound")
-        )
-        # An entry is replaced only by a better one, so equal paths never re-enter the frontier.
-        best = F.min(F.struct("dist", "path", "born"))
-        merged = settled.unionByName(grown).groupBy(*pair, "node").agg(best.alias("_b")).select(*pair, "node", "_b.*")
-        settled = cut_lineage(merged)
-        if settled.filter((F.col("born") == round_no) & (F.col("node") != F.col("dst"))).isEmpty():
-            break
-    else:
-        raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+    with staged_rounds(pairs.sparkSession):
+        for round_no in itertools.count(1):
+            bound = settled.filter(F.col("node") == F.col("dst")).select(*pair, F.col("dist").alias("_bound"))
+            front = settled.filter((F.col("born") == round_no - 1) & (F.col("node") != F.col("dst")))
+            grown = (
+                front.join(hops, [*key, "node"]).filter(~F.array_contains("path", F.col("to")))
+                .select(*pair, F.col("to").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
+                        F.concat("path", F.array("to")).alias("path"), F.lit(round_no).alias("born"))
+                .join(bound, pair, "left").filter(F.col("_bound").isNull() | (F.col("dist") <= F.col("_bound")))
+                .drop("_bound")
+            )
+            # An entry is replaced only by a better one, so equal paths never re-enter the frontier.
+            best = F.min(F.struct("dist", "path", "born"))
+            merged = settled.unionByName(grown).groupBy(*pair, "node").agg(best.alias("_b")).select(*pair, "node", "_b.*")
+            settled = cut_lineage(merged)
+            if settled.filter((F.col("born") == round_no) & (F.col("node") != F.col("dst"))).isEmpty():
+                break
     found = settled.filter(F.col("node") == F.col("dst")).select(*pair, "dist", "path")
     return asked.join(found, pair, "left").select(
         *key, F.col("src").alias("u"), F.col("dst").alias("v"), "dist", "path"
