@@ -64,8 +64,8 @@ def _one_site_each(name: Column, marked: Column, dropped: int, inserted: str) ->
     return F.flatten(F.transform(F.array(F.split(marked, _MARK)), variants))
 
 
-def name_variants(name: Column, limit: int = 6) -> Column:
-    """The name, then up to ``limit`` likely misreadings of it, in rule order and then by position."""
+def name_variants(name: Column, limit: int | None = 6) -> Column:
+    """The name, then up to ``limit`` (or all) likely misreadings of it, in rule order and then by position."""
     pair = f"[{CONSONANTS}]"
     groups = [
         _one_site_each(name, F.regexp_replace(name, found, _MARK + found), len(found), replacement)
@@ -73,4 +73,5 @@ def name_variants(name: Column, limit: int = 6) -> Column:
     ]
     groups.append(_one_site_each(name, F.regexp_replace(name, f"(?i)({pair})(i)({pair})", f"$1{_MARK}$2$3"), 1, ""))
     groups.append(_one_site_each(name, F.regexp_replace(name, f"(?i)(?={pair}{pair})", _MARK), 0, "i"))
-    return F.slice(F.array_distinct(F.concat(F.array(name), *groups)), 1, limit + 1)
+    spellings = F.array_distinct(F.concat(F.array(name), *groups))
+    return spellings if limit is None else F.slice(spellings, 1, limit + 1)

@@ -24,9 +24,9 @@ def name_key(c: Column) -> Column:
 
 
 def top_hits_per_name(
-    gazetteer: DataFrame, limit: int = HITS_PER_NAME, wanted: DataFrame | None = None
+    gazetteer: DataFrame, limit: int | None = HITS_PER_NAME, wanted: DataFrame | None = None
 ) -> DataFrame:
-    """Most important ``limit`` places of every name. Very common names are cut map-side before they meet a join.
+    """Most important ``limit`` places of every name, or all. Very common names are cut map-side before they meet a join.
 
     Gazetteer: name, name_en (may be NULL), lat, lon, city, country, importance, place_id. A place answers to its name
     and to its English name. ``wanted`` (key) keeps only the names asked for.
@@ -36,35 +36,31 @@ def top_hits_per_name(
     if wanted is not None:
         keyed = keyed.join(wanted, "key", "left_semi")
     order = Window.partitionBy("key").orderBy(F.desc("importance"), "place_id")
-    return keyed.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= limit)
+    ranked = keyed.withColumn("hit_no", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("hit_no") <= limit)
 
 
 def match_streets(
-    candidates: DataFrame, gazetteer: DataFrame, max_lookups: int = MAX_LOOKUPS, variants: int = VARIANTS,
-    hits_per_name: int = HITS_PER_NAME,
+    candidates: DataFrame, gazetteer: DataFrame, max_lookups: int | None = MAX_LOOKUPS, variants: int | None = VARIANTS,
+    hits_per_name: int | None = HITS_PER_NAME,
 ) -> DataFrame:
     """Hits of each image's first candidates, by exact name or else by the first misreading that has any.
 
-    Hits stay under the candidate's own name. Names are respelled and looked up once however many images carry them, and
-    the at most ``hits_per_name`` hits of a name travel as one array.
+    Hits stay under the candidate's own name. Names are respelled and looked up once however many images carry them;
+    ``None`` lifts a limit.
     """
     asked = rank_candidates(candidates, max_lookups).select(
         "image_id", F.col("normalized").alias("street"), "confidence", "rank"
     )
-    spellings = name_variants(F.col("street"), variants) if variants > 0 else F.array("street")
+    spellings = name_variants(F.col("street"), variants) if variants != 0 else F.array("street")
     spelled = asked.select("street").distinct().select(
         "street", F.posexplode(spellings).alias("attempt", "spelling")
     ).withColumn("key", name_key(F.col("spelling")))
-    hit = F.struct("hit_no", "lat", "lon", "city", "country")
-    found = top_hits_per_name(gazetteer, hits_per_name, spelled.select("key").distinct()).groupBy("key").agg(
-        F.collect_list(hit).alias("hits")
-    )
-    answered = spelled.join(found, "key").groupBy("street").agg(
-        F.min_by(F.struct("spelling", "hits"), "attempt").alias("_a")
-    )
-    return asked.join(answered, "street").select(
-        "image_id", "street", "confidence", "rank", "_a.spelling", F.explode("_a.hits").alias("_h")
-    ).select("image_id", "street", "confidence", "rank", "spelling", "_h.*")
+    found = top_hits_per_name(gazetteer, hits_per_name, spelled.select("key").distinct()).select(
+        "key", "hit_no", "lat", "lon", "city", "country")
+    answered = spelled.join(found.select("key").distinct(), "key").groupBy("street").agg(
+        F.min_by(F.struct("spelling", "key"), "attempt").alias("_a")).select("street", "_a.*")
+    return asked.join(answered, "street").join(found, "key").drop("key")
 
 
 def near_pairs(points: DataFrame, radius_km: float) -> DataFrame:
@@ -152,21 +148,22 @@ def best_cluster(clusters: DataFrame) -> DataFrame:
     return best.select("_b.*").drop("seed", "component")
 
 
-def city_hypotheses(matches: DataFrame, limit: int = HYPOTHESES) -> DataFrame:
-    """Cities in which an image's candidates have hits, by number of candidates; the first ``limit`` per image."""
+def city_hypotheses(matches: DataFrame, limit: int | None = HYPOTHESES) -> DataFrame:
+    """Cities in which an image's candidates have hits, by number of candidates; the first ``limit`` per image, or all."""
     counted = (
         matches.filter("city <> '' AND country <> ''").groupBy("image_id", "city", "country")
         .agg(F.count_distinct("street").alias("n_candidates"))
     )
     order = Window.partitionBy("image_id").orderBy(F.desc("n_candidates"), "city", "country")
-    return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def verify_city_hypotheses(
     hypotheses: DataFrame, candidates: DataFrame, matches: DataFrame, gazetteer: DataFrame,
-    hits_per_name: int = HITS_PER_NAME,
+    hits_per_name: int | None = HITS_PER_NAME,
 ) -> DataFrame:
-    """Hits of every candidate in every hypothesised city: its worldwide hits there, else the gazetteer's.
+    """Hits of every candidate in every hypothesised city: its worldwide hits there, else the gazetteer's by either name.
 
     Rows: image_id, city, country, rank, street, confidence, lat, lon.
     """
@@ -176,11 +173,14 @@ def verify_city_hypotheses(
     here = ["image_id", "city", "country", "street"]
     known = asked.join(matches.select(*here, "lat", "lon"), here)
     rest = asked.join(matches.select(*here), here, "left_anti").withColumn("key", name_key(F.col("street")))
-    order = Window.partitionBy("key", "city", "country").orderBy(F.desc("importance"), "place_id")
-    places = gazetteer.select(
-        name_key(F.col("name")).alias("key"), "city", "country", "lat", "lon", "importance", "place_id"
-    ).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= hits_per_name)
-    filled = rest.join(places.drop("importance", "place_id", "_n"), ["key", "city", "country"])
+    names = F.array_distinct(F.array_compact(F.array(name_key(F.col("name")), name_key(F.col("name_en")))))
+    wanted = rest.select("key", "city", "country").distinct()
+    places = gazetteer.select(F.explode(names).alias("key"), "city", "country", "lat", "lon", "importance", "place_id").join(
+        wanted, ["key", "city", "country"], "left_semi")
+    if hits_per_name is not None:
+        order = Window.partitionBy("key", "city", "country").orderBy(F.desc("importance"), "place_id")
+        places = places.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= hits_per_name).drop("_n")
+    filled = rest.join(places.drop("importance", "place_id"), ["key", "city", "country"])
     cols = [*here, "h_rank", "confidence", "lat", "lon"]
     return known.select(*cols).unionByName(filled.select(*cols))
 
@@ -207,10 +207,15 @@ def best_hypothesis(verified: DataFrame, min_streets: int) -> DataFrame:
 
 def find_geocodes(
     candidates: DataFrame, gazetteer: DataFrame, min_streets: int = 2, radius_km: float = 3.0,
-    max_lookups: int = MAX_LOOKUPS, variants: int = VARIANTS, two_pass: bool = True,
+    max_lookups: int | None = MAX_LOOKUPS, variants: int | None = VARIANTS, two_pass: bool = True,
+    hits_per_name: int | None = HITS_PER_NAME, max_hypotheses: int | None = HYPOTHESES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(best cluster per image, matches). Images whose matched names never co-locate get the city check."""
-    matches = cut_lineage(match_streets(candidates, gazetteer, max_lookups, variants))
+    """(best cluster per image, matches). Images whose matched names never co-locate get the city check.
+
+    The four limits are those of a paid lookup service: names per image, misreadings per name, hits per name, cities per
+    image. ``None`` takes everything.
+    """
+    matches = cut_lineage(match_streets(candidates, gazetteer, max_lookups, variants, hits_per_name))
     enough = matches.groupBy("image_id").agg(F.count_distinct("street").alias("_n")).filter(
         F.col("_n") >= min_streets
     ).select("image_id")
@@ -223,6 +228,7 @@ def find_geocodes(
         return clusters, matches
     open_matches = eligible.join(open_images, "image_id", "left_semi")
     verified = verify_city_hypotheses(
-        city_hypotheses(open_matches), candidates.join(open_images, "image_id", "left_semi"), open_matches, gazetteer
+        city_hypotheses(open_matches, max_hypotheses), candidates.join(open_images, "image_id", "left_semi"), open_matches,
+        gazetteer, hits_per_name,
     )
     return clusters.unionByName(best_hypothesis(verified, min_streets)), matches

@@ -13,8 +13,6 @@ from routewright.functions import geo
 CONSENSUS_M = 50.0
 TRIALS = 200
 MIN_ANCHORS = 3
-_ALL_TRIPLES_UP_TO = 11
-_SAMPLED_ANCHORS = 600
 
 
 def control_points(anchors: DataFrame, matches: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -71,33 +69,47 @@ def _residual() -> Column:
     )
 
 
-def _triples(n: Column) -> Column:
-    """All index triples of 1..n as (trial, members)."""
-    full = F.sequence(F.lit(1), n)
-    nested = F.transform(full, lambda i: F.flatten(F.transform(full, lambda j: F.transform(
-        full, lambda k: F.when((i < j) & (j < k), F.array(i, j, k))))))
-    return F.array_compact(F.flatten(nested))
+def _largest(first: Column, value: Column, size) -> Column:
+    """Largest of the four whole numbers from ``first`` - 1 on for which ``size`` is at most ``value``."""
+    return F.greatest(*[F.when(size(first + step) <= value, first + step) for step in (-1, 0, 1, 2)]).cast("long")
 
 
-def _sampled(n: Column, image: Column) -> Column:
-    """TRIALS repeatable triples of distinct indices of 1..n."""
-    def triple(t: Column) -> Column:
-        i = F.pmod(F.xxhash64(image, t, F.lit(1)), n)
-        j = F.pmod(i + 1 + F.pmod(F.xxhash64(image, t, F.lit(2)), n - 1), n)
-        low, high = F.least(i, j), F.greatest(i, j)
-        k = F.pmod(F.xxhash64(image, t, F.lit(3)), n - 2)
-        k = F.when(k >= low, k + 1).otherwise(k)
-        k = F.when(k >= high, k + 1).otherwise(k)
-        return F.array((i + 1).cast("int"), (j + 1).cast("int"), (k + 1).cast("int"))
-    return F.transform(F.sequence(F.lit(1), F.lit(TRIALS)), triple)
+def _pairs_below(c: Column) -> Column:
+    return (c * (c - 1) / 2).cast("long")
 
 
-def fit_affine(gcps: DataFrame, drop_outliers: bool = True) -> tuple[DataFrame, DataFrame]:
+def _triples_below(c: Column) -> Column:
+    return (c * (c - 1) * (c - 2) / 6).cast("long")
+
+
+def _triple(number: Column) -> Column:
+    """Three different indices from 1 on; every number stands for another triple, and small numbers for small indices."""
+    third = _largest(F.floor(F.cbrt(6 * number)), number, _triples_below)
+    rest = number - _triples_below(third)
+    second = _largest(F.floor((1 + F.sqrt(1 + 8 * rest)) / 2), rest, _pairs_below)
+    return F.transform(F.array(rest - _pairs_below(second), second, third), lambda i: (i + 1).cast("int"))
+
+
+def _trials(n: Column, image: Column, trials: int) -> Column:
+    """Members of ``trials`` different triples of 1..n, or of all where there are fewer.
+
+    The triples are numbered, their numbers cut into as many equal stretches as there are trials, and a hash picks one
+    of each stretch.
+    """
+    total = _triples_below(n.cast("long"))
+    count = F.least(total, F.lit(trials).cast("long"))
+    low = lambda k: F.floor(k * total / count)
+    picked = F.transform(F.sequence(F.lit(0).cast("long"), count - 1),
+                         lambda k: low(k) + F.pmod(F.xxhash64(image, k), low(k + 1) - low(k)))
+    return F.transform(picked, _triple)
+
+
+def fit_affine(gcps: DataFrame, drop_outliers: bool = True, trials: int = TRIALS) -> tuple[DataFrame, DataFrame]:
     """(fits, rejects). One affine map per image with at least three anchors.
 
     The local frame is centred on all given anchors. With more than three, the triple whose map agrees with most anchors
     (within 50 m) decides which anchors the final least-squares fit uses; ties go to the smaller squared residual, then
-    to the first labels. Few anchors try all triples, many try 200 repeatable ones.
+    to the first labels. ``trials`` triples spread over all of them are tried, or every one where there are fewer.
     """
     frame = gcps.groupBy("image_id").agg(
         F.count("*").alias("n_all"), F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0")
@@ -113,17 +125,10 @@ def fit_affine(gcps: DataFrame, drop_outliers: bool = True) -> tuple[DataFrame,
     kept = points
     dropped = None
     if drop_outliers:
-        pick = Window.partitionBy("image_id").orderBy(
-            F.when(F.col("n_all") > _ALL_TRIPLES_UP_TO, F.xxhash64("label")).otherwise(F.lit(0)), "label", "x_px", "y_px"
-        )
         many = points.filter(F.col("n_all") > MIN_ANCHORS)
-        indexed = many.withColumn("idx", F.row_number().over(pick)).filter(F.col("idx") <= _SAMPLED_ANCHORS)
-        m = F.least(F.col("n_all"), F.lit(_SAMPLED_ANCHORS)).cast("int")
+        indexed = many.withColumn("idx", F.row_number().over(Window.partitionBy("image_id").orderBy("label", "x_px", "y_px")))
         triples = frame.filter(F.col("n_all") > MIN_ANCHORS).select(
-            "image_id", F.posexplode(
-                F.when(F.col("n_all") <= _ALL_TRIPLES_UP_TO, _triples(F.least(m, F.lit(_ALL_TRIPLES_UP_TO))))
-                .otherwise(_sampled(m, F.col("image_id")))
-            ).alias("trial", "members"),
+            "image_id", F.posexplode(_trials(F.col("n_all"), F.col("image_id"), trials)).alias("trial", "members"),
         ).select("image_id", "trial", F.explode("members").alias("idx"))
         models = _solve(
             triples.join(indexed, ["image_id", "idx"]).select("image_id", "trial", "x_px", "y_px", "u", "v"),

@@ -29,16 +29,17 @@ def index_batch(tiles: DataFrame, hits: DataFrame | None, old: DataFrame) -> tup
 
 def label_geocode_outcomes(
     work: DataFrame, fragments: DataFrame, gazetteer: DataFrame, stamp: str, min_streets: int = 2,
-    radius_km: float = 3.0, min_confidence: float = 0.20, failures: DataFrame | None = None,
+    radius_km: float = 3.0, min_confidence: float = 0.20, failures: DataFrame | None = None, **limits,
 ) -> DataFrame:
     """One outcome row per work row: counts, cluster, confidence, street list and error.
 
     ``fragments`` carry image_id = catalogue id; ``failures`` (image_id, error) name images whose labels could not be read.
+    ``limits`` are the lookup limits of :func:`crossref.find_geocodes`.
     """
     todo = work.select(F.col("id").alias("image_id"))
     merged = cut_lineage(labels.merge_labels(fragments.join(todo, "image_id", "left_semi")))
     candidates = cut_lineage(labels.street_candidates(merged, min_confidence))
-    clusters, matches = crossref.find_geocodes(candidates, gazetteer, min_streets, radius_km)
+    clusters, matches = crossref.find_geocodes(candidates, gazetteer, min_streets, radius_km, **limits)
     counts = merged.groupBy("image_id").agg(F.count("*").alias("fragments"))
     ranked = labels.rank_candidates(candidates)
     named = ranked.groupBy("image_id").agg(
@@ -87,12 +88,13 @@ STAGES = ["fetch", "contour", "ocr", "crossref", "georef", "mapmatch", "confiden
 def reconstruct_outcomes(
     work: DataFrame, pixels: DataFrame, fragments: DataFrame, gazetteer: DataFrame, nodes: DataFrame, edges: DataFrame,
     min_streets: int = 3, radius_km: float = 3.0, min_confidence: float = 0.6, step_m: float = 30.0,
-    pad_m: float = 200.0, buffer_m: float = 25.0, min_area: int = 200,
+    pad_m: float = 200.0, buffer_m: float = 25.0, min_area: int = 200, **limits,
 ) -> DataFrame:
     """One row per work row: confidence, failure, n_gcps, fidelity_score, length and GPX text when good enough.
 
     Each stage runs once over all images still alive; the first stage an image does not survive names its failure.
-    ``pixels`` and ``fragments`` carry image_id = catalogue id.
+    ``pixels`` and ``fragments`` carry image_id = catalogue id; ``limits`` are the lookup limits of
+    :func:`crossref.find_geocodes`.
     """
     todo = work.select(F.col("id").alias("image_id"))
     alive = pixels.select("image_id").distinct().join(todo, "image_id", "left_semi")
@@ -112,7 +114,7 @@ def reconstruct_outcomes(
     candidates = cut_lineage(labels.street_candidates(merged, 0.20))
     alive = survivors(alive, candidates.select("image_id").distinct(), "ocr: no street candidates")
 
-    clusters, matches = crossref.find_geocodes(candidates, gazetteer, min_streets, radius_km)
+    clusters, matches = crossref.find_geocodes(candidates, gazetteer, min_streets, radius_km, **limits)
     clusters, matches = cut_lineage(clusters), cut_lineage(matches)
     alive = survivors(alive, clusters.select("image_id"), "crossref: no consensus cluster")
 

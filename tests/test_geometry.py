@@ -190,6 +190,24 @@ def gcp(x, y, label, image=1, off=(0.0, 0.0)):
 GCP = "image_id long, x_px double, y_px double, lat double, lon double, label string, weight double"
 
 
+def test_affine_uses_every_anchor_of_a_large_image(spark):
+    """700 anchors; those that agree sort last, past the 600th."""
+    rng = random.Random(8)
+    rows = [gcp(11 * i % 997, 37 * i % 911, f"A{i:03}", off=(rng.uniform(-0.3, 0.3), rng.uniform(-0.3, 0.3))) for i in range(601)]
+    rows += [gcp(13 * i % 991, 41 * i % 919, f"Z{i:03}") for i in range(99)]
+    fits, _ = georef.fit_affine(spark.createDataFrame(rows, GCP), trials=6000)
+    got = fits.first()
+    assert got["n_anchors"] >= 99 and got["rmse_m"] < 50 and not any(x.startswith("Z") for x in got["dropped_labels"])
+
+
+@pytest.mark.parametrize("n", [3, 4, 7, 12, 40])
+def test_trials_are_different_triples(spark, n):
+    trials = spark.range(1).select(georef._trials(F.lit(n), F.lit(1), 200).alias("t")).first()["t"]
+    whole = n * (n - 1) * (n - 2) // 6
+    assert len({tuple(t) for t in trials}) == len(trials) == min(200, whole)
+    assert all(1 <= a < b < c <= n for a, b, c in trials)
+
+
 def test_affine_recovers_map_and_drops_the_bad_anchor(spark):
     six = [(90, 40, "A"), (410, 70, "B"), (210, 190, "C"), (440, 260, "D"), (340, 410, "E"), (160, 370, "F")]
     rows = [gcp(*p, image=1) for p in six] + [gcp(300, 150, "BAD", 1, (0.05, 0.05))]

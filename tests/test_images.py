@@ -72,6 +72,15 @@ def candidates(spark, named):
     )
 
 
+def test_lookup_limits_can_be_lifted(spark):
+    rows = [(n, "Elm Road", None, 50.0 + n / 1000, 0.0, "Aton", "X", 1.0) for n in range(100)]
+    places, asked = spark.createDataFrame(rows, GAZ), candidates(spark, {1: [("Elm Road", 0.9)]})
+    assert crossref.match_streets(asked, places).count() == 40
+    assert crossref.match_streets(asked, places, None, None, None).count() == 100
+    clusters, matches = crossref.find_geocodes(asked, places, 1, hits_per_name=None, max_lookups=None, variants=None, max_hypotheses=None)
+    assert matches.count() == 100 and clusters.first()["n_ways"] == 100
+
+
 def test_clusters_prefer_more_names_and_variants_rescue_misreads(spark):
     named = {
         1: [("Elm Road", 0.9), ("Oak Lane", 0.8), ("Brocmfield Way", 0.7)], 2: [("Elm Road", 0.9), ("Nowhere Path", 0.8)],
