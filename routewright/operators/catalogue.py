@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from routewright import dims, schemas
 from routewright.functions import text
 from routewright.operators.scans import number_rows
+from routewright.session import cut_lineage
 
 KEY = "image_url"
 KEPT_ON_UPDATE = [
@@ -105,6 +106,7 @@ def upsert_catalogue(new: DataFrame, old: DataFrame, preserve_labels: bool = Fal
         F.col("_old_id").alias("id"), "_first", *[pick(c) for c in content],
         *[F.col(f"_old_{c}").alias(c) for c in KEPT_ON_UPDATE if c != "id"],
     )
+    picked = cut_lineage(picked)  # the one join; what follows reads its columns
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     known = picked.filter("id IS NOT NULL").drop("_first")
     fresh = number_rows(picked.filter("id IS NULL").drop("id"), "_first", "id", top).drop("_first")
@@ -210,7 +212,7 @@ def qa_sample(catalogue: DataFrame, n: int = 50, min_confidence: float = 0.55, s
     """``n`` label-geocoded rows for review, in a repeatable random order."""
     return (
         catalogue.filter((F.col("geocode_source") == "ocr") & (F.col("geocode_confidence") > min_confidence))
-        .orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(n)
+        .orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("id"))), "id").limit(n)
     )
 
 

@@ -28,8 +28,8 @@ def valid_coords(lat: Column, lon: Column) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    """Decimal text of a coordinate without exponent or trailing zeros."""
-    digits = F.regexp_replace(c.cast("decimal(20,12)").cast("string"), r"0+$", "")
+    """The double's own digits without exponent or trailing zeros; coordinates have three digits before the point at most."""
+    digits = F.regexp_replace(c.cast("string").cast("decimal(38,30)").cast("string"), r"0+$", "")
     return F.regexp_replace(digits, r"\.$", ".0")
 
 
@@ -123,14 +123,21 @@ def shippable(outcomes: DataFrame, min_confidence: float = 0.6) -> DataFrame:
 def write_documents(rows: DataFrame, folder: str) -> DataFrame:
     """Write one file per row (id, path, body) under ``folder`` on the executors; returns (id, path) of what was written.
 
+    A plain path means Spark's default file system; where that is local to each machine, only a local master may use it.
     A file is written under a task's own name and then moved, so a retried task leaves whole files only.
     """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if folder.startswith("file:") and "://" not in folder:
+        folder = "file://" + folder.removeprefix("file:")
+
     def write_part(batches):
         import uuid
 
         from pyarrow import fs
 
-        filesystem, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        filesystem, root = fs.FileSystem.from_uri(folder)
         made = set()
         for pdf in batches:
             for path, body in zip(pdf["path"], pdf["body"]):

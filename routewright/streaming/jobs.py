@@ -30,10 +30,11 @@ def stream_index(tiles: DataFrame, hits: DataFrame | None, changes: str, checkpo
     """Parse and geocode arriving tiles into a change log.
 
     A micro-batch costs what it holds: rows are appended under their batch number, and :func:`current_catalogue` merges
-    the log by key. Re-delivered tiles and retried batches leave the same catalogue.
+    the log by key. Tiles may carry their own ``position`` in the batch. Re-delivered tiles and retried batches leave the same catalogue.
     """
     def prepare(batch: DataFrame) -> DataFrame:
-        parsed = cat.parse_titles(batch.withColumn("position", F.monotonically_increasing_id()))
+        placed = batch if "position" in batch.columns else batch.withColumn("position", F.monotonically_increasing_id())
+        parsed = cat.parse_titles(placed)
         if hits is None:
             geocoded = parsed.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
         else:

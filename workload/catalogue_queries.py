@@ -247,7 +247,8 @@ def needs_reconstruction(spark, d):
     return rows.select("id", "title", "category")
 
 
-@query()
+@query("""SELECT id, title, geocode_confidence FROM [catalogue] WHERE geocode_source = 'ocr' AND geocode_confidence > 0.55
+          ORDER BY md5('7|' || id), id LIMIT 50""")
 def qa_sample(spark, d):
     return cat.qa_sample(derive(spark, d, "catalogue")).select("id", "title", "geocode_confidence")
 

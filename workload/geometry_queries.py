@@ -209,23 +209,19 @@ _STEPS = """SELECT CAST(floor(id / 9) AS BIGINT) AS route_id, id % 9 AS seq, id
             CASE WHEN id % 7 = 3 THEN 0 ELSE 1 END AS ok FROM [nodes]"""
 
 
-@query(f"""SELECT route_id, count(*) AS nodes, sum(node) AS node_sum FROM (
-             SELECT route_id, seq, unnest(CASE WHEN lag(v) OVER (PARTITION BY route_id ORDER BY seq) = u THEN [-u, v] ELSE [u, -u, v] END) AS node
-             FROM ({_STEPS}) AS s WHERE u <> v AND ok = 1) AS n GROUP BY route_id""")
+@query(f"""SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY seq, i) - 1 AS seq, nodes[i] AS node FROM (
+             SELECT *, unnest(range(1, len(nodes) + 1)) AS i FROM (
+               SELECT route_id, seq, CASE WHEN lag(v) OVER (PARTITION BY route_id ORDER BY seq) = u THEN [-u, v] ELSE [u, -u, v] END AS nodes
+               FROM ({_STEPS}) AS s WHERE u <> v AND ok = 1) AS w) AS n""")
 def stitch_paths(spark, d):
     steps = derive(spark, d, _STEPS).withColumn("path", F.when(F.col("ok") == 1, F.array("u", -F.col("u"), "v")))
-    return graph.stitch_paths(steps, "route_id").groupBy("route_id").agg(
-        F.count("*").alias("nodes"), F.sum("node").alias("node_sum")
-    )
-
-
-_STREET_LINES = "SELECT route_id, seq, 51 + (route_id % 25) * 0.001 + (lat - 51) % 0.01 AS lat, (lon * 1) % 0.07 AS lon FROM [lines] WHERE seq < 12"
+    return graph.stitch_paths(steps, "route_id").select("route_id", "seq", "node")
 
 
 @query()
 def map_match(spark, d):
     rows = derive(spark, d, "SELECT route_id, seq, 51 + CAST(route_id % 25 + seq AS DOUBLE) / 1000 AS lat, "
-                            "CAST(route_id % 40 AS DOUBLE) * 16 / 10000 + CAST(seq % 3 AS DOUBLE) / 10000 AS lon FROM [lines] WHERE seq < 5")
+                            "CAST(route_id % 40 AS DOUBLE) * 16 / 10000 + CAST(seq % 3 AS DOUBLE) / 10000 AS lon FROM [lines]")
     return graph.map_match(rows, derive(spark, d, "nodes"), derive(spark, d, "edges"), "route_id")[0]
 
 

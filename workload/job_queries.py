@@ -44,14 +44,21 @@ def reconstruct_batch(spark, d):
     return outcomes.select("id", "failure", "n_gcps", r6("confidence"), r6("fidelity_score"), "gpx_path")
 
 
-@query(f"""SELECT t.image_url, t.title, g.city, g.country, {s6('g.lat', 'lat')}, g.position + 1 AS id FROM ({_GEOCODED}) AS g JOIN [titles] AS t ON t.position = g.position""")
+_KNOWN = "SELECT * FROM [catalogue] WHERE id % 2 = 0"
+
+
+@query(f"""SELECT coalesce(n.image_url, o.image_url) AS image_url, CASE WHEN n.image_url IS NULL THEN o.title ELSE n.title END AS title,
+             CASE WHEN n.image_url IS NULL THEN o.city ELSE n.city END AS city, CASE WHEN n.image_url IS NULL THEN o.country ELSE n.country END AS country,
+             {s6('CASE WHEN n.image_url IS NULL THEN o.lat ELSE n.lat END', 'lat')},
+             coalesce(o.id, (SELECT max(id) FROM ({_KNOWN}) AS k) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY n.position)) AS id
+           FROM (SELECT t.image_url, t.title, g.city, g.country, g.lat, g.position FROM ({_GEOCODED}) AS g JOIN [titles] AS t ON t.position = g.position) AS n
+           FULL JOIN ({_KNOWN}) AS o ON o.image_url = n.image_url""")
 def stream_index(spark, d):
     source, changes = staging_path(spark, "arrivals"), staging_path(spark, "changes")
-    derive(spark, d, "titles").drop("position").coalesce(1).write.json(source)
-    tiles = spark.readStream.schema("title string, image_url string, thumbnail_url string, category string, page_url string, scraped_at string").json(source)
+    derive(spark, d, "titles").write.json(source)
+    tiles = spark.readStream.schema("position long, title string, image_url string, thumbnail_url string, category string, page_url string, scraped_at string").json(source)
     streams.stream_index(tiles, derive(spark, d, "place_hits"), changes, staging_path(spark, "checkpoint")).awaitTermination()
-    base = derive(spark, d, "catalogue").filter("id < 0")
-    current = streams.current_catalogue(base, streams.read_changes(spark, changes))
+    current = streams.current_catalogue(derive(spark, d, _KNOWN), streams.read_changes(spark, changes))
     return current.select("image_url", "title", "city", "country", r6("lat"), "id")
 
 
