@@ -10,8 +10,8 @@ parts of 64. A letter that no piece fits costs the same in every language. A nul
 with score 0, and so is every text if nothing was learned. Ties go to the smaller language name. Rows that repeat come out
 repeated; labels that are null teach nothing. Other columns are not read. An empty table gives an empty result.
 
-The fit reads a bounded sample: for each language the ``fit_docs`` documents with the smallest hashes of their ids. What
-reaches the driver is the model, languages times vocabulary, whose size does not follow the number of documents.
+The fit reads a bounded sample: for each language ``fit_docs`` documents at most, the ones with the smallest hashes of
+their ids in a stretch of hashes that holds about twice as many. What reaches the driver is the model, languages times vocabulary, whose size does not follow the number of documents.
 """
 
 from __future__ import annotations
@@ -179,9 +179,17 @@ def _sample(docs: DataFrame, fit: LanguageFit) -> DataFrame:
     """``lang, text`` of the sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null").where(training_rows(rows))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit.fit_docs).select("doc_id", "lang")
-    return rows.join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # a stretch of hashes that holds about twice as many as wanted; one row for each language comes to the driver
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.select("lang", "text")
+    stretch = {lang: min(2**64 - 1, 2**64 * 2 * fit.fit_docs // n) - 2**63 for lang, n in counts.items()}
+    ends = [F.lit(x) for pair in stretch.items() for x in pair]
+    turn = F.xxhash64("doc_id", F.lit(4))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= F.create_map(*ends)[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy("turn", "doc_id")
+    ids = rows.select("doc_id", "lang", "turn").withColumn("n", F.row_number().over(first)).where(F.col("n") <= fit.fit_docs)
+    return rows.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 @dataclass
