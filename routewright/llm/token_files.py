@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from routewright.llm.bpe import runs_of_text, shared_vocabulary
 
 #: Entries after which a worker's cache starts anew; it only saves work.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_200_000
 #: Ids after which a run of documents ends; a longer document is a run of its own.
 RUN_IDS = 1 << 19
 _MAGIC = b"DAC1"
@@ -121,10 +122,11 @@ class Addressable:
         return out
 
 
-class LibraryIds:
-    """Ids of texts by the tokenizers library, each piece between white space encoded once."""
+class LibraryIds(dict):
+    """Ids of texts by the tokenizers library; each piece between white space is encoded once and kept as bytes."""
 
     def __init__(self, content: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -132,31 +134,29 @@ class LibraryIds:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._tokens = self._tokenizer.model.tokenize
-        self._known: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self._tokens(word)], "<u4").tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self._piece(piece)
+        return ids
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():  # such letters are their own byte letters
             if piece.isalpha():
-                return self._word(piece.lower())
-            if piece[-1] in ".,!?;:" and piece[:-1].isalpha():
-                return self._word(piece[:-1].lower()) + self._word(piece[-1])
-        return np.array(self._tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+                lower = piece.lower()
+                return self[lower] if lower != piece else array("I", [t.id for t in self._tokens(piece)]).tobytes()
+            if len(piece) > 1 and piece[-1] in ".,!?;:" and piece[:-1].isalpha():
+                return self[piece[:-1].lower()] + self[piece[-1]]
+        return array("I", self._tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as unsigned 32-bit integers."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, but not to the library
-            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, pieces = self._known, text.split()
-        for piece in set(pieces).difference(known):
-            known[piece] = self._piece(piece)
-        return b"".join([known[p] for p in pieces])
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.split()))
 
     def trim(self) -> None:
-        if len(self._known) > CACHE_CHUNKS:
-            self._known.clear()
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +214,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 counts = np.frombuffer(row["counts"], "<i8")
                 begins = np.concatenate(([0], np.cumsum(counts)))
                 coded = Addressable.from_bytes(row["coded"])
-                crc = [zlib.crc32(coded.range(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(begins, begins[1:])]
+                ids = memoryview(coded.range(0, len(coded)).astype("<u4").tobytes())
+                crc = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(begins.tolist(), begins[1:].tolist())]
                 have = np.frombuffer(row["has_id"], np.uint8).astype(bool)
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
