@@ -89,38 +89,46 @@ def live_shares(events: DataFrame, now, ttl: timedelta = SHARE_TTL, cap: int = S
 def stream_shares(events: DataFrame, lateness: str = "1 hour", ttl: timedelta = SHARE_TTL, cap: int = SHARE_CAP) -> DataFrame:
     """Streaming twin of :func:`live_shares`: emits the surviving shares of a shard whenever it changes.
 
-    State is split by a hash of the share id into shards. Each keeps its newest ``cap`` shares, so together they always
+    Ids and payloads are text; of shares with one id the newest stands. State is split by a hash of the id into shards. Each keeps its newest ``cap`` shares, so together they always
     hold the newest ``cap`` overall; :func:`merge_shards` picks those. Rows of a shard share its version number.
     """
-    keyed = events.withWatermark("created_at", lateness).withColumn(
+    texts = events.withColumn("share_id", F.col("share_id").cast("string")).withColumn("payload", F.col("payload").cast("string"))
+    keyed = texts.withWatermark("created_at", lateness).withColumn(
         "shard", F.pmod(F.xxhash64("share_id"), F.lit(_SHARDS)).cast("int")
     )
     ttl_ns = int(ttl.total_seconds() * 1e9)
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, ids, stamps = state.get if state.exists else (0, [], [])
-        held = dict(zip(ids, stamps))
+        version, ids, stamps, payloads = state.get if state.exists else (0, [], [], [])
+        held = {i: (s, p) for i, s, p in zip(ids, stamps, payloads)}
         for pdf in batches:
             nanos = pdf["created_at"].astype("datetime64[ns]").astype("int64")
-            for share_id, stamp in zip(pdf["share_id"], nanos):
-                held[int(share_id)] = max(int(stamp), held.get(int(share_id), -1))
+            for share_id, stamp, payload in zip(pdf["share_id"], nanos, pdf["payload"]):
+                if share_id not in held or held[share_id][0] <= stamp:
+                    held[share_id] = (int(stamp), payload)
             if held:
-                newest = max(held.values())
-                ranked = sorted(((s, -i) for i, s in held.items() if newest - s <= ttl_ns), reverse=True)[:cap]
-                held = {-i: s for s, i in ranked}
+                newest = max(stamp for stamp, _ in held.values())
+                alive = sorted((i for i, (stamp, _) in held.items() if newest - stamp <= ttl_ns), key=lambda i: (-held[i][0], i))
+                held = {i: held[i] for i in alive[:cap]}
         version += 1
-        state.update((version, list(held), list(held.values())))
+        state.update((version, list(held), [s for s, _ in held.values()], [p for _, p in held.values()]))
         yield pd.DataFrame({
-            "shard": key[0], "version": version, "share_id": list(held), "created_at": pd.to_datetime(list(held.values()))
+            "shard": key[0], "version": version, "share_id": list(held),
+            "created_at": pd.to_datetime([s for s, _ in held.values()]), "payload": [p for _, p in held.values()],
         })
 
-    return keyed.select("shard", "share_id", "created_at").groupBy("shard").applyInPandasWithState(
-        keep, "shard int, version long, share_id long, created_at timestamp",
-        "version long, ids array<long>, stamps array<long>", "update", GroupStateTimeout.NoTimeout,
+    return keyed.select("shard", "share_id", "created_at", "payload").groupBy("shard").applyInPandasWithState(
+        keep, "shard int, version long, share_id string, created_at timestamp, payload string",
+        "version long, ids array<string>, stamps array<long>, payloads array<string>", "update", GroupStateTimeout.NoTimeout,
     )
 
 
 def merge_shards(emitted: DataFrame, now, ttl: timedelta = SHARE_TTL, cap: int = SHARE_CAP) -> DataFrame:
     """Live shares from the latest version of every shard."""
     latest = emitted.groupBy("shard").agg(F.max("version").alias("version"))
-    return live_shares(emitted.join(latest, ["shard", "version"]).select("share_id", "created_at"), now, ttl, cap)
+    return live_shares(emitted.join(latest, ["shard", "version"]).select("share_id", "created_at", "payload"), now, ttl, cap)
+
+
+def find_shares(emitted: DataFrame, asked: DataFrame, now, ttl: timedelta = SHARE_TTL, cap: int = SHARE_CAP) -> DataFrame:
+    """Live shares with the ids in ``asked`` (share_id)."""
+    return merge_shards(emitted, now, ttl, cap).join(asked.select(F.col("share_id").cast("string")), "share_id", "left_semi")

@@ -99,11 +99,11 @@ def test_streamed_index_equals_replay(spark, tmp_path):
 
 def test_share_stream_agrees_with_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
-    data = [(i, start + dt.timedelta(hours=(i * 37) % 300)) for i in range(400)]
+    data = [(f"s{i:03}", start + dt.timedelta(hours=(i * 37) % 300), f"{{\"n\": {i}}}") for i in range(400)]
     source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "cp"))
     for part in (data[:150], data[150:]):
-        spark.createDataFrame(part, "share_id long, created_at timestamp").write.mode("append").parquet(source)
-    stream = spark.readStream.schema("share_id long, created_at timestamp").option("maxFilesPerTrigger", 3).parquet(source)
+        spark.createDataFrame(part, "share_id string, created_at timestamp, payload string").write.mode("append").parquet(source)
+    stream = spark.readStream.schema("share_id string, created_at timestamp, payload string").option("maxFilesPerTrigger", 3).parquet(source)
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -111,15 +111,28 @@ def test_share_stream_agrees_with_batch(spark, tmp_path):
     query = streams.stream_shares(stream, "30 days", cap=50).writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    now = F.lit(max(t for _, t in data))
-    all_rows = spark.createDataFrame(data, "share_id long, created_at timestamp")
-    want = [r["share_id"] for r in streams.live_shares(all_rows, now, cap=50).collect()]
+    now = F.lit(max(t for _, t, _ in data))
+    all_rows = spark.createDataFrame(data, "share_id string, created_at timestamp, payload string")
+    want = [(r["share_id"], r["payload"]) for r in streams.live_shares(all_rows, now, cap=50).collect()]
     emitted = spark.read.option("basePath", out).parquet(out)
-    got = [r["share_id"] for r in streams.merge_shards(emitted, now, cap=50).collect()]
+    got = [(r["share_id"], r["payload"]) for r in streams.merge_shards(emitted, now, cap=50).collect()]
     assert got == want and len(got) == 50
+    asked = spark.createDataFrame([(want[3][0],), ("s999",), ], "share_id string")
+    assert [(r["share_id"], r["payload"]) for r in streams.find_shares(emitted, asked, now, cap=50).collect()] == [want[3]]
     assert streams.live_shares(all_rows, F.lit(dt.datetime(2024, 3, 1))).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from routewright.session import shared_dir
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=nothing))
+
+
 def test_attempts_are_recorded_once(spark, tmp_path):
     rows = [(i % 5, i % 2, dt.datetime(2024, 1, 1, i % 24), f"o{i % 2}") for i in range(40)]
     source, ledger, checkpoint = (str(tmp_path / p) for p in ("in", "ledger", "cp"))

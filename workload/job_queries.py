@@ -89,12 +89,12 @@ def stream_attempts(spark, d):
 
 
 _SHARES = "SELECT event_id AS share_id, ts AS created_at, props AS payload FROM {events}"
-_LIVE = """SELECT event_id AS share_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM {events}
+_LIVE = """SELECT CAST(event_id AS VARCHAR) AS share_id, props AS payload, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM {events}
            WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL 7 DAY ORDER BY ts DESC, event_id LIMIT 1024"""
 
 
 def _shown(df):
-    return df.select("share_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    return df.select(F.col("share_id").cast("string"), "payload", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query(_LIVE)
@@ -106,7 +106,8 @@ def live_shares(spark, d):
 @query(_LIVE)
 def stream_shares(spark, d):
     emitted = staging_path(spark, "shares")
-    shares = _event_stream(spark, d).select(F.col("event_id").alias("share_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    shares = _event_stream(spark, d).select(F.col("event_id").alias("share_id"), F.col("ts").cast("timestamp").alias("created_at"),
+                                               F.col("props").alias("payload"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{emitted}/batch_id={batch_id}")
