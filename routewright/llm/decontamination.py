@@ -1,13 +1,14 @@
 """Benchmark items in documents, exact or with some words changed.
 
-Texts become lower-case words. The CGK random walk embeds a window of words so that few edits become few differing
-places; bit-sampling LSH draws some places of several walks as keys. Items and all item-sized windows of documents that
-share a key are candidates, and an exact edit distance over words decides.
+Texts become lower-case words. An item that may have e edits is cut into e + 1 pieces side by side; an edit changes one
+piece at most, so a document that holds the item holds one piece as it stands. The pieces are the keys: passages and items
+that share one are candidates, and an exact edit distance over words decides. The target recall is therefore 1 for items
+of every length and for every kind of edit, and no number of tries has to be derived from it.
 
 By the q-gram lemma a window that begins with its item keeps all but two of the item's word bigrams for each edit (an
 inserted word breaks one and pushes one out, any other edit breaks two), so windows with too few benchmark bigrams are
-passed over before the walk. That never loses a match. The bigram filter is a Bloom bitmap of fixed size, whatever the
-number of items. Equal passages of many documents are verified once.
+passed over before keys are looked for. That never loses a match. The filters of bigrams and of keys are Bloom bitmaps of
+fixed size, whatever the number of items. Equal passages of many documents are verified once.
 
 Items with fewer than ``least_words`` words are too short to tell a leak and are not searched; null texts have no words.
 Rows that repeat a doc_id or an item_id count as one. Rows without an id are not reported. Other columns are not read. An
@@ -40,11 +41,7 @@ class LeakSearch:
     least_words: int = 8
     #: Ratio of one window size to the next; an item is searched by the largest size that it fills.
     size_step: float = 1.2
-    walks: int = 32
-    #: Places sampled from a walk.
-    samples: int = 3
     bitmap_bits: int = 1 << 24
-    seed: int = 20
 
     def window(self, words: int) -> int:
         """The window size of an item."""
@@ -60,25 +57,9 @@ class LeakSearch:
         """Most edits of any item that is searched by this window size."""
         return self.edits(max(window, math.ceil(window * self.size_step) - 1))
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, window: int) -> np.ndarray:
-        """LSH keys (walks x windows) of windows [start, stop) of a word array; a walk past its window reads a blank."""
-        random = np.random.default_rng([self.seed, window])
-        steps = 2 * window
-        turn = random.integers(1, 1 << 63, (steps, self.walks), np.uint64) << np.uint64(1) | np.uint64(1)
-        sampled = np.zeros((steps, self.walks), bool)
-        for walk in range(self.walks):
-            sampled[random.choice(steps, self.samples, replace=False), walk] = True
-        at = np.broadcast_to(starts, (self.walks, len(starts))).copy()
-        padded = np.append(words, np.uint64(0))
-        key = np.broadcast_to((np.arange(self.walks, dtype=np.uint64) + np.uint64(window << 32))[:, None], at.shape).copy()
-        for step in range(steps):
-            inside = at < stops
-            symbol = padded[np.where(inside, at, len(words))]
-            takes = sampled[step]
-            if takes.any():
-                key[takes] = mix(key[takes] * np.uint64(0x9E3779B97F4A7C15) + symbol[takes])
-            at += (((symbol * turn[step][:, None]) >> np.uint64(63)) & inside).astype(at.dtype)
-        return mix(key)
+    def piece(self, words: int) -> int:
+        """Words of each of the pieces of an item, one piece more than it may have edits."""
+        return words // (self.edits(words) + 1)
 
 
 def _plain(data: np.ndarray) -> np.ndarray:
@@ -98,6 +79,19 @@ def _bigram_places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mix(hashes[:-1] * np.uint64(3) + hashes[1:]) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _key_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Key of the run of ``size`` words at each word; the last runs of fewer words have none."""
+    count = max(0, len(hashes) - size + 1)
+    key = np.full(count, size, np.uint64)
+    for n in range(size):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[n:n + count])
+    return key
+
+
 def words_of(text: str) -> list[str]:
     """Words of a normalised passage."""
     return _WORDS(text)
@@ -125,7 +119,7 @@ def edit_distance_within(item: list[str], passage: list[str]) -> tuple[int, int]
 
 
 def items_table(benchmark: DataFrame, params: LeakSearch) -> DataFrame:
-    """``item_id, item, n_words, window, keys, places``: the normalised item, its keys and its bigrams' places in the bitmap."""
+    """``item_id, item, n_words, window, piece, keys, places``: the normalised item, its pieces and its bigrams' places in the bitmap."""
     def run(batches):
         for batch in batches:
             for block in _blocks(batch.column(1)):
@@ -135,22 +129,23 @@ def items_table(benchmark: DataFrame, params: LeakSearch) -> DataFrame:
                     a, b = int(block.first[row]), int(block.first[row + 1])
                     if b - a >= params.least_words:
                         window, hashes = params.window(b - a), block.hashes[a:b]
-                        keys = params.keys(hashes, np.array([0]), np.array([window]), window)[:, 0]
+                        piece = params.piece(b - a)
+                        keys = np.unique(_runs(hashes, piece)[::piece][:params.edits(b - a) + 1])
                         text = bytes(block.data[block.starts[a]:block.ends[b - 1]]).decode("utf-8", "replace")
-                        out.append((item, text, b - a, window, keys.view(np.int64), np.unique(_bigram_places(hashes, params.bitmap_bits))))
-                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                        out.append((item, text, b - a, window, piece, keys.view(np.int64), np.unique(_bigram_places(hashes, params.bitmap_bits))))
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)],
-                                                 ["item_id", "item", "n_words", "window", "keys", "places"])
+                                                 ["item_id", "item", "n_words", "window", "piece", "keys", "places"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     return rows.where("item_id is not null").mapInArrow(
-        run, "item_id long, item string, n_words int, window int, keys array<long>, places array<long>")
+        run, "item_id long, item string, n_words int, window int, piece int, keys array<long>, places array<long>")
 
 
-def passages(docs: DataFrame, windows: list[int], bitmap, params: LeakSearch) -> DataFrame:
-    """``doc_id, passage, keys``: merged neighbourhoods of windows that hold enough benchmark bigrams, with the windows' keys."""
+def passages(docs: DataFrame, windows: list[int], pieces: list[int], bitmaps, params: LeakSearch) -> DataFrame:
+    """``doc_id, passage, keys``: merged neighbourhoods of windows that hold enough benchmark bigrams, with the items' pieces in them."""
     def run(batches):
-        flags = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
+        flags, marked = (np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool) for bits in bitmaps.value)
         for batch in batches:
             for block in _blocks(batch.column(1)):
                 ids, texts, keys = [], [], []
@@ -167,24 +162,31 @@ def passages(docs: DataFrame, windows: list[int], bitmap, params: LeakSearch) ->
                         held = sums[np.maximum(stop - 1, np.arange(n))] - sums[:n]
                         good = np.flatnonzero((held >= max(1, window - 1 - 2 * edits)) & (stop - np.arange(n) >= window - edits))
                         if len(good):
-                            found = params.keys(block.hashes, good, stop[good], window)
                             starts.append(good - edits)
                             stops.append(stop[good] + 2 * edits + math.ceil(window * (params.size_step - 1)))
-                            marks.append((good, found.T))
+                            marks.append(good)
                     if starts:
-                        at = np.concatenate([m[0] for m in marks])
-                        found = np.concatenate([m[1] for m in marks])
+                        at = np.concatenate(marks)
                         low = np.maximum(np.concatenate(starts), block.first[row[at]])
                         high = np.minimum(np.concatenate(stops), last[at])
                         order = np.argsort(low, kind="stable")
-                        at, found, low, high = at[order], found[order], low[order], high[order]
+                        at, low, high = at[order], low[order], high[order]
                         reach = np.maximum.accumulate(high)
                         cuts = np.flatnonzero((low[1:] >= reach[:-1])) + 1
+                        runs = []  # (size, places of runs that may be a piece, their keys)
+                        for size in pieces:
+                            key = _runs(block.hashes, size)
+                            place = np.flatnonzero(marked[_key_places(key, params.bitmap_bits)])
+                            runs.append((size, place, key[place]))
                         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
                             begin, end = int(low[a]), int(reach[b - 1])
+                            here = np.unique(np.concatenate(
+                                [key[np.searchsorted(place, begin):np.searchsorted(place, end - size, side="right")] for size, place, key in runs]))
+                            if not len(here):
+                                continue
                             ids.append(block.rows.start + int(row[begin]))
                             texts.append(bytes(block.data[block.starts[begin]:block.ends[end - 1]]).decode("utf-8", "replace"))
-                            keys.append(np.unique(found[a:b]).view(np.int64))
+                            keys.append(here.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(texts, pa.string()), pa.array(keys, pa.list_(pa.int64()))],
                     ["doc_id", "passage", "keys"])
@@ -210,12 +212,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakSearch = LeakS
 
     spark = docs.sparkSession
     items = cut_lineage(items_table(benchmark, params))
-    windows = sorted(r["window"] for r in items.select("window").distinct().collect())  # a few sizes, whatever the item count
-    bitmap = np.zeros(params.bitmap_bits, bool)
-    places = items.select(F.explode("places").alias("place")).distinct().toArrow()  # no more than the bits of the bitmap
-    bitmap[places.column(0).to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap, bitorder="little").tobytes())
-    found = passages(docs, windows, shared, params).withColumn("passage_id", F.md5("passage"))
+    # a few sizes, whatever the item count
+    sizes = items.select("window", "piece").distinct().collect()
+    windows, pieces = sorted({r["window"] for r in sizes}), sorted({r["piece"] for r in sizes})
+    bitmaps = []
+    for place in (F.explode("places"), F.explode(F.transform("keys", lambda key: key.bitwiseAND(params.bitmap_bits - 1)))):
+        bitmap = np.zeros(params.bitmap_bits, bool)
+        places = items.select(place.alias("place")).distinct().toArrow()  # no more than the bits of the bitmap
+        bitmap[places.column(0).to_numpy()] = True
+        bitmaps.append(np.packbits(bitmap, bitorder="little").tobytes())
+    shared = spark.sparkContext.broadcast(bitmaps)
+    found = passages(docs, windows, pieces, shared, params).withColumn("passage_id", F.md5("passage"))
     found = cut_lineage(found)
     different = found.groupBy("passage_id").agg(F.first("passage").alias("passage"), F.first("keys").alias("keys"))
     different = cut_lineage(different)

@@ -262,6 +262,23 @@ def test_leaks_match_brute_force(spark):
     assert decontamination.find_leaks(frame(spark, rows), marks.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["insert", "delete", "substitute", "mixed"])
+def test_leaks_at_the_edit_limit_whatever_the_length(spark, kind):
+    r, params = random.Random(23), decontamination.LeakSearch()
+    words = {n: [f"w{r.randrange(5000)}" for _ in range(size)] for n, size in enumerate([*range(8, 32), 40, 59, 100, 100, 200, 200, 300, 400])}
+    rows = []
+    for n, item in words.items():
+        held, at = [], set(r.sample(range(len(item)), params.edits(len(item))))
+        for place, word in enumerate(item):
+            act = r.choice(["insert", "delete", "substitute"]) if kind == "mixed" else kind
+            new = [f"q{r.randrange(99)}"]
+            held += [word] if place not in at else {"insert": new + [word], "delete": [], "substitute": new}[act]
+        rows.append((n, " ".join([*prose(n, 30).split(), *held, *prose(n + 90, 30).split()]), None, None))
+    marks = spark.createDataFrame([(n, " ".join(item)) for n, item in words.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(frame(spark, rows), marks, params).collect()}
+    assert got == {(n, n) for n in words}
+
+
 # --- language ---------------------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
