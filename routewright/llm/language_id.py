@@ -32,9 +32,11 @@ UNKNOWN = "und"
 CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _PART = 64
-#: Forward sums are scaled by this for each letter, so that words of 64 letters stay within a double.
+#: Forward sums are scaled by this for each letter, which keeps those of usual words near 1.
 _LETTER_SCALE = 16.0
 _NO_PIECE = 1e-9
+#: Sums that fall below the limit everywhere ahead are lifted by this power of two, which is counted.
+_LIFT_UNDER, _LIFT = 1e-100, 2.0**332
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,7 @@ class Pieces:
         self._piece[list(ends)] = list(ends.values())
         self.count = len(pieces)
         self.lengths = np.array([len(p) for p in pieces])
+        self.longest = max(1, int(self.lengths.max(initial=1)))
 
     def matrix(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(letter codes by place and word, longest word first; how many words have a letter at each place)."""
@@ -116,6 +119,17 @@ def text_words(text: str) -> list[str]:
     return words
 
 
+def _lift(columns: np.ndarray, lifts: np.ndarray) -> None:
+    """Lift the sums (place x word, ...) of which all places that are still in use are nearly 0, and count it in ``lifts``."""
+    low = np.nonzero(columns[0] < _LIFT_UNDER)
+    if len(low[0]):
+        ahead = columns[(slice(None), *low)]
+        lifted = ahead.max(0) < _LIFT_UNDER
+        which = tuple(x[lifted] for x in low)
+        columns[(slice(None), *which)] = ahead[:, lifted] * _LIFT
+        lifts[which] += 1
+
+
 def word_scores(pieces: Pieces, scaled: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability (words x languages) of distinct words; ``scaled`` is pieces x languages, each times the letter scale."""
     out = np.empty((len(words), scaled.shape[1]))
@@ -125,16 +139,21 @@ def word_scores(pieces: Pieces, scaled: np.ndarray, words: list[str]) -> np.ndar
         codes, active = pieces.matrix(["▁" + words[n] for n in part])
         sizes = np.array([len(words[n]) + 1 for n in part])
         forward = np.zeros((len(codes) + 1, len(part), scaled.shape[1]))
+        lifts = np.zeros(forward.shape[1:])
         forward[0] = 1.0
         reached = 0
-        for place, after, which, piece in pieces.matches(codes, active):
-            for at in range(reached, place):  # what no piece covers goes on at a fixed cost
+
+        def go_on(to):
+            for at in range(reached, to):  # what no piece covers goes on at a fixed cost
                 forward[at + 1] += forward[at] * (_NO_PIECE * _LETTER_SCALE)
+                _lift(forward[at + 1:at + 1 + pieces.longest, :active[at]], lifts[:active[at]])
+
+        for place, after, which, piece in pieces.matches(codes, active):
+            go_on(place)
             reached = max(reached, place)
             forward[after, which] += forward[place, which] * scaled[piece]
-        for at in range(reached, len(codes)):
-            forward[at + 1] += forward[at] * (_NO_PIECE * _LETTER_SCALE)
-        out[part] = np.log(forward[sizes, np.arange(len(part))]) - (sizes * np.log(_LETTER_SCALE))[:, None]
+        go_on(len(codes))
+        out[part] = np.log(forward[sizes, np.arange(len(part))]) - lifts * np.log(_LIFT) - (sizes * np.log(_LETTER_SCALE))[:, None]
     return out
 
 
@@ -148,24 +167,50 @@ def expected_counts(pieces: Pieces, scaled: np.ndarray, words: list[str], langua
         sizes = np.array([len(words[n]) + 1 for n in part])
         tongue, lanes = language[part], np.arange(len(part))
         forward, backward = np.zeros((2, len(codes) + 1, len(part)))
+        # how often each column of sums was lifted when it was complete
+        lifts, forward_lifts, backward_lifts = np.zeros(len(part)), np.zeros(forward.shape), np.zeros(forward.shape)
         forward[0] = 1.0
         backward[sizes, lanes] = 1.0
         found, reached = list(pieces.matches(codes, active)), 0
-        for place, after, which, piece in found:
-            for at in range(reached, place):
+
+        def go_on(to):
+            for at in range(reached, to):
                 forward[at + 1] += forward[at] * (_NO_PIECE * _LETTER_SCALE)
+                _lift(forward[at + 1:at + 1 + pieces.longest, :active[at]], lifts[:active[at]])
+                forward_lifts[at + 1] = lifts
+
+        for place, after, which, piece in found:
+            go_on(place)
             reached = max(reached, place)
             forward[after, which] += forward[place, which] * scaled[piece, tongue[which]]
-        for at in range(reached, len(codes)):
-            forward[at + 1] += forward[at] * (_NO_PIECE * _LETTER_SCALE)
-        left = len(codes)
-        scale = weight[part] / forward[sizes, lanes]
+        go_on(len(codes))
+        end, end_lifts, lifts = forward[sizes, lanes], lifts, np.zeros(len(part))
+        left, lifted = len(codes), bool(end_lifts.any())
+        scale = weight[part] / end
+
+        def go_back(to):
+            for at in range(left - 1, to, -1):
+                backward[at] += backward[at + 1] * (_NO_PIECE * _LETTER_SCALE)
+                column, count = backward[at, :active[at]], lifts[:active[at]]
+                step = (column < _LIFT_UNDER) * 1.0 - (column > 1 / _LIFT_UNDER)
+                if step.any():
+                    column *= _LIFT ** step
+                    count += step
+                backward_lifts[at] = lifts
+
         for place, after, which, piece in reversed(found):
-            while left > place + 1:
-                left -= 1
-                backward[left] += backward[left + 1] * (_NO_PIECE * _LETTER_SCALE)
+            go_back(place)
+            left = min(left, place + 1)
             share = scaled[piece, tongue[which]] * backward[after, which]
-            total += np.bincount(piece * scaled.shape[1] + tongue[which], forward[place, which] * share * scale[which], len(total))
+            if lifted or lifts.any():
+                with np.errstate(divide="ignore"):
+                    logs = np.log(forward[place, which]) + np.log(share) - np.log(end[which])
+                power = end_lifts[which] - forward_lifts[place, which] - backward_lifts[after, which]
+                counts = weight[part][which] * np.exp(logs + power * np.log(_LIFT))
+                share = share * _LIFT ** (lifts - backward_lifts[after])[which]
+            else:
+                counts = forward[place, which] * share * scale[which]
+            total += np.bincount(piece * scaled.shape[1] + tongue[which], counts, len(total))
             backward[place, which] += share
     return total.reshape(pieces.count, -1)
 

@@ -299,6 +299,45 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(counts, want, atol=1e-6)
 
 
+def test_forward_sums_of_long_unseen_runs():
+    names = ["▁", "a", "b", "ab", "x", "xx", "xxxxx"]
+    pieces, p = language_id.Pieces(names), np.array([[0.2, 0.1], [0.4, 0.2], [0.3, 0.2], [0.1, 0.1], [1e-9, 0.1], [1e-10, 1e-9], [3e-12, 1e-9]])
+    scaled = p * language_id._LETTER_SCALE ** pieces.lengths[:, None]
+    no_piece = np.log(language_id._NO_PIECE)
+
+    def sums(word, lang):
+        ahead = [-np.inf] * len(word) + [0.0]
+        for at in reversed(range(len(word))):
+            ways = [np.log(p[n, lang]) + ahead[at + len(x)] for n, x in enumerate(names) if word.startswith(x, at)]
+            ahead[at] = np.logaddexp.reduce([*ways, no_piece + ahead[at + 1]])
+        return ahead
+
+    words = ["x" * 64, "q" * 64, "ab" * 32, "x" * 30 + "q" * 34, "a", "q" * 20 + "ab" + "x" * 42]
+    want = [[sums("▁" + w, lang)[0] for lang in (0, 1)] for w in words]
+    assert np.allclose(language_id.word_scores(pieces, scaled, words), want, rtol=1e-9)
+    for n, word in enumerate(words):
+        for lang in (0, 1):
+            got = language_id.expected_counts(pieces, scaled, ["ab", word], np.array([0, lang]), np.array([0.0, 2.0]))[:, lang]
+            ahead, behind = sums("▁" + word, lang), [-np.inf] * (len(word) + 2)
+            behind[0], counts = 0.0, np.zeros(len(names))
+            for at in range(len(word) + 1):
+                behind[at + 1] = np.logaddexp(behind[at + 1], behind[at] + no_piece)
+                for k, x in enumerate(names):
+                    if ("▁" + word).startswith(x, at):
+                        way = behind[at] + np.log(p[k, lang])
+                        counts[k] += 2 * np.exp(way + ahead[at + len(x)] - ahead[0])
+                        behind[at + len(x)] = np.logaddexp(behind[at + len(x)], way)
+            assert np.allclose(got, counts, rtol=1e-6, atol=1e-12), (word, lang)
+
+
+def test_languages_of_texts_with_long_unseen_runs(spark):
+    rows = [(n, prose(n, 60, EN if n % 2 else DE) + (" " + "ж" * 64 if n > 90 else ""), "en" if n % 2 else "de", None) for n in range(120)]
+    rows += [(200 + n, f"{prose(300 + n, 400)} {run} {prose(400 + n, 400)}", None, None) for n, run in enumerate(["漢" * 64, "ъ" * 64, "ꙮ" * 64, "ёъ" * 90])]
+    for row in language_id.identify(frame(spark, rows), PIECES).collect():
+        assert 0 <= row.score <= 1
+        assert row.lang_pred == ("en" if row.doc_id >= 200 or row.doc_id % 2 else "de")
+
+
 def test_languages(spark):
     rows = [(n, prose(n, 60, EN if n % 2 else DE), "en" if n % 2 else "de", None) for n in range(120)]
     rows += [(200, None, "en", None), (201, "", None, None), (202, "12 !?", "de", None), (203, "漢字" * 100, None, None), (None, "und nicht über", "de", None),
