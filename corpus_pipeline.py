@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: quality rules, language, near duplicates, benchmark leaks, token ids.
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all documents that the stage before it kept, and is written as
-Parquet and read again for the next one. All but the last return the columns of ``documents``.
+Parquet and read again for the next one. All but the last return the columns of ``documents``. A stage numbers its rows
+and decides on each row by its number, so rows without a doc_id and rows that share one go or stay for their own text.
 """
 
 from __future__ import annotations
@@ -17,35 +18,47 @@ from routewright.session import cut_lineage
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _named(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of documents whose doc_id is in ``verdicts``; a null id is an id like any other."""
-    ids = verdicts.select(F.col("doc_id").alias("verdict_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["verdict_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``row, number``: each row as a struct, with a number of its own that is written once."""
+    return cut_lineage(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")))
+
+
+def _by_number(numbered: DataFrame) -> DataFrame:
+    """The rows with their number in place of the doc_id."""
+    names = [c for c in numbered.schema["row"].dataType.names if c != "doc_id"]
+    return numbered.select(F.col("number").alias("doc_id"), *(F.col("row").getField(c).alias(c) for c in names))
+
+
+def _rows(numbered: DataFrame, verdicts: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose number is, or for "left_anti" is not, the doc_id of a verdict."""
+    numbers = verdicts.select(F.col("doc_id").alias("number")).distinct()
+    return numbered.join(numbers, "number", how).select("row.*")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and come from hosts that are not rejected."""
-    return _named(docs, quality_rules.judge_documents(docs).where("kept"))
+    numbered = _numbered(docs)
+    return _rows(numbered, quality_rules.judge_documents(_by_number(numbered)).where("kept"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised."""
-    found = language_id.identify(docs, PIECES)
-    return _named(docs, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    numbered = _numbered(docs)
+    # the sample that teaches is drawn by doc_id
+    found = language_id.predict(_by_number(numbered), language_id.fit_languages(docs, PIECES))
+    return _rows(numbered, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id, once."""
-    found = cut_lineage(near_duplicates.near_duplicates(docs))
-    times = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
-    once, again = times.where("times = 1 or doc_id is null"), times.where("times > 1 and doc_id is not null")
-    return _named(docs, once).unionByName(_named(docs, again).dropDuplicates(["doc_id"]))
+    """One document of each group of near duplicates, the one with the smallest doc_id; rows without an id come last."""
+    numbered = _numbered(docs.orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64(F.col("text"))))
+    return _rows(numbered, near_duplicates.near_duplicates(_by_number(numbered)).where("kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["leak_id"], "left_anti")
+    numbered = _numbered(docs)
+    return _rows(numbered, decontamination.find_leaks(_by_number(numbered), table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routewright.session import cut_lineage
@@ -29,13 +29,24 @@ def _prefix(bits: int):
     return F.expr(f"shiftright(hash, {HASH_BITS - bits})")
 
 
+def _hash() -> Column:
+    """The hash of a row's key."""
+    text = F.col("text").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def assign(docs: DataFrame, max_bytes: int) -> DataFrame:
     """``doc_id, shard, depth, n_bytes, shard_bytes`` of every row; ``shard`` is the hash prefix as bits."""
+    return _assign(docs, max_bytes).drop("hash")
+
+
+def _assign(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """The assignment with the ``hash`` of each row."""
     text = F.col("text").cast("string")
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit(""))))
     rows = cut_lineage(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("hash")))
+        _hash().alias("hash")))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     low, high = 0, min(HASH_BITS, max(1, (total // max_bytes).bit_length() + SPARE_BITS))
     placed = None
@@ -49,7 +60,7 @@ def assign(docs: DataFrame, max_bytes: int) -> DataFrame:
         here = rows.withColumn("cell", _prefix(high))
         found = here.join(directory, "cell").select(
             "doc_id", F.lpad(F.conv(F.col("leaf.prefix").cast("string"), 10, 2), F.col("leaf.depth"), F.lit("0")).alias("shard"),
-            F.col("leaf.depth").alias("depth"), "n_bytes", F.col("leaf.shard_bytes").alias("shard_bytes"))
+            F.col("leaf.depth").alias("depth"), "n_bytes", F.col("leaf.shard_bytes").alias("shard_bytes"), "hash")
         placed = found if placed is None else placed.unionByName(found)
         if high == HASH_BITS:
             break
@@ -62,9 +73,9 @@ def assign(docs: DataFrame, max_bytes: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, max_bytes: int, path: str) -> DataFrame:
     """Write all columns of the rows, one folder for each shard, and give the assignment."""
-    placed = cut_lineage(assign(docs, max_bytes))
-    names = placed.where("doc_id is not null").select(F.col("doc_id").alias("shard_doc_id"), F.col("shard").alias("shard_bits")).distinct()
-    joined = docs.join(names, docs["doc_id"].cast("long") == F.col("shard_doc_id")).drop("shard_doc_id")
+    placed = cut_lineage(_assign(docs, max_bytes))
+    names = placed.select(F.col("hash").alias("shard_hash"), F.col("shard").alias("shard_bits")).distinct()
+    joined = docs.join(names, _hash() == F.col("shard_hash")).drop("shard_hash")
     folder = F.concat(F.lit("b"), "shard_bits")
     joined.withColumn("shard_bits", folder).repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
-    return placed
+    return placed.drop("hash")

@@ -420,6 +420,13 @@ def test_shards_of_repeated_and_nameless_rows(spark, tmp_path):
         assert spark.read.parquet(str(folder)).agg(F.sum(F.length("text"))).first()[0] == size <= 200
 
 
+def test_written_shards_hold_rows_without_an_id(spark, tmp_path):
+    rows = frame(spark, [(None, "abc" * n, None, None) for n in range(20)] + [(None, None, None, None), (1, "abc", None, None), (1, "x", None, None)]).drop("shard")
+    sharding.write_shards(rows, 100, str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s")).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, rows.select("doc_id", "text").collect()))
+
+
 # --- quality classifier -----------------------------------------------------------------------------------------
 
 def test_classifier_learns_from_few_labels(spark):
@@ -458,3 +465,22 @@ def test_pipeline_stages(spark, tmp_path):
             out = docs = spark.read.parquet(path)
     assert sorted(x.doc_id for x in out.collect()) == sorted(want)
     assert os.path.isdir(tmp_path / "decontamination")
+
+
+def test_pipeline_stages_decide_row_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    item, good = prose(900, 30), [prose(n, 70) for n in range(12)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def kept(stage, rows):
+        return sorted((x.text for x in dict(corpus_pipeline.STAGES)[stage](spark, frame(spark, rows), str(tmp_path)).collect()), key=str)
+
+    ids = [(None, 7)[n % 2] for n in range(6)]
+    base = [(20 + n, t, "en", "s") for n, t in enumerate(good[6:])]
+    rows = [*((d, t, "en", "s") for d, t in zip(ids, good)), *base]
+    assert kept("quality_rules", [*rows, (None, "short", "en", "s"), (7, "short too", "en", "s")]) == sorted(good)
+    assert kept("language_id", [*rows, (None, "1 2", "en", "s"), (7, "3 4", "en", "s")]) == sorted(good)
+    assert kept("near_duplicates", [*rows, (None, good[0], "en", "s"), (7, good[1], "en", "s"), (None, good[8], "en", "s")]) == sorted(good)
+    leaks = [(d, f"{prose(70, 40)} {item} {prose(71, 40)}", "en", "s") for d in (None, 7)]
+    assert kept("decontamination", [*rows, *leaks]) == sorted(good)
