@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, quality_classifier, quality_rules, sharding, token_files
+from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_classifier, quality_rules, sharding, token_files
 from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
@@ -136,3 +137,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: where crc32(doc_id) ends in 0, the words from one on repeat the first few of them, as the query's contract says."""
+    words = "array_remove(split(translate(text, '\\t\\n\\u000b\\f\\r', '     '), ' '), '')"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("words", F.expr(f"CASE WHEN h % 10 = 0 THEN {words} END")).withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(concat(slice(words, 1, int(a)), "
+                     "transform(sequence(a, n - 1), i -> get(words, int(a + (i - a) % p)))), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summarise(periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
