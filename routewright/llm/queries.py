@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_classifier, quality_rules, sharding, token_files
+from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_classifier, quality_rules, sharding, token_files, warc
 from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
@@ -154,3 +154,17 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
 @query()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summarise(periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keeper FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM k
+""")
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
