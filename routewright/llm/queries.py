@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewright.llm import bpe, decontamination, html_text, language_id, licenses, near_duplicates, periodic_runs, quality_classifier, quality_rules, sharding, token_files, warc
+from routewright.llm import (
+    bpe, decontamination, html_text, language_id, lexical_search, licenses, near_duplicates, periodic_runs, quality_classifier, quality_rules,
+    sharding, token_files, warc)
 from routewright.session import staging_path
 
 #: Folder of the public vocabularies; every operator takes the file as a parameter.
@@ -168,3 +170,25 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS t FROM documents),
+q AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS t FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs),
+i AS (SELECT item_id, term, count(*)::BIGINT AS c FROM (SELECT item_id, unnest(t) AS term FROM q) GROUP BY ALL),
+r AS (SELECT item_id, doc_id,
+        sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0)
+WHERE rank <= 10
+""")
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
