@@ -39,6 +39,8 @@ BLOCK = 256
 SEGMENT_BYTES = 16 << 20
 #: Items that are searched together.
 ITEMS_TOGETHER = 1000
+#: Up to so many terms of all items are sent to the index where it lies; more of them are joined by shuffling both.
+SENT_TERMS = 200_000
 _LARGE = 255
 
 _INDEX = ("segment long, term string, df long, block array<int>, n_postings array<int>, n_pairs array<int>, pair_tf array<int>, "
@@ -296,10 +298,11 @@ def search(index: DataFrame, items: DataFrame, top: int = 10) -> DataFrame:
     groups = max(1, -(-asked.select("item_id").distinct().count() // ITEMS_TOGETHER))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(groups)).cast("int"))
     # items of a part by term, and the documents that hold the term
+    sent = F.broadcast if asked.count() <= SENT_TERMS else lambda df: df
     by_term = asked.groupBy("part", "term").agg(F.collect_list(F.struct("item_id", "times")).alias("uses"))
-    frequency = index.select("term", "df").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
+    frequency = index.select("term", "df").join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(
         F.sum("df").alias("all_df"))
-    by_term = by_term.join(frequency, "term")
+    by_term = sent(cut_lineage(by_term.join(frequency, "term")))
     columns = [c.split()[0] for c in _INDEX.split(", ")]
     matched = index.where("term is not null").join(by_term, "term").select(*columns, "part", "uses", "all_df")
     parts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
