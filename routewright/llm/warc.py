@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from routewright.session import cut_lineage, drop_path
 
-_SLOTS = 65_536
+#: Slots of page_ids whose bytes are summed: some for each shard, within these bounds.
+_SLOTS_A_SHARD, _LEAST_SLOTS, _MOST_SLOTS = 16, 1 << 10, 1 << 18
 _COPY_SALTS = 16
 _RECORD_IDS = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,9 +71,10 @@ def _copies(narrow: DataFrame, params: WarcFiles) -> DataFrame:
 
 def _shards(narrow: DataFrame, params: WarcFiles) -> tuple[int, int, list[tuple[int, int, int]]]:
     """(smallest page_id, ids in a slot, (slot, first shard, shards) of each slot): a bounded table however many pages there are."""
-    low, high = narrow.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum("n_bytes")).first()
     low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // _SLOTS))
+    slots = min(max(_SLOTS_A_SHARD * ((total or 0) // params.shard_bytes + 1), _LEAST_SLOTS), _MOST_SLOTS)
+    width = max(1, -(-(high - low + 1) // slots))
     sums = narrow.groupBy(_slot(low, width).alias("slot")).agg(F.sum("n_bytes").alias("n")).orderBy("slot").collect()
     out, shard, filled = [], 0, 0
     for slot, n in sums:
