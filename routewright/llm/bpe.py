@@ -5,15 +5,18 @@ end there, which a suffix automaton over the vocabulary lists from long to short
 compatible with the last token of the prefix before it, that is, when the merges inside the two tokens finish before any
 merge across their border could happen. Following back-pointers from the end of the word gives the exact ids.
 
-Nulls are empty texts; an empty text has no ids and decodes to an empty text. Repeated rows give repeated results; other
-columns are not read.
+Words are cut out of a text as the library does it: what is beyond ASCII is normalised and split by the library's own
+normalizer and pre-tokenizer, whose tables of letters, numbers and capitals are those of another Unicode version than Python's.
+
+Nulls are empty texts; an empty text has no ids and decodes to an empty text. Repeated rows give repeated results, rows
+without a doc_id too; other columns are not read, whatever their names. Very long texts are encoded whole, chunk by chunk
+between white space. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -99,6 +102,7 @@ class WordBpe:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find_words = regex.compile(pattern.replace("\\s", "\\p{White_Space}")).findall
+        self._normalizer, self._splitter = self._library_parts(spec)
         self.split_spaces = regex.compile(r"\p{White_Space}+").split
         self.surface = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.specials.items()}
         letters = byte_letters()
@@ -123,6 +127,17 @@ class WordBpe:
         self._id_text = {i: str(i) for i in self.surface}
         self._arrays()
 
+    @staticmethod
+    def _library_parts(spec: dict):
+        """The library's normalizer, and its pre-tokenizer without the step that spells bytes as letters."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        plain = {**spec, "added_tokens": [], "pre_tokenizer": None, "post_processor": None, "decoder": None,
+                 "model": {**spec["model"], "vocab": {}, "merges": []}}
+        splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        return Tokenizer.from_str(json.dumps(plain)).normalizer, splitter
+
     def _symbols(self, token: str) -> str:
         """One character for each byte of a vocabulary entry; the last byte of a word has its own 256 characters."""
         closed = bool(self.end) and token.endswith(self.end) and token != self.end
@@ -276,9 +291,10 @@ class WordBpe:
         for n, part in enumerate(self.special_split.split(chunk) if "<" in chunk and self.special_split else [chunk]):
             if n % 2:
                 out.append(self.specials[part])
+            elif part.isascii():
+                out += self.find_words(part.lower())
             else:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += self.find_words(plain.lower())
+                out += [word for word, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(part))]
         return out
 
     def encode_chunks(self, chunks) -> dict[str, list[int]]:

@@ -5,7 +5,8 @@ all ways to cut it into pieces, of the products of their probabilities; a forwar
 text's score is the sum of its words' logarithms. Piece probabilities are learned by expectation and maximisation, with
 the same passes forward and backward over word counts of labelled documents.
 
-Words are runs of letters, lower-cased, with a mark for their beginning. Words of more than 64 letters are scored in
+Words are runs of letters and the marks that combine with them, lower-cased, with a mark for their beginning; digits and
+other numbers are no letters. Words of more than 64 letters are scored in
 parts of 64. A letter that no piece fits costs the same in every language. A null text or one without letters is ``und``
 with score 0, and so is every text if nothing was learned. Ties go to the smaller language name. Rows that repeat come out
 repeated; labels that are null teach nothing. Other columns are not read. An empty table gives an empty result.
@@ -18,10 +19,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ from routewright.session import cut_lineage
 
 UNKNOWN = "und"
 CACHE_WORDS = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+").findall
+_ASCII_WORDS = re.compile(r"[a-z]+").findall
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 _PART = 64
 #: Forward sums are scaled by this for each letter, which keeps those of usual words near 1.
 _LETTER_SCALE = 16.0
@@ -113,7 +117,8 @@ class Pieces:
 
 def text_words(text: str) -> list[str]:
     """Marked lower-case words, parts of long ones."""
-    words = _LETTERS(text.lower())
+    text = text.lower()
+    words = (_ASCII_WORDS if text.isascii() else _WORDS)(text)
     if words and max(map(len, words)) > _PART:
         words = [w[n:n + _PART] for w in words for n in range(0, len(w), _PART)]
     return words
@@ -289,11 +294,12 @@ def fit_languages(docs: DataFrame, vocabulary: str, fit: LanguageFit = LanguageF
     return LanguageModel(languages, names, probabilities)
 
 
-def predict(docs: DataFrame, model: LanguageModel, fit: LanguageFit = LanguageFit()) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row."""
+def predict(docs: DataFrame, model: LanguageModel, fit: LanguageFit = LanguageFit(), carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row, and its columns named by ``carry``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    ids = F.col("doc_id").cast("long").alias("doc_id")
     if not model.languages:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(ids, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *carry)
 
     def run(batches):
         model = shared.value
@@ -320,10 +326,13 @@ def predict(docs: DataFrame, model: LanguageModel, fit: LanguageFit = LanguageFi
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     sure.append(float(1 / np.exp((total - total[best]) * min(1.0, fit.evidence_words / len(words))).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64()), *batch.columns[2:]],
+                ["doc_id", "lang_pred", "score", *carry])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(ids, F.col("text").cast("string").alias("text"), *carry)
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + (kept and f", {kept}"))
 
 
 def identify(docs: DataFrame, vocabulary: str, fit: LanguageFit = LanguageFit()) -> DataFrame:

@@ -10,6 +10,7 @@ often as they are there. Other columns are not read, whatever their names. An em
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from routewright.session import cut_lineage
 #: Fixed values of the base rules.
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
+LONG_WORDS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -36,37 +38,41 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")
 
 
-def measure_text(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every row.
+def measure_text(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every row, and its columns named by ``carry``.
 
     Every three-word window becomes one long: its hash above, its place below, with as many bits for places as the text
-    needs. Sorted, equal windows are neighbours, and the words they cover follow from the gaps between their places.
+    needs. Sorted, equal windows are neighbours, and the words they cover follow from the gaps between their places. What
+    a text needs for places is missing from its hashes, so texts of ``LONG_WORDS`` words and more keep the two apart and
+    compare whole hashes.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
     rows = rows.select(
         "doc_id", "host", _words(F.col("text")).alias("words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"), *carry)
     rows = rows.select(
         "doc_id", "host", "words", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"),
         F.expr("cast(ceil(log2(size(words) + 2)) as int)").alias("bits"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
-    windows = F.expr(
-        "transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> "
-        "shiftleft(xxhash64(w, get(words, i + 1), get(words, i + 2)), bits) | cast(i as bigint))")
-    rows = rows.withColumn("windows", F.sort_array(windows)).drop("words")
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), *carry)
+    each = "transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> {})"
+    full = "xxhash64(w, get(words, i + 1), get(words, i + 2))"
+    windows = F.expr(f"CASE WHEN n_words < {LONG_WORDS} THEN " + each.format(f"shiftleft({full}, bits) | cast(i as bigint)") + " ELSE array() END")
+    pairs = F.expr(f"CASE WHEN n_words >= {LONG_WORDS} THEN " + each.format(f"named_struct('h', {full}, 'i', cast(i as bigint))") + " END")
+    rows = rows.withColumns({"windows": F.sort_array(windows), "pairs": F.sort_array(pairs)}).drop("words")
     found = F.expr(
         "filter(windows, (w, i) -> shiftright(w, bits) = shiftright(get(windows, i - 1), bits) "
         "or shiftright(w, bits) = shiftright(get(windows, i + 1), bits))")
     rows = rows.withColumn("found", found).drop("windows")
-    places = F.expr("sort_array(transform(found, w -> w & (shiftleft(1L, bits) - 1L)))")
-    rows = rows.withColumn("places", places).drop("found")
+    places = F.expr("sort_array(CASE WHEN pairs IS NULL THEN transform(found, w -> w & (shiftleft(1L, bits) - 1L)) ELSE transform("
+                    "filter(pairs, (w, i) -> w.h = get(pairs, i - 1).h or w.h = get(pairs, i + 1).h), w -> w.i) END)")
+    rows = rows.withColumn("places", places).drop("found", "pairs")
     covered = F.expr(
         "aggregate(transform(places, (p, i) -> least(3L, coalesce(get(places, i + 1) - p, 3L))), 0L, (a, x) -> a + x)")
-    return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
+    return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), *carry)
 
 
 def base_failed(rules: HostRules) -> Column:
@@ -100,13 +106,13 @@ def fit_prior(n: int, f: int, k: int, n2: int, ff: float, most_weight: float) ->
     return mean * weight, (1 - mean) * weight
 
 
-def judge_documents(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The measures of every row with ``base_failed``, ``host_rate`` and ``kept``."""
-    measured = cut_lineage(measure_text(docs).withColumn("base_failed", base_failed(rules)))
+def judge_documents(docs: DataFrame, rules: HostRules = HostRules(), carry: Sequence[str] = ()) -> DataFrame:
+    """The measures of every row with ``base_failed``, ``host_rate`` and ``kept``, and its columns named by ``carry``."""
+    measured = cut_lineage(measure_text(docs, carry).withColumn("base_failed", base_failed(rules)))
     hosts = host_rates(measured, rules).select(
         F.coalesce("host", F.lit("")).alias("host_key"), F.isnull("host").alias("no_host"), "host_rate", "host_rejected")
     keyed = measured.withColumn("host_key", F.coalesce("host", F.lit(""))).withColumn("no_host", F.isnull("host"))
     joined = keyed.join(hosts, ["host_key", "no_host"], "left")
     return joined.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
-        (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
+        (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"), *carry)

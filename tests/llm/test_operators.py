@@ -62,6 +62,16 @@ def test_bpe_matches_the_library(spark, tokenizer):
         assert short[n].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("form", ["a{}b", "{}", "É{0}1{0}"])
+def test_bpe_matches_the_library_on_every_code_point(tokenizer, form):
+    with open(WORD_BPE, encoding="utf-8") as file:
+        coder = bpe.word_bpe(file.read())
+    for begin in range(0, 0x110000, 4096):
+        letters = [chr(c) for c in range(begin, begin + 4096) if not 0xD800 <= c < 0xE000]
+        text = " ".join(map(form.format, letters))
+        assert coder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, hex(begin)
+
+
 def test_bpe_long_and_short_words_take_the_same_ids():
     coder = bpe.word_bpe(open(WORD_BPE, encoding="utf-8").read())
     r = random.Random(4)
@@ -197,6 +207,16 @@ def test_quality_rules(spark):
         assert row.base_failed == (n < 50 or 100 * covered > 50 * n)
 
 
+def test_repeats_in_a_very_long_text(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(1 << 60)}" for _ in range(1_000_000)]
+    again = [words[100:104], words[7:9], words[100:103], words[200_000:200_003]]
+    text = " ".join(words + [w for part in again for w in [*part, f"x{r.random()}"]])
+    got = quality_rules.measure_text(frame(spark, [(1, text, "en", "s"), (2, "a b c d " * 3, "en", "s")])).orderBy("doc_id").collect()
+    # the windows at 100 and 101, those at 200,000 and their copies; two words in a row are no window
+    assert [(x.n_words, x.n_repeat_words) for x in got] == [(len(text.split()), 4 + 4 + 3 + 3 + 3), (12, 12)]
+
+
 def test_hosts_take_their_documents_along(spark):
     good, bad = prose(1, 80), "short"
     rows = [(n, bad if n % 10 else good, None, "junk") for n in range(100)]
@@ -338,6 +358,17 @@ def test_languages_of_texts_with_long_unseen_runs(spark):
         assert row.lang_pred == ("en" if row.doc_id >= 200 or row.doc_id % 2 else "de")
 
 
+def test_letters_of_every_code_point():
+    import regex
+
+    for begin in range(0, 0x110000, 4096):
+        letters = [chr(c) for c in range(begin, begin + 4096) if not 0xD800 <= c < 0xE000]
+        for c in letters:
+            lower = c.lower()
+            assert bool(language_id.text_words(c)) == any(regex.match(r"\p{L}", x) is not None for x in lower), hex(ord(c))
+    assert language_id.text_words("½ ② 12 Ⅷ _") == [] and language_id.text_words("a\u0301b") == ["a\u0301b"]
+
+
 def test_languages(spark):
     rows = [(n, prose(n, 60, EN if n % 2 else DE), "en" if n % 2 else "de", None) for n in range(120)]
     rows += [(200, None, "en", None), (201, "", None, None), (202, "12 !?", "de", None), (203, "漢字" * 100, None, None), (None, "und nicht über", "de", None),
