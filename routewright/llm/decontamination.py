@@ -1,9 +1,13 @@
 """Benchmark items in documents, exact or with some words changed.
 
-Texts become lower-case words. An item that may have e edits is cut into e + 1 pieces side by side; an edit changes one
-piece at most, so a document that holds the item holds one piece as it stands. The pieces are the keys: passages and items
-that share one are candidates, and an exact edit distance over words decides. The target recall is therefore 1 for items
-of every length and for every kind of edit, and no number of tries has to be derived from it.
+Texts become lower-case words. An item that may have e edits is cut into windows side by side, about one for each two edits
+(and of 16 words at most), so one of them has a single edit at most. Windows of the same size start at every word of a
+passage. Both are walked at random: at each step the word under the pointer is written down, and a hash of step and word
+tells whether the pointer moves on, so that after an edit the two walks meet again soon and edit distance becomes Hamming
+distance. A key is a few sampled places of one walk. Walks are repeated until a window with one edit, of the kind and at the
+place that is hardest to find, shares a key with its item's with probability ``target_recall``; how many that takes for a
+window size is measured once on random words by fixed seeds. Passages and items that share a key are candidates, and an exact
+edit distance over words decides.
 
 By the q-gram lemma a window that begins with its item keeps all but two of the item's word bigrams for each edit (an
 inserted word breaks one and pushes one out, any other edit breaks two), so windows with too few benchmark bigrams are
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,12 @@ class LeakSearch:
     #: Ratio of one window size to the next; an item is searched by the largest size that it fills.
     size_step: float = 1.2
     bitmap_bits: int = 1 << 24
+    #: Least probability that a window of an item with one edit shares a key with the item's.
+    target_recall: float = 0.999
+    #: Places of a walk that make a key, among its first steps: so many for each word of the window.
+    samples: int = 3
+    steps_a_word: float = 1.5
+    longest_piece: int = 16
 
     def window(self, words: int) -> int:
         """The window size of an item."""
@@ -57,9 +68,13 @@ class LeakSearch:
         """Most edits of any item that is searched by this window size."""
         return self.edits(max(window, math.ceil(window * self.size_step) - 1))
 
+    def pieces(self, words: int) -> int:
+        """Windows of an item, so many that one has no more than one of its edits."""
+        return max(-(-(self.edits(words) + 1) // 2), -(-words // self.longest_piece))
+
     def piece(self, words: int) -> int:
-        """Words of each of the pieces of an item, one piece more than it may have edits."""
-        return words // (self.edits(words) + 1)
+        """Words of each of the windows of an item."""
+        return words // self.pieces(words)
 
 
 def _plain(data: np.ndarray) -> np.ndarray:
@@ -83,13 +98,69 @@ def _key_places(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Key of the run of ``size`` words at each word; the last runs of fewer words have none."""
-    count = max(0, len(hashes) - size + 1)
-    key = np.full(count, size, np.uint64)
-    for n in range(size):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[n:n + count])
-    return key
+@dataclass(frozen=True)
+class Walks:
+    """Random walks over windows of one size: for each a salt for every step, and the steps that its key samples."""
+
+    size: int
+    salts: np.ndarray
+    picks: np.ndarray
+
+    @staticmethod
+    def drawn(size: int, count: int, params: LeakSearch) -> Walks:
+        random = np.random.default_rng([size, 11])
+        steps = max(params.samples, int(params.steps_a_word * size))
+        picks = np.stack([np.sort(random.choice(steps, params.samples, replace=False)) for _ in range(count)])
+        return Walks(size, random.integers(0, 1 << 63, (count, steps), dtype=np.uint64), picks)
+
+    def first(self, count: int) -> Walks:
+        return Walks(self.size, self.salts[:count], self.picks[:count])
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """Keys (windows x walks) of rows of word hashes; 0 stands for no word."""
+        rows, size = np.arange(len(windows)), windows.shape[1]
+        padded = np.concatenate((windows, np.zeros((len(windows), 1), np.uint64)), 1)
+        out = np.empty((len(windows), len(self.picks)), np.uint64)
+        for walk, (salts, picks) in enumerate(zip(self.salts, self.picks.tolist())):
+            place = np.zeros(len(windows), np.int64)
+            key = np.full(len(windows), self.size << 32 | walk, np.uint64)
+            for step in range(picks[-1] + 1):
+                word = padded[rows, np.minimum(place, size)]
+                if step in picks:
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
+                place += (mix(word ^ salts[step]) >> np.uint64(63)).astype(np.int64)
+            out[:, walk] = key
+        return out
+
+
+def edited_windows(size: int, trials: int, random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(windows, texts around them with one edit) of random words, for every kind and place of the edit."""
+    words = lambda *shape: random.integers(1, 1 << 63, shape, dtype=np.uint64)
+    out = []
+    for place in range(size):
+        for kind in range(3):
+            window = words(trials, size)
+            if kind == 0:
+                held = window.copy()
+                held[:, place] = words(trials)
+            else:
+                held = np.delete(window, place, 1) if kind == 1 else np.insert(window, place, words(trials), axis=1)
+            out.append((window, np.concatenate((words(trials, 2), held, words(trials, size)), 1)))
+    return out
+
+
+@lru_cache(maxsize=64)
+def walks_for(size: int, params: LeakSearch) -> Walks:
+    """As many walks as the target recall takes for the kind and place of an edit that they find least often."""
+    if size < 2:
+        return Walks.drawn(size, 1, params)
+    trial = Walks.drawn(size, 32, params)
+    shares = []
+    for window, text in edited_windows(size, 60, np.random.default_rng(size)):
+        keys = trial.keys(window)
+        shares.append(np.any([trial.keys(text[:, n:n + size]) == keys for n in range(5)], 0).mean())
+    found = min(max(min(shares), 0.01), 0.99)
+    return Walks.drawn(size, math.ceil(math.log(1 - params.target_recall) / math.log(1 - found)), params)
 
 
 def words_of(text: str) -> list[str]:
@@ -119,7 +190,7 @@ def edit_distance_within(item: list[str], passage: list[str]) -> tuple[int, int]
 
 
 def items_table(benchmark: DataFrame, params: LeakSearch) -> DataFrame:
-    """``item_id, item, n_words, window, piece, keys, places``: the normalised item, its pieces and its bigrams' places in the bitmap."""
+    """``item_id, item, n_words, window, piece, keys, places``: the normalised item, its windows' keys and its bigrams' places in the bitmap."""
     def run(batches):
         for batch in batches:
             for block in _blocks(batch.column(1)):
@@ -130,7 +201,8 @@ def items_table(benchmark: DataFrame, params: LeakSearch) -> DataFrame:
                     if b - a >= params.least_words:
                         window, hashes = params.window(b - a), block.hashes[a:b]
                         piece = params.piece(b - a)
-                        keys = np.unique(_runs(hashes, piece)[::piece][:params.edits(b - a) + 1])
+                        count = params.pieces(b - a)
+                        keys = np.unique(walks_for(piece, params).keys(hashes[:count * piece].reshape(count, piece)))
                         text = bytes(block.data[block.starts[a]:block.ends[b - 1]]).decode("utf-8", "replace")
                         out.append((item, text, b - a, window, piece, keys.view(np.int64), np.unique(_bigram_places(hashes, params.bitmap_bits))))
                 kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -143,7 +215,9 @@ def items_table(benchmark: DataFrame, params: LeakSearch) -> DataFrame:
 
 
 def passages(docs: DataFrame, windows: list[int], pieces: list[int], bitmaps, params: LeakSearch) -> DataFrame:
-    """``doc_id, passage, keys``: merged neighbourhoods of windows that hold enough benchmark bigrams, with the items' pieces in them."""
+    """``doc_id, passage, keys``: merged neighbourhoods of windows that hold enough benchmark bigrams, with their keys that items have."""
+    walks = [walks_for(size, params) for size in pieces]
+
     def run(batches):
         flags, marked = (np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool) for bits in bitmaps.value)
         for batch in batches:
@@ -173,15 +247,25 @@ def passages(docs: DataFrame, windows: list[int], pieces: list[int], bitmaps, pa
                         at, low, high = at[order], low[order], high[order]
                         reach = np.maximum.accumulate(high)
                         cuts = np.flatnonzero((low[1:] >= reach[:-1])) + 1
-                        runs = []  # (size, places of runs that may be a piece, their keys)
-                        for size in pieces:
-                            key = _runs(block.hashes, size)
-                            place = np.flatnonzero(marked[_key_places(key, params.bitmap_bits)])
-                            runs.append((size, place, key[place]))
+                        begins, ends = low[np.append(0, cuts)], reach[np.append(cuts - 1, len(at) - 1)]
+                        steps = np.zeros(n + 1, np.int64)
+                        np.add.at(steps, begins, 1)
+                        np.add.at(steps, ends, -1)
+                        inside = np.cumsum(steps[:-1]) > 0
+                        runs = []  # (places of windows whose key an item may have, the keys)
+                        for walk in walks:
+                            size = walk.size
+                            stop = np.minimum(np.arange(n) + size, last)
+                            held = sums[np.maximum(stop - 1, np.arange(n))] - sums[:n]
+                            place = np.flatnonzero(inside & (held >= max(1, size - 4)) & (stop - np.arange(n) >= size - 1))
+                            words = place[:, None] + np.arange(size)
+                            words = np.where(words < last[place][:, None], block.hashes[np.minimum(words, n - 1)], np.uint64(0))
+                            found = walk.keys(words)
+                            possible = marked[_key_places(found.ravel(), params.bitmap_bits)].reshape(found.shape)
+                            runs.append((np.repeat(place, possible.sum(1)), found[possible]))
                         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
                             begin, end = int(low[a]), int(reach[b - 1])
-                            here = np.unique(np.concatenate(
-                                [key[np.searchsorted(place, begin):np.searchsorted(place, end - size, side="right")] for size, place, key in runs]))
+                            here = np.unique(np.concatenate([key[slice(*np.searchsorted(place, (begin, end)))] for place, key in runs]))
                             if not len(here):
                                 continue
                             ids.append(block.rows.start + int(row[begin]))

@@ -299,6 +299,28 @@ def test_leaks_at_the_edit_limit_whatever_the_length(spark, kind):
     assert got == {(n, n) for n in words}
 
 
+def test_walks_reach_the_target_recall():
+    params = decontamination.LeakSearch()
+    for size in (5, 6, 7, 8, 9, 12):
+        walks = decontamination.walks_for(size, params)
+        for window, text in decontamination.edited_windows(size, 300, np.random.default_rng(99 + size)):
+            keys = walks.keys(window)
+            found = np.any([walks.keys(text[:, n:n + size]) == keys for n in range(5)], 0).any(1)
+            assert found.mean() >= params.target_recall - 3 * (params.target_recall * (1 - params.target_recall) / 300) ** 0.5
+    assert {params.piece(n) for n in range(8, 600)} <= set(range(5, 11))
+    assert all(params.edits(n) < 2 * params.pieces(n) for n in range(8, 600))
+
+
+def test_leaks_that_share_their_words(spark):
+    """A run of words that all items and many documents hold is a key of them all; still every item is found where it is."""
+    common = prose(77, 8)
+    items = [(n, f"{prose(500 + n, 9)} {common} {prose(600 + n, 9)}") for n in range(20)]
+    rows = [(n, f"{prose(n, 30)} {items[n % 20][1] if n < 60 else common} {prose(2000 + n, 30)}", "en", "s") for n in range(200)]
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(frame(spark, rows), marks).collect()}
+    assert got == {(n, n % 20) for n in range(60)}
+
+
 # --- language ---------------------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
