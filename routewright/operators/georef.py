@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewright.functions import geo
+from routewright.session import cut_lineage
 
 # Consensus distance, number of trials, and anchors needed.
 CONSENSUS_M = 50.0
@@ -69,11 +70,6 @@ def _residual() -> Column:
     )
 
 
-def _largest(first: Column, value: Column, size) -> Column:
-    """Largest of the four whole numbers from ``first`` - 1 on for which ``size`` is at most ``value``."""
-    return F.greatest(*[F.when(size(first + step) <= value, first + step) for step in (-1, 0, 1, 2)]).cast("long")
-
-
 def _pairs_below(c: Column) -> Column:
     return (c * (c - 1) / 2).cast("long")
 
@@ -82,26 +78,31 @@ def _triples_below(c: Column) -> Column:
     return (c * (c - 1) * (c - 2) / 6).cast("long")
 
 
-def _triple(number: Column) -> Column:
-    """Three different indices from 1 on; every number stands for another triple, and small numbers for small indices."""
-    third = _largest(F.floor(F.cbrt(6 * number)), number, _triples_below)
-    rest = number - _triples_below(third)
-    second = _largest(F.floor((1 + F.sqrt(1 + 8 * rest)) / 2), rest, _pairs_below)
-    return F.transform(F.array(rest - _pairs_below(second), second, third), lambda i: (i + 1).cast("int"))
+def _with_largest(df: DataFrame, name: str, guess: Column, value: str, size) -> DataFrame:
+    """``name`` = the largest whole number whose ``size`` is at most ``value``; the guess may be one too high or two too low."""
+    df = df.withColumn("_g", guess.cast("long"))
+    fits = [F.when(size(F.col("_g") + step) <= F.col(value), F.col("_g") + step) for step in (-1, 0, 1, 2)]
+    return df.withColumn(name, F.greatest(*fits)).drop("_g")
 
 
-def _trials(n: Column, image: Column, trials: int) -> Column:
-    """Members of ``trials`` different triples of 1..n, or of all where there are fewer.
+def _trials(frame: DataFrame, trials: int) -> DataFrame:
+    """``image_id, trial, idx``: members of ``trials`` different triples of 1..n_all, or of all where there are fewer.
 
     The triples are numbered, their numbers cut into as many equal stretches as there are trials, and a hash picks one
-    of each stretch.
+    of each stretch. A number is turned into its triple step by step, each step a column that is computed once.
     """
-    total = _triples_below(n.cast("long"))
-    count = F.least(total, F.lit(trials).cast("long"))
-    low = lambda k: F.floor(k * total / count)
-    picked = F.transform(F.sequence(F.lit(0).cast("long"), count - 1),
-                         lambda k: low(k) + F.pmod(F.xxhash64(image, k), low(k + 1) - low(k)))
-    return F.transform(picked, _triple)
+    rows = frame.select("image_id", _triples_below(F.col("n_all").cast("long")).alias("total"))
+    rows = rows.withColumn("count", F.least("total", F.lit(trials).cast("long")))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    rows = rows.withColumns({"low": F.expr("k * total div count"), "high": F.expr("(k + 1) * total div count")})
+    rows = rows.withColumn("number", F.col("low") + F.pmod(F.xxhash64("image_id", "k"), F.col("high") - F.col("low")))
+    rows = _with_largest(rows, "third", F.floor(F.cbrt(6 * F.col("number"))), "number", _triples_below)
+    rows = rows.withColumn("rest", F.col("number") - _triples_below(F.col("third")))
+    rows = _with_largest(rows, "second", F.floor((1 + F.sqrt(1 + 8 * F.col("rest"))) / 2), "rest", _pairs_below)
+    rows = rows.withColumn("first", F.col("rest") - _pairs_below(F.col("second")))
+    members = F.explode(F.array("first", "second", "third"))
+    return rows.select("image_id", F.col("k").cast("int").alias("trial"), members.alias("_i")).select(
+        "image_id", "trial", (F.col("_i") + 1).cast("int").alias("idx"))
 
 
 def fit_affine(gcps: DataFrame, drop_outliers: bool = True, trials: int = TRIALS) -> tuple[DataFrame, DataFrame]:
@@ -127,13 +128,11 @@ def fit_affine(gcps: DataFrame, drop_outliers: bool = True, trials: int = TRIALS
     if drop_outliers:
         many = points.filter(F.col("n_all") > MIN_ANCHORS)
         indexed = many.withColumn("idx", F.row_number().over(Window.partitionBy("image_id").orderBy("label", "x_px", "y_px")))
-        triples = frame.filter(F.col("n_all") > MIN_ANCHORS).select(
-            "image_id", F.posexplode(_trials(F.col("n_all"), F.col("image_id"), trials)).alias("trial", "members"),
-        ).select("image_id", "trial", F.explode("members").alias("idx"))
-        models = _solve(
+        triples = _trials(frame.filter(F.col("n_all") > MIN_ANCHORS), trials)
+        models = cut_lineage(_solve(
             triples.join(indexed, ["image_id", "idx"]).select("image_id", "trial", "x_px", "y_px", "u", "v"),
             ["image_id", "trial"],
-        )
+        ))
         judged = many.join(models, "image_id").withColumn("r", _residual())
         votes = judged.groupBy("image_id", "trial").agg(
             F.count_if(F.col("r") < CONSENSUS_M).alias("inliers"), F.sum(F.col("r") * F.col("r")).alias("sq")

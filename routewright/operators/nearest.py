@@ -65,13 +65,14 @@ def _far_nearest(src: DataFrame, dst: DataFrame, on: list[str], carry: list[str]
 
 def nearest(
     src: DataFrame, dst: DataFrame, on: Sequence[str] = (), radius: float = geo.MATCH_RADIUS_M,
-    near: float = 250.0, clamp: bool = True, carry: Sequence[str] = (),
+    near: float = 250.0, clamp: bool = True, carry: Sequence[str] = (), which: bool = True,
 ) -> DataFrame:
     """Nearest ``dst`` (t_id, lat, lon) of every ``src`` (src_id, lat, lon), within equal ``on`` keys if given.
 
     Distances are in the unit of ``radius``; ties go to the smallest t_id. Most points find their neighbour among the
     cells within ``near``; the rest go down a cell hierarchy, so no point is compared with a whole target set.
-    Points whose key has no target are absent. ``carry`` names columns of ``src`` to keep.
+    Points whose key has no target are absent. ``carry`` names columns of ``src`` to keep. ``which`` = False leaves t_id
+    out, so that minima are taken in hash tables instead of by sorting.
     """
     on, carry = list(on), list(carry)
     size = geo.degrees_for_m(near, radius)
@@ -80,13 +81,16 @@ def nearest(
     src = src.select(*on, "src_id", "lat", "lon", *carry)
     probe = geo.explode_cells(src, F.col("lat"), F.col("lon"), F.lit(size), size)
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"), radius, clamp)
-    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id", *carry).agg(
-        F.min(F.struct(distance.alias("distance"), F.col("t_id"))).alias("_best")
-    ).filter(F.col("_best.distance") <= near)
+    best = F.min(F.struct(distance.alias("distance"), F.col("t_id"))) if which else F.min(distance)
+    found_at = F.col("_best.distance") if which else F.col("_best")
+    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id", *carry).agg(best.alias("_best")).filter(found_at <= near)
     close = cut_lineage(close)
     rest = src.join(close.select("src_id"), "src_id", "left_anti")
     if not rest.isEmpty():
-        close = close.unionByName(_far_nearest(rest, targets, on, carry, radius))
+        far = _far_nearest(rest, targets, on, carry, radius)
+        close = close.unionByName(far if which else far.withColumn("_best", F.col("_best.distance")))
+    if not which:
+        return close.select(*on, "src_id", *carry, F.col("_best").alias("distance"))
     return close.select(*on, "src_id", *carry, F.col("_best.t_id").alias("t_id"), "_best.distance")
 
 
@@ -103,12 +107,10 @@ def mean_nearest(src: DataFrame, dst: DataFrame, key: str, near_m: float = 250.0
     Repeated coordinates are folded into one weighted point first, so they cost one lookup. A line whose counterpart is
     empty gets infinity.
     """
-    folded = src.groupBy(key, "lat", "lon").agg(F.count("*").alias("w")).withColumn(
-        "src_id", F.struct(F.col(key), F.col("lat"), F.col("lon"))
-    )
-    targets = dst.select(key, "lat", "lon").distinct().withColumn("t_id", F.struct("lat", "lon"))
+    folded = src.groupBy(key, "lat", "lon").agg(F.count("*").alias("w")).withColumn("src_id", F.monotonically_increasing_id())
+    targets = dst.select(key, "lat", "lon").distinct().withColumn("t_id", F.lit(0))
     folded = cut_lineage(folded)
-    found = nearest(folded, targets, [key], geo.OUTLINE_RADIUS_M, near_m, clamp=False, carry=["w"])
+    found = nearest(folded, targets, [key], geo.OUTLINE_RADIUS_M, near_m, clamp=False, carry=["w"], which=False)
     means = found.groupBy(key).agg((F.sum(F.col("distance") * F.col("w")) / F.sum("w")).alias("mean_nearest_m"))
     return folded.select(key).distinct().join(means, key, "left").select(
         key, F.coalesce("mean_nearest_m", F.lit(float("inf"))).alias("mean_nearest_m")

@@ -152,13 +152,13 @@ def index_tiles(spark, d):
 
 
 @query(f"""
-    SELECT g.position + 1 + (SELECT max(id) FROM [catalogue] WHERE id % 2 = 0) AS id, t.image_url, t.title, nullif(g.shape, '') AS subcategory, g.city,
+    SELECT g.position + 1 + (SELECT max(id) FROM [catalogue]) AS id, t.image_url, t.title, nullif(g.shape, '') AS subcategory, g.city,
       g.country, g.confidence AS geocode_confidence, {s6('g.lat', 'lat')}, {s6('g.lon', 'lon')}
     FROM ({_GEOCODED}) AS g JOIN [titles] AS t ON t.position = g.position
     UNION ALL SELECT id, image_url, title, subcategory, city, country, geocode_confidence, {s6('lat', 'lat')}, {s6('lon', 'lon')}
-    FROM (SELECT * REPLACE (image_url || '/old' AS image_url) FROM [catalogue] WHERE id % 2 = 0) AS o""")
+    FROM (SELECT * REPLACE (image_url || '/old' AS image_url) FROM [catalogue]) AS o""")
 def index_batch(spark, d):
-    old = derive(spark, d, "catalogue").filter("id % 2 = 0").withColumn("image_url", F.concat("image_url", F.lit("/old")))
+    old = derive(spark, d, "catalogue").withColumn("image_url", F.concat("image_url", F.lit("/old")))
     rows, _ = jobs.index_batch(derive(spark, d, "titles"), derive(spark, d, "place_hits"), old)
     return rows.select(
         "id", "image_url", "title", "subcategory", "city", "country", "geocode_confidence", r6("lat"), r6("lon")
@@ -241,9 +241,9 @@ def needs_label_geocode(spark, d):
     return rows.select("id", "title", "category")
 
 
-@query("SELECT id, title, category FROM [catalogue] WHERE lat IS NOT NULL ORDER BY id LIMIT 500")
+@query("SELECT id, title, category FROM [catalogue] WHERE lat IS NOT NULL")
 def needs_reconstruction(spark, d):
-    rows = cat.needs_reconstruction(derive(spark, d, "catalogue"), retry_attempted=True, limit=500)
+    rows = cat.needs_reconstruction(derive(spark, d, "catalogue"), retry_attempted=True)
     return rows.select("id", "title", "category")
 
 

@@ -257,12 +257,15 @@ def pixel_degree(spark, d):
     return raster.pixel_degree(_stroke(spark, d)[0])
 
 
-_COLUMN = "x = 5 + image_id % 7 AND y % 12 <> 7"
+# Lines of one pixel: those of the whole stroke without a stroke pixel to their left.
+_EDGE = f"(SELECT a.image_id, a.x, a.y FROM ({S_STROKE}) AS a ANTI JOIN ({S_STROKE}) AS b ON b.image_id = a.image_id AND b.x = a.x - 1 AND b.y = a.y)"
 
 
-@query(f"SELECT image_id, x, y FROM ({_DEGREE.replace(f'({S_STROKE})', f'(SELECT * FROM ({S_STROKE}) AS k WHERE {_COLUMN})')}) AS g WHERE degree = 1")
+@query(f"SELECT image_id, x, y FROM ({_DEGREE.replace(f'({S_STROKE})', _EDGE)}) AS g WHERE degree = 1")
 def endpoints(spark, d):
-    return raster.endpoints(_stroke(spark, d)[0].filter(_COLUMN))
+    mask = _stroke(spark, d)[0]
+    beside = mask.select("image_id", (F.col("x") + 1).alias("x"), "y")
+    return raster.endpoints(mask.join(beside, ["image_id", "x", "y"], "left_anti"))
 
 
 @query(f"""WITH RECURSIVE m AS ({S_STROKE}), reach AS (SELECT image_id, x AS rx, y AS ry, x, y FROM m
@@ -296,18 +299,24 @@ def split_requests(spark, d):
     )
 
 
-_VALID = "SELECT * FROM [requests] WHERE shape <> 'yak' AND lat <= 90 AND distance_km BETWEEN 1 AND 50 AND waypoints >= 10 AND search_radius_km > 0"
+# The requests that split_requests lets through, rule by rule; a request without a radius is valid.
+_VALID = ("SELECT * FROM [requests] WHERE shape <> 'yak' AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND distance_km > 0 AND distance_km <= 50 "
+          "AND waypoints BETWEEN 10 AND 80 AND (search_radius_km IS NULL OR (search_radius_km > 0 AND search_radius_km <= 200))")
+
+
+def _valid(spark, d):
+    return routes.split_requests(derive(spark, d, "requests"), derive(spark, d, "outlines"))[0]
 
 
 def _centres(n: str = "candidates") -> str:
     return f"""SELECT *, CASE WHEN c = 0 THEN lat ELSE lat + search_radius_km / 2 * sin(2 * pi() * (c - 1) / greatest({n} - 1, 1)) / 111.32 END AS centre_lat,
                  CASE WHEN c = 0 THEN lon ELSE lon + search_radius_km / 2 * cos(2 * pi() * (c - 1) / greatest({n} - 1, 1)) / (111.32 * cos(radians(lat))) END AS centre_lon
-               FROM (SELECT *, unnest(range({n})) AS c FROM ({_VALID}) AS v) AS u"""
+               FROM (SELECT *, unnest(range(CASE WHEN search_radius_km > 0 THEN {n} ELSE 1 END)) AS c FROM ({_VALID}) AS v) AS u"""
 
 
 @query(f"SELECT request_id, c AS centre_no, {s6('centre_lat', 'lat')}, {s6('centre_lon', 'lon')} FROM ({_centres()}) AS c")
 def candidate_centres(spark, d):
-    rows = derive(spark, d, _VALID).select("request_id", F.posexplode(routes.candidate_centres(
+    rows = _valid(spark, d).select("request_id", F.posexplode(routes.candidate_centres(
         F.col("lat"), F.col("lon"), F.col("search_radius_km"), F.col("candidates"))).alias("centre_no", "c"))
     return rows.select("request_id", F.col("centre_no").cast("long").alias("centre_no"), r6("c.lat", "lat"), r6("c.lon", "lon"))
 
@@ -317,7 +326,7 @@ _SCALE = "distance_km * 1000 / 1.3 / {p} * CASE WHEN scales = 1 THEN 1.0 ELSE 0.
 
 @query(f"SELECT request_id, s AS scale_no, {s6(_SCALE.format(p='100'), 'scale')} FROM (SELECT *, unnest(range(scales)) AS s FROM ({_VALID}) AS v) AS u")
 def candidate_scales(spark, d):
-    rows = derive(spark, d, _VALID).select("request_id", F.posexplode(routes.candidate_scales(
+    rows = _valid(spark, d).select("request_id", F.posexplode(routes.candidate_scales(
         F.col("distance_km") * 1000.0, F.lit(100.0), F.col("scales"))).alias("scale_no", "scale"))
     return rows.select("request_id", F.col("scale_no").cast("long").alias("scale_no"), r6("scale"))
 
@@ -331,7 +340,7 @@ _GRID = f"""SELECT g.request_id, g.shape, g.waypoints, c * scales + s AS candida
 
 
 def _grid(spark, d):
-    requests, outlines = derive(spark, d, _VALID), derive(spark, d, "outlines")
+    requests, outlines = _valid(spark, d), derive(spark, d, "outlines")
     sampled = routes.sampled_outlines(requests, outlines)
     return routes.candidate_grid(requests, sampled), sampled
 
@@ -382,7 +391,7 @@ def _detour_router(waypoints):
 
 @query()
 def search_routes(spark, d):
-    best, lost = routes.search_routes(derive(spark, d, _VALID), derive(spark, d, "outlines"), _detour_router)
+    best, lost = routes.search_routes(_valid(spark, d), derive(spark, d, "outlines"), _detour_router)
     return best.select("request_id", "candidate_no", "distance_m", "fidelity").unionByName(
         lost.select("request_id"), allowMissingColumns=True
     )
@@ -390,7 +399,7 @@ def search_routes(spark, d):
 
 @query()
 def rescale_iterate(spark, d):
-    best, lost = routes.rescale_iterate(derive(spark, d, _VALID), derive(spark, d, "outlines"), _detour_router)
+    best, lost = routes.rescale_iterate(_valid(spark, d), derive(spark, d, "outlines"), _detour_router)
     return best.select("request_id", "iteration", "distance_m", "error").unionByName(
         lost.select("request_id"), allowMissingColumns=True
     )

@@ -44,7 +44,8 @@ def reconstruct_batch(spark, d):
     return outcomes.select("id", "failure", "n_gcps", r6("confidence"), r6("fidelity_score"), "gpx_path")
 
 
-_KNOWN = "SELECT * FROM [catalogue] WHERE id % 2 = 0"
+# The whole catalogue; every image_url of its even rows is another one than any tile's.
+_KNOWN = "SELECT * REPLACE (image_url || CASE WHEN id % 2 = 0 THEN '' ELSE '/old' END AS image_url) FROM [catalogue]"
 
 
 @query(f"""SELECT coalesce(n.image_url, o.image_url) AS image_url, CASE WHEN n.image_url IS NULL THEN o.title ELSE n.title END AS title,
@@ -58,7 +59,9 @@ def stream_index(spark, d):
     derive(spark, d, "titles").write.json(source)
     tiles = spark.readStream.schema("position long, title string, image_url string, thumbnail_url string, category string, page_url string, scraped_at string").json(source)
     streams.stream_index(tiles, derive(spark, d, "place_hits"), changes, staging_path(spark, "checkpoint")).awaitTermination()
-    current = streams.current_catalogue(derive(spark, d, _KNOWN), streams.read_changes(spark, changes))
+    known = derive(spark, d, "catalogue").withColumn(
+        "image_url", F.when(F.col("id") % 2 == 0, F.col("image_url")).otherwise(F.concat("image_url", F.lit("/old"))))
+    current = streams.current_catalogue(known, streams.read_changes(spark, changes))
     return current.select("image_url", "title", "city", "country", r6("lat"), "id")
 
 
