@@ -2,18 +2,21 @@
 
 One view is the text's content: shares of letter kinds, signs and lines, and word measures. The other is the page's
 metadata: source, language and length. Each view has its own logistic classifier. Round by round each gives the other the
-documents of an unlabelled pool that it is surest of, with its label. Both views are then calibrated on labelled documents
-that neither has seen, and the calibrated log odds add up, less the prior counted twice, to the score of every document.
+unlabelled documents that it is surest of, with its label. Both views are then calibrated on labelled documents that neither
+has seen, and the calibrated log odds add up, less the prior counted twice, to the score of every document.
 
-The fit reads a bounded sample: the ``fit_docs`` labelled and ``pool_docs`` other documents with the smallest hashes of
-their ids; what reaches the driver is their features. A null text has no words; null metadata is a value of its own. With
+Texts are read once, into a table of features. All unlabelled documents take part: tasks count how sure a view is of them,
+which gives the threshold of a round for any number of documents, and add up gradients and curvatures of those beyond it;
+these sums, whose size is that of the model, are what the driver gets. Only the labelled rows that it fits on are bounded:
+the ``fit_docs`` with the smallest hashes of their ids. A null text has no words; null metadata is a value of its own. With
 no labelled documents, or labels of one kind only, the score is the share of good labels (0.5 without any). Labels that
-are null or repeat: the smallest counts. Rows that repeat come out repeated. Other columns are not read, and the label
-table's own other columns neither. An empty table gives an empty result.
+are null or repeat: the smallest counts. Rows that repeat come out repeated; rows without a doc_id are scored, but teach
+nothing. Other columns are not read, and the label table's own other columns neither. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,18 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewright.llm.wordhash import blocks
+from routewright.session import cut_lineage
 
 #: Fixed value: signs that junk is full of.
 SIGNS = b"#*$%&|<>"
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
+#: Steps between 0 and the largest log odds by which sureness is counted, and Newton steps of a round at most.
+_ODDS_MOST, _ODDS_STEPS, _NEWTON_STEPS = 20.0, 4000, 8
 
 
 @dataclass(frozen=True)
 class CoTraining:
     fit_docs: int = 12_000
-    pool_docs: int = 12_000
     rounds: int = 4
-    #: Share of the pool that a view may hand over in a round, and how sure it must be.
+    #: Share of the unlabelled documents that a view may hand over in a round, and how sure it must be.
     share: float = 0.05
     sure: float = 0.95
     ridge: float = 1.0
@@ -96,30 +101,26 @@ def metadata_features(source: np.ndarray, lang: np.ndarray, n_chars: np.ndarray)
 class Logistic:
     """Ridge logistic regression on standardised features, with calibration of its log odds."""
 
-    def __init__(self, ridge: float):
-        self.ridge, self.scale, self.shift = ridge, 1.0, 0.0
-
-    @staticmethod
-    def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> np.ndarray:
-        w = np.zeros(x.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-            w = w + step
-            if np.abs(step).max() < 1e-6:
-                break
-        return w
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
+    def __init__(self, x: np.ndarray, ridge: float):
         self.mean, self.spread = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
-        ridge = np.full(x.shape[1] + 1, self.ridge)
-        ridge[-1] = 1e-6
-        self.weights = self._newton(self._scaled(x), y.astype(float), ridge)
-        return self
+        self.ridge = np.full(x.shape[1] + 1, ridge)
+        self.ridge[-1] = 1e-6
+        self.weights = np.zeros(x.shape[1] + 1)
+        self.scale, self.shift = 1.0, 0.0
 
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
+    def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.clip((x - self.mean) / self.spread, -8, 8), np.ones(len(x))])
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the log likelihood of some rows; those of several parts add up."""
+        return _sums(self.scaled(x), y, self.weights)
+
+    def move(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
+        """One Newton step; returns its length."""
+        step = np.linalg.solve(curvature + np.diag(self.ridge), gradient - self.ridge * self.weights)
+        self.weights = self.weights + step
+        return float(np.abs(step).max())
+
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Scale and shift of the log odds by regression on held-out labels; targets a little inside 0 and 1."""
         self.scale, self.shift = 1.0, 0.0
@@ -127,29 +128,19 @@ class Logistic:
         if good and bad:
             target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
             odds = self.odds(x)
-            self.scale, self.shift = self._newton(np.column_stack([odds, np.ones(len(odds))]), target, np.array([1e-3, 1e-3]))
+            rows, w, ridge = np.column_stack([odds, np.ones(len(odds))]), np.zeros(2), np.array([1e-3, 1e-3])
+            for _ in range(25):
+                gradient, curvature = _sums(rows, target, w)
+                w = w + np.linalg.solve(curvature + np.diag(ridge), gradient - ridge * w)
+            self.scale, self.shift = w
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.scale * (self._scaled(x) @ self.weights) + self.shift, -20, 20)
-
-
-def _features(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """``features array<double>`` (text, then metadata) beside ``extra`` columns of the rows."""
-    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra), "text_view array<double>", "page_view array<double>"])
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                views = _views(batch)
-                lists = [pa.array(list(v), pa.list_(pa.float64())) for v in views]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), *lists], [*extra, "text_view", "page_view"])
-
-    return docs.mapInArrow(run, schema)
+        return np.clip(self.scale * (self.scaled(x) @ self.weights) + self.shift, -_ODDS_MOST, _ODDS_MOST)
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    slots = [batch.column(c).to_numpy() for c in ("source_slot", "lang_slot", "length")]
-    return text_features(batch.column("text")), metadata_features(*slots)
+def _sums(rows: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+    return rows.T @ (y - p), (rows * (p * (1 - p))[:, None]).T @ rows
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -159,6 +150,29 @@ def _prepared(docs: DataFrame) -> DataFrame:
                        slot("lang", LANG_SLOTS).alias("lang_slot"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("length"))
 
 
+_FEATURES = "doc_id long, text_view array<double>, source_slot int, lang_slot int, length double"
+
+
+def feature_table(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_view, source_slot, lang_slot, length`` of every row; the texts are not read again."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                view = text_features(batch.column("text"))
+                bounds = pa.array(np.arange(0, view.size + 1, TEXT_FEATURES), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.ListArray.from_arrays(bounds, pa.array(view.ravel())), *batch.columns[2:]],
+                    ["doc_id", "text_view", "source_slot", "lang_slot", "length"])
+
+    return _prepared(docs).mapInArrow(run, _FEATURES)
+
+
+def _views(batch) -> tuple[np.ndarray, np.ndarray]:
+    column = lambda c: batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c)
+    text = column("text_view").flatten().to_numpy().reshape(-1, TEXT_FEATURES)
+    return text, metadata_features(*(batch.column(c).to_numpy() for c in ("source_slot", "lang_slot", "length")))
+
+
 @dataclass
 class TwoViews:
     text: Logistic | None
@@ -174,56 +188,132 @@ class TwoViews:
         return tuple(1 / (1 + np.exp(-x)) for x in (one + two - prior, one, two))
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray], params: CoTraining) -> TwoViews:
-    """Of (text view, page view) matrices; ``held`` marks labelled rows for calibration only."""
-    good = float(y.sum())
-    if not len(y) or good in (0.0, float(len(y))) or len(set(y[~held].tolist())) < 2:
-        return TwoViews(None, None, good / len(y) if len(y) else 0.5)
-    names = ([], [])  # pool rows and labels handed to each view
-    taken = (np.zeros(len(pool[0]), bool), np.zeros(len(pool[0]), bool))
-    models = [Logistic(params.ridge), Logistic(params.ridge)]
-    for turn in range(params.rounds + 1):
-        for view in (0, 1):
-            rows = np.array([r for r, _ in names[view]], np.int64)
-            labels = np.array([v for _, v in names[view]], float)
-            models[view].fit(np.concatenate([labelled[view][~held], pool[view][rows]]), np.concatenate([y[~held], labels]))
-            models[view].calibrate(labelled[view][held], y[held])
-        if turn == params.rounds or not len(pool[0]):
-            break
+@dataclass
+class Handover:
+    """What a round hands over: the models as they were, and for (view, label) the log odds from which a document counts as sure."""
+
+    models: tuple[Logistic, Logistic]
+    thresholds: dict[tuple[int, int], float]
+
+
+def given_labels(views: tuple[np.ndarray, np.ndarray], rounds: list[Handover]) -> list[np.ndarray]:
+    """For each view the labels that the other one gave to these rows; -1 for none. The first one given stands."""
+    labels = [np.full(len(views[0]), -1), np.full(len(views[0]), -1)]
+    for hand in rounds:
         for view in (0, 1):
-            p = 1 / (1 + np.exp(-models[view].odds(pool[view])))
-            other, most = 1 - view, max(1, int(params.share * len(p)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                part = max(1, int(most * (good / len(y) if label else 1 - good / len(y))))
-                order = np.argsort(-sure, kind="stable")
-                chosen = [r for r in order.tolist() if sure[r] >= params.sure and not taken[other][r]][:part]
-                taken[other][chosen] = True
-                names[other].extend((r, label) for r in chosen)
-    return TwoViews(*models, min(max(good / len(y), 1e-3), 1 - 1e-3))
-
-
-def fit(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTraining()) -> TwoViews:
+            odds, other = hand.models[view].odds(views[view]), labels[1 - view]
+            for label, sure in ((1, odds), (0, -odds)):
+                other[(other < 0) & (sure >= hand.thresholds[view, label])] = label
+    return labels
+
+
+def _thresholds(pool: DataFrame, models: tuple[Logistic, Logistic], rounds: list[Handover], good: float, params: CoTraining) -> dict:
+    """From what log odds on a view's documents are handed over, by counts over all of them."""
+    shared = pool.sparkSession.sparkContext.broadcast((models, rounds))
+
+    def count(batches):
+        models, rounds = shared.value
+        sums = np.zeros((2, 2, _ODDS_STEPS + 1), np.int64)
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                views = _views(batch)
+                labels, rows = given_labels(views, rounds), rows + batch.num_rows
+                for view in (0, 1):
+                    odds = models[view].odds(views[view])[labels[1 - view] < 0]
+                    for label, sure in ((1, odds), (0, -odds)):
+                        at = np.floor(sure[sure >= 0] / _ODDS_MOST * _ODDS_STEPS).astype(np.int64)
+                        sums[view, label] += np.bincount(at, minlength=_ODDS_STEPS + 1)
+        view, label, step = np.nonzero(sums)
+        columns = [np.append(view, -1), np.append(label, -1), np.append(step, -1), np.append(sums[view, label, step], rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["view", "label", "step", "n"])
+
+    found = pool.mapInArrow(count, "view long, label long, step long, n long").groupBy("view", "label", "step").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
+    total = sum(r["n"] for r in found if r["view"] < 0)
+    least = np.log(params.sure / (1 - params.sure))
+    out = {}
+    for view in (0, 1):
+        for label in (0, 1):
+            wanted = max(1, int(params.share * total * (good if label else 1 - good)))
+            threshold, held = np.inf, 0
+            for step, n in sorted(((r["step"], r["n"]) for r in found if (r["view"], r["label"]) == (view, label)), reverse=True):
+                odds = step / _ODDS_STEPS * _ODDS_MOST
+                if odds < least or held >= wanted:
+                    break
+                threshold, held = odds, held + n
+            out[view, label] = threshold
+    return out
+
+
+def _pool_sums(pool: DataFrame, models: tuple[Logistic, Logistic], rounds: list[Handover]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and curvature of each view over all documents that the other one labelled."""
+    shared = pool.sparkSession.sparkContext.broadcast((models, rounds))
+
+    def add(batches):
+        models, rounds = shared.value
+        sums = [[0, 0], [0, 0]]
+        for batch in batches:
+            if batch.num_rows:
+                views = _views(batch)
+                for view, labels in enumerate(given_labels(views, rounds)):
+                    named = labels >= 0
+                    for n, part in enumerate(models[view].sums(views[view][named], labels[named].astype(float))):
+                        sums[view][n] = sums[view][n] + part
+        flat = [np.concatenate([np.ravel(part) for part in pair]) if np.ndim(pair[0]) else None for pair in sums]
+        rows = [(view, place, value) for view, values in enumerate(flat) if values is not None for place, value in enumerate(values.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                                         ["view", "place", "value"])
+
+    found = pool.mapInArrow(add, "view long, place long, value double").groupBy("view", "place").agg(F.sum("value").alias("value")).toArrow()
+    shared.unpersist()
+    out = []
+    for view in (0, 1):
+        width = len(models[view].weights)
+        values = np.zeros(width + width * width)
+        mine = found.column("view").to_numpy() == view
+        values[found.column("place").to_numpy()[mine]] = found.column("value").to_numpy()[mine]
+        out.append((values[:width], values[width:].reshape(width, width)))
+    return out
+
+
+def fit(features: DataFrame, labels: DataFrame, params: CoTraining = CoTraining()) -> TwoViews:
+    """Both views' models from a written :func:`feature_table` and labels."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    marks = marks.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id", F.lit(10))
-    named = marks.withColumn("turn", order).orderBy("turn", "doc_id").limit(params.fit_docs)
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(marks, "doc_id", "left_anti")
-    others = others.withColumn("turn", order).orderBy("turn", "doc_id").limit(params.pool_docs).withColumn("quality", F.lit(None).cast("int"))
-    sample = named.select("doc_id", "quality", "turn").union(others.select("doc_id", "quality", "turn"))
-    chosen = _prepared(docs).join(sample, "doc_id")
-    found = _features(chosen, ["doc_id", "quality", "turn"]).dropDuplicates(["doc_id"]).toArrow()
-    found = found.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
-    quality = np.array([np.nan if v is None else v for v in found.column("quality").to_pylist()], float)
-    widths = (("text_view", TEXT_FEATURES), ("page_view", SOURCE_SLOTS + LANG_SLOTS + 2))
-    views = [np.array(found.column(c).to_pylist(), float).reshape(len(found), width) for c, width in widths]
-    known = ~np.isnan(quality)
-    held = np.arange(int(known.sum())) % 5 == 0  # rows are in hash order
-    return co_train([v[known] for v in views], (quality[known] > 0).astype(float), held, [v[~known] for v in views], params)
-
-
-def score(docs: DataFrame, model: TwoViews, params: CoTraining = CoTraining()) -> DataFrame:
-    """``doc_id, score, text_score, page_score, kept`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    marks = cut_lineage(marks.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    named = marks.withColumn("turn", F.xxhash64("doc_id", F.lit(10))).orderBy("turn", "doc_id").limit(params.fit_docs)
+    # no more rows than fit_docs
+    found = features.join(F.broadcast(named), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+    y = (found.column("quality").to_numpy() > 0).astype(float)
+    held = np.arange(len(y)) % 5 == 0  # rows are in hash order
+    good = float(y.mean()) if len(y) else 0.5
+    if len(set(y[~held].tolist())) < 2:
+        return TwoViews(None, None, good)
+    views = _views(found)
+    models = tuple(Logistic(v[~held], params.ridge) for v in views)
+    pool = cut_lineage(features.where("doc_id is not null").join(marks.select("doc_id"), "doc_id", "left_anti"))
+    rounds: list[Handover] = []
+    for turn in range(params.rounds + 1):
+        for _ in range(_NEWTON_STEPS if rounds else 25):
+            shares = _pool_sums(pool, models, rounds) if rounds else [(0, 0), (0, 0)]
+            moved = []
+            for view, (gradient, curvature) in enumerate(shares):
+                own = models[view].sums(views[view][~held], y[~held])
+                moved.append(models[view].move(own[0] + gradient, own[1] + curvature))
+            if max(moved) < 1e-3:
+                break
+        for view in (0, 1):
+            models[view].calibrate(views[view][held], y[held])
+        if turn < params.rounds:
+            rounds.append(Handover(copy.deepcopy(models), _thresholds(pool, models, rounds, good, params)))
+            if all(np.isinf(t) for t in rounds[-1].thresholds.values()):
+                break
+    return TwoViews(*models, min(max(good, 1e-3), 1 - 1e-3))
+
+
+def score(features: DataFrame, model: TwoViews, params: CoTraining = CoTraining()) -> DataFrame:
+    """``doc_id, score, text_score, page_score, kept`` of every row of a :func:`feature_table`."""
+    shared = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
@@ -233,8 +323,9 @@ def score(docs: DataFrame, model: TwoViews, params: CoTraining = CoTraining()) -
                     [batch.column("doc_id"), pa.array(together), pa.array(text), pa.array(page), pa.array(together >= params.keep_from)],
                     ["doc_id", "score", "text_score", "page_score", "kept"])
 
-    return _prepared(docs).mapInArrow(run, "doc_id long, score double, text_score double, page_score double, kept boolean")
+    return features.mapInArrow(run, "doc_id long, score double, text_score double, page_score double, kept boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: CoTraining = CoTraining()) -> DataFrame:
-    return score(docs, fit(docs, labels, params), params)
+    features = cut_lineage(feature_table(docs))
+    return score(features, fit(features, labels, params), params)
