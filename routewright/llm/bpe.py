@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries after which a worker's caches start anew; they only save work.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Words up to this many bytes are encoded side by side, longer ones one at a time; both ways give the same ids.
 SIDE_BY_SIDE_BYTES = 48
-_PAIR_SLOTS = 1 << 22
+_PAIR_SLOTS = 1 << 21
 _NO_LIMIT = 1 << 60
 
 
@@ -160,7 +160,7 @@ class WordBpe:
         """True if the two tokens stay two when their joined text is encoded."""
         key = left << 32 | right
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 4 * CACHE_WORDS:
+            if len(self._fits) > CACHE_WORDS:
                 self._fits.clear()
             known = self._fits[key] = not any(
                 (rank := self._merge.get(a << 32 | b)) is not None and rank < a_ends and rank <= b_ends

@@ -32,7 +32,7 @@ from routewright.llm.bpe import runs_of_text
 from routewright.session import cut_lineage
 
 UNKNOWN = "und"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _ASCII_WORDS = re.compile(r"[a-z]+").findall
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 _PART = 64
