@@ -134,55 +134,76 @@ Router = Callable[[DataFrame], DataFrame]
 that cannot be made is absent."""
 
 
-def search_routes(requests: DataFrame, outlines: DataFrame, router: Router) -> tuple[DataFrame, DataFrame]:
-    """(best route per request, requests without any). Every candidate is routed and scored in one pass."""
-    if not requests.filter("candidates < 1 OR scales < 1").isEmpty():
-        raise ValueError("candidates and scales must be >= 1")
-    sampled = cut_lineage(sampled_outlines(requests, outlines))
-    grid = cut_lineage(candidate_grid(requests, sampled).withColumn(
-        "route_id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("candidate_no").cast("string"))
-    ))
+def _route_id(number: str) -> Column:
+    return F.concat_ws("/", F.col("request_id").cast("string"), F.col(number).cast("string"))
+
+
+def _lost(requests: DataFrame, best: DataFrame, reason: Column) -> DataFrame:
+    return requests.join(best.select("request_id"), "request_id", "left_anti").withColumn("reason", reason)
+
+
+def search_lines(
+    requests: DataFrame, outlines: DataFrame, router: Router
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """:func:`search_routes` with the tables behind it: (best, lost, waypoints, routed lines), by route_id."""
+    bad = ~F.coalesce((F.col("candidates") >= 1) & (F.col("scales") >= 1), F.lit(False))
+    tried = requests.filter(~bad)
+    sampled = cut_lineage(sampled_outlines(tried, outlines))
+    grid = cut_lineage(candidate_grid(tried, sampled).withColumn("route_id", _route_id("candidate_no")))
     waypoints = candidate_waypoints(grid, sampled).select("route_id", "seq", "lat", "lon")
     routed = cut_lineage(router(waypoints))
     scores = shape_fidelity(waypoints, routed, "route_id")
     lengths = routed.groupBy("route_id").agg(F.max("distance_m").alias("distance_m"))
-    scored = grid.join(lengths, "route_id").join(scores, "route_id")
-    best = best_route_by_fidelity(scored)
-    return best, requests.join(best.select("request_id"), "request_id", "left_anti")
+    best = cut_lineage(best_route_by_fidelity(grid.join(lengths, "route_id").join(scores, "route_id")))
+    reason = F.when(bad, "candidates and scales must be >= 1").otherwise("every candidate failed")
+    return best, _lost(requests, best, reason), waypoints, routed
 
 
-def rescale_iterate(requests: DataFrame, outlines: DataFrame, router: Router) -> tuple[DataFrame, DataFrame]:
-    """(best iteration per request, requests whose first routing failed).
+def search_routes(requests: DataFrame, outlines: DataFrame, router: Router) -> tuple[DataFrame, DataFrame]:
+    """(best route per request, requests without any and the reason). Every candidate is routed and scored in one pass.
 
-    All open requests are routed together; a request leaves the loop when it is within 3 %, out of iterations, or when a
-    later routing fails. The scale moves by the square root of target over actual.
+    Requests without a candidate or a scale are lost one by one; the others go on.
     """
+    return search_lines(requests, outlines, router)[:2]
+
+
+def rescale_lines(
+    requests: DataFrame, outlines: DataFrame, router: Router
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """:func:`rescale_iterate` with the tables behind it: (best, lost, waypoints, routed lines), by route_id."""
     sampled = cut_lineage(sampled_outlines(requests, outlines))
     perimeters = sampled.select("shape", "waypoints", "perimeter").distinct()
     target_m = F.col("distance_km") * 1000.0
     open_rows = cut_lineage(requests.join(perimeters, ["shape", "waypoints"]).select(
         "request_id", "shape", "waypoints", "iterations", target_m.alias("target_m"),
         F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"),
-        (target_m / DETOUR / F.nullif(F.col("perimeter"), F.lit(0.0))).alias("scale"),
+        (target_m / DETOUR / F.nullif(F.col("perimeter"), F.lit(0.0))).alias("scale"), F.lit(1).alias("iteration"),
     ))
-    done = None
-    most = requests.agg(F.max("iterations")).first()[0] or 0
+    done, most = None, max(requests.agg(F.max("iterations")).first()[0] or 0, 1)
     for number in range(1, most + 1):
-        drawn = candidate_waypoints(open_rows.withColumn("route_id", F.col("request_id").cast("string")), sampled)
-        routed = cut_lineage(router(drawn.select("route_id", "seq", "lat", "lon")))
+        placed = open_rows.withColumn("route_id", _route_id("iteration"))
+        drawn = candidate_waypoints(placed, sampled).select("route_id", "seq", "lat", "lon")
+        routed = cut_lineage(router(drawn))
         lengths = routed.groupBy("route_id").agg(F.max("distance_m").alias("distance_m"))
-        scores = shape_fidelity(drawn.select("route_id", "seq", "lat", "lon"), routed, "route_id")
-        tried = cut_lineage(
-            open_rows.withColumn("route_id", F.col("request_id").cast("string")).join(lengths, "route_id")
-            .join(scores, "route_id").drop("route_id").withColumn("iteration", F.lit(number))
-        )
-        done = tried if done is None else done.unionByName(tried)
+        tried = cut_lineage(placed.join(lengths, "route_id").join(shape_fidelity(drawn, routed, "route_id"), "route_id"))
+        round_of = (tried, drawn, routed)
+        done = round_of if done is None else tuple(a.unionByName(b) for a, b in zip(done, round_of))
         ratio = F.col("target_m") / F.nullif(F.col("distance_m"), F.lit(0.0))
         error = F.abs(F.col("distance_m") - F.col("target_m")) / F.col("target_m")
         open_rows = tried.filter((error >= GOOD_ERROR) & (F.col("iterations") > number)).withColumn(
             "scale", F.col("scale") * F.sqrt(ratio)
-        ).drop("distance_m", "fidelity", "iteration")
+        ).drop("distance_m", "fidelity", "route_id").withColumn("iteration", F.lit(number + 1))
         if open_rows.isEmpty():
             break
-    best = best_iteration(done)
-    return best, requests.join(best.select("request_id"), "request_id", "left_anti")
+    tried, drawn, routed = done
+    best = cut_lineage(best_iteration(tried))
+    return best, _lost(requests, best, F.lit("the first routing failed")), drawn, routed
+
+
+def rescale_iterate(requests: DataFrame, outlines: DataFrame, router: Router) -> tuple[DataFrame, DataFrame]:
+    """(best iteration per request, requests whose first routing failed).
+
+    All open requests are routed together; a request leaves the loop when it is within 3 %, out of iterations, or when a
+    later routing fails. The scale moves by the square root of target over actual.
+    """
+    return rescale_lines(requests, outlines, router)[:2]

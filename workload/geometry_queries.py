@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from routewright.functions import geo
-from routewright.operators import graph, lines, nearest, raster, routes, similarity
+from routewright.operators import graph, lines, nearest, raster, routers, routes, similarity
+from routewright.plans import generation
 from workload.fixtures import derive
 from workload.registry import query, r6, s6, s_hav
 from workload.text_queries import S_STROKE
@@ -205,6 +206,44 @@ def shortest_paths(spark, d):
     return graph.shortest_paths(derive(spark, d, _NODE_PAIRS), derive(spark, d, "edges")).select("u", "v", "dist")
 
 
+# Routes by way of three nodes, each leg one of the node pairs.
+_CHAIN = f"SELECT p.u AS route_id, p.u AS a, p.v AS b, q.v AS c FROM ({_NODE_PAIRS}) AS p JOIN ({_NODE_PAIRS}) AS q ON q.u = p.v"
+_STOPS = " UNION ALL ".join(
+    f"SELECT route_id, CAST({i} AS BIGINT) AS seq, lat, lon FROM ({_CHAIN}) AS c{i} JOIN [nodes] AS n{i} ON n{i}.id = c{i}.{stop}" for i, stop in enumerate("abc"))
+
+
+@query(f"""WITH RECURSIVE pairs AS ({_NODE_PAIRS}), sp(src, dst, node, dist) USING KEY (src, dst, node) AS (
+             SELECT u, v, u, 0.0::DOUBLE FROM pairs
+             UNION SELECT s.src, s.dst, e.v, min(s.dist + e.length) FROM sp AS s JOIN [edges] AS e ON e.u = s.node
+             LEFT JOIN recurring.sp AS r ON r.src = s.src AND r.dst = s.dst AND r.node = e.v
+             WHERE s.dist + e.length < coalesce(r.dist, 1000.0) AND s.node <> s.dst GROUP BY s.src, s.dst, e.v)
+           SELECT route_id, x.dist + y.dist AS distance_m, {s6('f.lat', 'from_lat')}, {s6('f.lon', 'from_lon')}, {s6('t.lat', 'to_lat')}, {s6('t.lon', 'to_lon')}
+           FROM ({_CHAIN}) AS c JOIN sp AS x ON x.src = a AND x.dst = b AND x.node = b JOIN sp AS y ON y.src = b AND y.dst = c AND y.node = c
+           JOIN [nodes] AS f ON f.id = a JOIN [nodes] AS t ON t.id = c""")
+def graph_routes(spark, d):
+    routed = routers.graph_router(derive(spark, d, "nodes"), derive(spark, d, "edges"))(derive(spark, d, _STOPS))
+    ends = [how(F.struct("lat", "lon"), "seq").alias(name) for how, name in ((F.min_by, "f"), (F.max_by, "t"))]
+    return routed.groupBy("route_id").agg(F.max("distance_m").alias("distance_m"), *ends).select(
+        "route_id", "distance_m", r6("f.lat", "from_lat"), r6("f.lon", "from_lon"), r6("t.lat", "to_lat"), r6("t.lon", "to_lon"))
+
+
+# Customers' orders as waypoints; the stored answer of a request is the line from its first point to its last.
+_VISITS = """SELECT o_custkey AS route_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq,
+             50 + CAST(o_orderkey % 1000 AS DOUBLE) / 1000 AS lat, CAST((o_orderkey * 7) % 400 AS DOUBLE) / 100 - 2 AS lon FROM {orders}"""
+_ENDS = f"SELECT route_id, count(*) AS n, min_by(lat, seq) AS lat1, min_by(lon, seq) AS lon1, max_by(lat, seq) AS lat2, max_by(lon, seq) AS lon2 FROM ({_VISITS}) AS v GROUP BY route_id"
+
+
+@query(f"""SELECT route_id, CAST(i AS BIGINT) AS seq, {s6('CASE WHEN i = 0 THEN lat1 ELSE lat2 END', 'lat')}, {s6('CASE WHEN i = 0 THEN lon1 ELSE lon2 END', 'lon')}, CAST(n * 10 AS DOUBLE) AS distance_m
+           FROM ({_ENDS}) AS e CROSS JOIN (VALUES (0), (1)) AS o(i) WHERE n >= 2 AND route_id % 7 <> 0""")
+def stored_routes(spark, d):
+    visits = derive(spark, d, _VISITS)
+    line = F.array(F.array("lon1", "lat1"), F.array("lon2", "lat2"))
+    route = F.struct(F.struct(line.alias("coordinates")).alias("geometry"), (F.col("n") * 10.0).alias("distance"), F.lit(1.0).alias("duration"))
+    body = F.when(F.col("route_id") % 7 == 0, '{"code":"NoRoute"}').otherwise(F.to_json(F.struct(F.lit("Ok").alias("code"), F.array(route).alias("routes"))))
+    answers = routers.request_texts(visits).join(derive(spark, d, _ENDS), "route_id").select("request", body.alias("body"))
+    return routers.stored_router(answers)(visits).select("route_id", "seq", r6("lat"), r6("lon"), "distance_m")
+
+
 _STEPS = """SELECT CAST(floor(id / 9) AS BIGINT) AS route_id, id % 9 AS seq, id AS u, CASE WHEN id % 5 = 0 THEN id ELSE id + 1 END AS v,
             CASE WHEN id % 7 = 3 THEN 0 ELSE 1 END AS ok FROM [nodes]"""
 
@@ -403,3 +442,18 @@ def rescale_iterate(spark, d):
     return best.select("request_id", "iteration", "distance_m", "error").unionByName(
         lost.select("request_id"), allowMissingColumns=True
     )
+
+
+@query()
+def generate_routes(spark, d):
+    """Requests moved to where the streets are and made as short as those; every request ends as a route or a reject."""
+    near = "51 + CAST(request_id * 37 % 300 AS DOUBLE) / 100000 + CASE WHEN request_id % 11 = 0 THEN 60 ELSE 0 END"
+    asked = derive(spark, d, "requests").withColumns({
+        "lat": F.expr(near), "lon": F.expr("CAST(request_id * 71 % 700 AS DOUBLE) / 10000"), "distance_km": F.col("distance_km") / 20,
+        "search_radius_km": F.col("search_radius_km") / 20})
+    router = routers.graph_router(derive(spark, d, "nodes"), derive(spark, d, "edges"))
+    made, rejects = generation.generate_routes(asked, derive(spark, d, "outlines"), router, "2024-01-01T00:00:00Z")
+    shown = made.select(
+        "request_id", F.lit(200).alias("status"), F.round("routed_distance_m", 3).alias("routed_distance_m"), r6("error_pct"), r6("fidelity"), r6("chosen_lat"),
+        r6("chosen_lon"), F.size("line").alias("points"), F.length("gpx").alias("gpx_chars"), F.length("kml").alias("kml_chars"))
+    return shown.unionByName(rejects.select("request_id", "status", "reason"), allowMissingColumns=True)
