@@ -47,9 +47,13 @@ def stream_index(tiles: DataFrame, hits: DataFrame | None, changes: str, checkpo
     )
 
 
-def read_changes(spark: SparkSession, changes: str) -> DataFrame:
-    """Change log with one ``position`` that orders rows over all batches."""
+def read_changes(spark: SparkSession, changes: str, after: int | None = None, upto: int | None = None) -> DataFrame:
+    """Change log with one ``position`` that orders rows over all batches; ``after`` and ``upto`` prune batches unread."""
     rows = spark.read.option("basePath", changes).parquet(changes)
+    if after is not None:
+        rows = rows.filter(F.col("batch_id") > after)
+    if upto is not None:
+        rows = rows.filter(F.col("batch_id") <= upto)
     order = F.expr("CAST(batch_id AS DECIMAL(19, 0)) * CAST(9223372036854775808 AS DECIMAL(19, 0)) + position")
     return rows.withColumn("position", order).drop("batch_id")
 
@@ -91,38 +95,52 @@ def stream_shares(events: DataFrame, lateness: str = "1 hour", ttl: timedelta =
 
     Ids and payloads are text; of shares with one id the newest stands. State is split by a hash of the id into shards. Each keeps its newest ``cap`` shares, so together they always
     hold the newest ``cap`` overall; :func:`merge_shards` picks those. Rows of a shard share its version number.
+
+    A share expires when the watermark, or a newer share of its shard, is ``ttl`` past it: every shard sets an event-time
+    timer for its oldest share, so a shard without new events loses its shares too. A shard left empty emits one row of nulls.
     """
     texts = events.withColumn("share_id", F.col("share_id").cast("string")).withColumn("payload", F.col("payload").cast("string"))
     keyed = texts.withWatermark("created_at", lateness).withColumn(
         "shard", F.pmod(F.xxhash64("share_id"), F.lit(_SHARDS)).cast("int")
     )
-    ttl_ns = int(ttl.total_seconds() * 1e9)
+    ttl_ms = int(ttl.total_seconds() * 1e3)
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         version, ids, stamps, payloads = state.get if state.exists else (0, [], [], [])
         held = {i: (s, p) for i, s, p in zip(ids, stamps, payloads)}
-        for pdf in batches:
-            nanos = pdf["created_at"].astype("datetime64[ns]").astype("int64")
-            for share_id, stamp, payload in zip(pdf["share_id"], nanos, pdf["payload"]):
-                if share_id not in held or held[share_id][0] <= stamp:
-                    held[share_id] = (int(stamp), payload)
-            if held:
-                newest = max(stamp for stamp, _ in held.values())
-                alive = sorted((i for i, (stamp, _) in held.items() if newest - stamp <= ttl_ns), key=lambda i: (-held[i][0], i))
-                held = {i: held[i] for i in alive[:cap]}
+        watermark_ns = state.getCurrentWatermarkMs() * 1_000_000
+        if not state.hasTimedOut:
+            for pdf in batches:
+                nanos = pdf["created_at"].astype("datetime64[ns]").astype("int64")
+                for share_id, stamp, payload in zip(pdf["share_id"], nanos, pdf["payload"]):
+                    if share_id not in held or held[share_id][0] <= stamp:
+                        held[share_id] = (int(stamp), payload)
+                held = _alive(held, watermark_ns, ttl_ms, cap)
+        held = _alive(held, watermark_ns, ttl_ms, cap)
         version += 1
         state.update((version, list(held), [s for s, _ in held.values()], [p for _, p in held.values()]))
+        if held:
+            # Timers count whole milliseconds: the first one past the oldest share's life.
+            state.setTimeoutTimestamp(min(s for s, _ in held.values()) // 1_000_000 + ttl_ms + 2)
+        shown = held or {None: (pd.NaT, None)}
         yield pd.DataFrame({
-            "shard": key[0], "version": version, "share_id": list(held),
-            "created_at": pd.to_datetime([s for s, _ in held.values()]), "payload": [p for _, p in held.values()],
+            "shard": key[0], "version": version, "share_id": pd.Series(list(shown), dtype=object),
+            "created_at": pd.to_datetime([s for s, _ in shown.values()]), "payload": pd.Series([p for _, p in shown.values()], dtype=object),
         })
 
     return keyed.select("shard", "share_id", "created_at", "payload").groupBy("shard").applyInPandasWithState(
         keep, "shard int, version long, share_id string, created_at timestamp, payload string",
-        "version long, ids array<string>, stamps array<long>, payloads array<string>", "update", GroupStateTimeout.NoTimeout,
+        "version long, ids array<string>, stamps array<long>, payloads array<string>", "update", GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def _alive(held: dict, watermark_ns: int, ttl_ms: int, cap: int) -> dict:
+    """The newest ``cap`` of the shares that neither the watermark nor the newest of them has outlived."""
+    newest = max([watermark_ns, *(stamp for stamp, _ in held.values())])
+    ids = sorted((i for i, (stamp, _) in held.items() if newest - stamp <= ttl_ms * 1_000_000), key=lambda i: (-held[i][0], i))
+    return {i: held[i] for i in ids[:cap]}
+
+
 def merge_shards(emitted: DataFrame, now, ttl: timedelta = SHARE_TTL, cap: int = SHARE_CAP) -> DataFrame:
     """Live shares from the latest version of every shard."""
     latest = emitted.groupBy("shard").agg(F.max("version").alias("version"))

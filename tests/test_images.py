@@ -52,6 +52,24 @@ def test_merge_labels_matches_the_plain_rule(spark):
         assert sorted(got[image]) == plain_merge([r for r in rows if r[0] == image])
 
 
+def test_one_image_with_most_labels_is_spread_over_islands(spark):
+    rng = random.Random(4)
+    rows = [fragment(1, no, "Elm" + chr(97 + no % 26), rng.uniform(0, 900), 14 * (no % 600) + rng.uniform(0, 6), rng.uniform(10, 60), rng.uniform(2, 14), rng.random())
+            for no in range(3000)]
+    rows += [fragment(1, 5000 + no, "Slant", 30 * no, 9000 + 3.5 * no) for no in range(200)]
+    rows += [fragment(2, 7000 + no, "Oak", 60 * no, 0.0) for no in range(20)]
+    df = spark.createDataFrame(rows, FRAGMENT)
+    heights = F.greatest(F.col("y_max") - F.col("y_min"), F.lit(labels.MIN_HEIGHT))
+    sizes = labels._islands(df.withColumn("height", heights)).groupBy("image_id", "_island").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and len(sizes) > 100
+    assert max(r["count"] for r in sizes if r["image_id"] == 1) == 200
+    got = {}
+    for r in labels.merge_labels(df).collect():
+        got.setdefault(r["image_id"], []).append((r["text"], round(r["conf"], 6), r["x_min"], r["x_max"]))
+    for image in (1, 2):
+        assert sorted(got[image]) == plain_merge([r for r in rows if r[0] == image])
+
+
 GAZ = "place_id long, name string, name_en string, lat double, lon double, city string, country string, importance double"
 
 
