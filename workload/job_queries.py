@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from routewright.operators import catalogue as cat
 from routewright.plans import jobs
 from routewright.session import staging_path
 from routewright.streaming import jobs as streams
+from routewright.streaming import store
 from workload.catalogue_queries import _GEOCODED
 from workload.fixtures import STAMP, derive, table
 from workload.registry import query, r6, s6
@@ -48,23 +50,59 @@ def reconstruct_batch(spark, d):
 _KNOWN = "SELECT * REPLACE (image_url || CASE WHEN id % 2 = 0 THEN '' ELSE '/old' END AS image_url) FROM [catalogue]"
 
 
-@query(f"""SELECT coalesce(n.image_url, o.image_url) AS image_url, CASE WHEN n.image_url IS NULL THEN o.title ELSE n.title END AS title,
+_INDEXED = f"""SELECT coalesce(n.image_url, o.image_url) AS image_url, CASE WHEN n.image_url IS NULL THEN o.title ELSE n.title END AS title,
              CASE WHEN n.image_url IS NULL THEN o.city ELSE n.city END AS city, CASE WHEN n.image_url IS NULL THEN o.country ELSE n.country END AS country,
              {s6('CASE WHEN n.image_url IS NULL THEN o.lat ELSE n.lat END', 'lat')},
              coalesce(o.id, (SELECT max(id) FROM ({_KNOWN}) AS k) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY n.position)) AS id
            FROM (SELECT t.image_url, t.title, g.city, g.country, g.lat, g.position FROM ({_GEOCODED}) AS g JOIN [titles] AS t ON t.position = g.position) AS n
-           FULL JOIN ({_KNOWN}) AS o ON o.image_url = n.image_url""")
-def stream_index(spark, d):
+           FULL JOIN ({_KNOWN}) AS o ON o.image_url = n.image_url"""
+
+
+def _indexed(spark, d):
+    """The catalogue before the stream, and the change log that the stream of tiles left."""
     source, changes = staging_path(spark, "arrivals"), staging_path(spark, "changes")
     derive(spark, d, "titles").write.json(source)
     tiles = spark.readStream.schema("position long, title string, image_url string, thumbnail_url string, category string, page_url string, scraped_at string").json(source)
     streams.stream_index(tiles, derive(spark, d, "place_hits"), changes, staging_path(spark, "checkpoint")).awaitTermination()
     known = derive(spark, d, "catalogue").withColumn(
         "image_url", F.when(F.col("id") % 2 == 0, F.col("image_url")).otherwise(F.concat("image_url", F.lit("/old"))))
+    return known, changes
+
+
+@query(_INDEXED)
+def stream_index(spark, d):
+    known, changes = _indexed(spark, d)
     current = streams.current_catalogue(known, streams.read_changes(spark, changes))
     return current.select("image_url", "title", "city", "country", r6("lat"), "id")
 
 
+@query(_INDEXED)
+def compact_changes(spark, d):
+    known, changes = _indexed(spark, d)
+    root = staging_path(spark, "store")
+    store.compact_changes(spark, root, changes, known)
+    store.expire(spark, root, keep=1, changes=changes)
+    return store.load_catalogue(spark, root, changes).select("image_url", "title", "city", "country", r6("lat"), "id")
+
+
+@query(f"""SELECT c.id, CASE WHEN o.id IS NULL THEN c.gpx_path ELSE o.gpx_path END AS gpx_path,
+             {s6('CASE WHEN o.id IS NULL THEN c.reconstruction_confidence ELSE o.confidence END', 'reconstruction_confidence')},
+             CASE WHEN o.id IS NULL THEN c.reconstruction_attempted_at ELSE o.attempted_at END AS reconstruction_attempted_at,
+             CASE WHEN o.id IS NULL THEN c.reconstruction_failure ELSE o.failure END AS reconstruction_failure
+           FROM [catalogue] AS c LEFT JOIN [outcomes] AS o ON o.id = c.id""")
+def merge_attempts(spark, d):
+    """Two batches of attempts, of which the first holds an older attempt of every id, and a replay of the first."""
+    root, known = staging_path(spark, "store"), derive(spark, d, "catalogue")
+    last = derive(spark, d, "outcomes").withColumns({"attempt_no": F.lit(1), "attempted_ts": F.to_timestamp("attempted_at")})
+    older = last.withColumns({
+        "attempt_no": F.lit(0), "attempted_ts": F.col("attempted_ts") - F.expr("INTERVAL 1 HOUR"), "gpx_path": F.lit("gpx/older"), "failure": F.lit("older")})
+    first, second = older.unionByName(last.filter("id % 2 = 0")), last.filter("id % 2 = 1")
+    for number, batch in ((0, first), (1, second), (0, first)):
+        store.merge_attempts(spark, root, "reconstruction", number, batch, cat.apply_reconstruction, "reconstruction_attempted_at", base=known)
+    return store.load_catalogue(spark, root).select(
+        "id", "gpx_path", r6("reconstruction_confidence"), "reconstruction_attempted_at", "reconstruction_failure")
+
+
 _ATTEMPTS = "SELECT event_id % 500 AS id, CAST(floor(event_id / 500) AS BIGINT) % 3 AS attempt_no, ts AS attempted_ts, event_type AS outcome FROM {events}"
 
 
