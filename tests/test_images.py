@@ -63,11 +63,12 @@ def test_one_image_with_most_labels_is_spread_over_islands(spark):
     sizes = labels._islands(df.withColumn("height", heights)).groupBy("image_id", "_island").count().collect()
     assert sum(r["count"] for r in sizes) == len(rows) and len(sizes) > 100
     assert max(r["count"] for r in sizes if r["image_id"] == 1) == 200
-    got = {}
-    for r in labels.merge_labels(df).collect():
-        got.setdefault(r["image_id"], []).append((r["text"], round(r["conf"], 6), r["x_min"], r["x_max"]))
-    for image in (1, 2):
-        assert sorted(got[image]) == plain_merge([r for r in rows if r[0] == image])
+    want = {image: plain_merge([r for r in rows if r[0] == image]) for image in (1, 2)}
+    for most in (10, 100):
+        got = {}
+        for r in labels.merge_labels(df, most).collect():
+            got.setdefault(r["image_id"], []).append((r["text"], round(r["conf"], 6), r["x_min"], r["x_max"]))
+        assert {image: sorted(found) for image, found in got.items()} == want
 
 
 GAZ = "place_id long, name string, name_en string, lat double, lon double, city string, country string, importance double"
