@@ -49,7 +49,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|[^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)")
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)")
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\s*(?:!important\s*)?(?=;|$)")
 
 
 class Element:
@@ -111,9 +112,28 @@ def parse(page: str) -> Element:
         elif len(stack) <= DEEPEST:
             stack.append(element)
     text(page[place:])
+    if "visibility" in page.lower():
+        settle_visibility(root)
     return root
 
 
+def settle_visibility(root: Element) -> None:
+    """Take out what ``visibility`` hides. Elements inherit it and can take it back; one with nothing visible inside goes."""
+    found, at = [(root, True)], 0
+    while at < len(found):
+        element, seen = found[at]
+        at += 1
+        for child in element.children:
+            if isinstance(child, Element):
+                said = _VISIBILITY.findall(child.attributes.get("style", "").lower())
+                found.append((child, said[-1] in ("visible", "initial") if said else seen))
+    kept = set()
+    for element, seen in reversed(found):
+        element.children = [c for c in element.children if (id(c) in kept if isinstance(c, Element) else seen)]
+        if seen or element.children:
+            kept.add(id(element))
+
+
 def shown(element: Element) -> bool:
     if element.name in NEVER_SHOWN:
         return False

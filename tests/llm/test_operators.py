@@ -414,6 +414,9 @@ def test_languages(spark):
     ("<ul><li>one<li>two<ol start=3><li>x<li>y</ol></ul>z", "- one\n- two\n  3. x\n  4. y\n\nz"),
     ("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td colspan=2>wide cell<tr><td>x<td>y</table>", "Name       N\nlong name  1\nwide cell\nx          y"),
     ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<div style='visibility:hidden'>no<span style='VISIBILITY : visible'>seen<b>too</b></span>no</div>", "seentoo"),
+    ("<p>a<p style='visibility:collapse'>no<i>no</i><p style='visibility:hidden; visibility:visible'>b<span hidden style='visibility:visible'>no</span>", "a\n\nb"),
+    ("<div style='visibility:hidden'><div style='display:none'><b style='visibility:visible'>no</b></div><img alt=no>no</div>c", "c"),
     ("<div hidden>no</div><p style='color:red; display : none'>no<p>yes<script>var t='</p>';</script><style>x</style><!-- no -->", "yes"),
     ("<pre>\n a\n   b</pre>", " a\n   b"), ("<blockquote>q<p>r</blockquote>", "  q\n\n  r"), ("a&nbsp;&amp; 1 < 2 <b>c</i></b>d", "a & 1 < 2 cd"),
     ("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details>", "S\nT\nyes"),
