@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 120_000
 #: Words up to this many bytes are encoded side by side, longer ones one at a time; both ways give the same ids.
 SIDE_BY_SIDE_BYTES = 48
+#: Words encoded side by side at a time.
+LANES = 5_000
 _PAIR_SLOTS = 1 << 21
 _NO_LIMIT = 1 << 60
 
@@ -110,15 +112,12 @@ class WordBpe:
         self._strings = {self._symbols(t): i for t, i in model["vocab"].items()}
         vocab = model["vocab"]
         self._merge: dict[int, int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        self._made: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b = vocab[left], vocab[right]
             self._merge[a << 32 | b] = rank
-            made.setdefault(vocab[left + right], (rank, a, b))
-        self._left, self._right = {}, {}
-        for token in vocab.values():
-            self._left[token], self._right[token] = self._edge(token, made, 1), self._edge(token, made, 2)
+            self._made.setdefault(vocab[left + right], (rank, a, b))
         self._automaton = SuffixAutomaton(self._strings)
         self._fits: dict[int, bool] = {}
         #: (ids as text, decoded text) of chunks met before.
@@ -146,15 +145,14 @@ class WordBpe:
             inner[-1] = chr(ord(inner[-1]) + 256)
         return "".join(inner)
 
-    @staticmethod
-    def _edge(token: int, made: dict, side: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens at one border of a token while it is built, from whole to byte, each with the rank that ends it."""
         out, ends = [], _NO_LIMIT
         while True:
             out.append((token, ends))
-            if token not in made:
+            if token not in self._made:
                 return out
-            ends, token = made[token][0], made[token][side]
+            ends, token = self._made[token][0], self._made[token][side]
 
     def fits(self, left: int, right: int) -> bool:
         """True if the two tokens stay two when their joined text is encoded."""
@@ -162,9 +160,10 @@ class WordBpe:
         if (known := self._fits.get(key)) is None:
             if len(self._fits) > CACHE_WORDS:
                 self._fits.clear()
+            ends, begins = self._edge(left, 2), self._edge(right, 1)
             known = self._fits[key] = not any(
                 (rank := self._merge.get(a << 32 | b)) is not None and rank < a_ends and rank <= b_ends
-                for a, a_ends in self._right[left] for b, b_ends in self._left[right]
+                for a, a_ends in ends for b, b_ends in begins
             )
         return known
 
@@ -269,8 +268,8 @@ class WordBpe:
         short = [w for w in words if len(w) * 4 <= SIDE_BY_SIDE_BYTES or len(w.encode()) <= SIDE_BY_SIDE_BYTES]
         out = {w: self._encode_long(w) for w in set(words).difference(short)}
         short.sort(key=len)
-        for n in range(0, len(short), 20_000):
-            part = short[n:n + 20_000]
+        for n in range(0, len(short), LANES):
+            part = short[n:n + LANES]
             out.update(zip(part, self._encode_side_by_side(part)))
         return out
 
@@ -347,7 +346,7 @@ def shared_vocabulary(spark, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def runs_of_text(column: pa.Array, limit: int = 1 << 21):
+def runs_of_text(column: pa.Array, limit: int = 1 << 19):
     """Consecutive texts, about ``limit`` characters at a time; a longer text is a run of its own."""
     run, size = [], 0
     for scalar in column:
