@@ -110,19 +110,25 @@ def parse_title(title: Column) -> Column:
 
     before_city = F.concat(F.lit(r"^(.*?)(?<![A-Z])"), city, F.lit("(?![A-Z])"))
     rest = F.regexp_replace(upper, before_city, F.lit("$1 "))
+    stop = F.array(*[F.lit(word.upper()) for word in dims.NON_PLACES])
+    return title_struct(upper, city, countries[city], rest, F.arrays_overlap(last_tokens(upper), stop))
+
+
+def last_tokens(upper: Column) -> Column:
+    """Words of the last part of a title in upper case."""
+    return F.split(F.trim(F.element_at(F.split(upper, SEPARATOR, -1), -1)), " ")
+
+
+def title_struct(upper: Column, city: Column, country: Column, rest: Column, no_place: Column) -> Column:
+    """What :func:`parse_title` returns: ``rest`` is the title without its city, ``no_place`` bars a guess at the last part."""
     rest = collapse(F.regexp_replace(F.trim(rest), SEPARATOR, " "))
     known = F.struct(
         F.when(rest == "", upper).otherwise(rest).alias("shape"), title_case(city).alias("city"),
-        countries[city].alias("country"), F.lit(1.0).alias("confidence"),
+        country.alias("country"), F.lit(1.0).alias("confidence"),
     )
-
     parts = F.split(upper, SEPARATOR, -1)
     last = F.trim(F.element_at(parts, -1))
-    tokens = F.split(last, " ")
-    stop = F.array(*[F.lit(word.upper()) for word in dims.NON_PLACES])
-    guessable = (
-        (F.size(parts) >= 2) & (last != "") & (F.size(tokens) <= 3) & ~F.arrays_overlap(tokens, stop)
-    )
+    guessable = (F.size(parts) >= 2) & (last != "") & (F.size(F.split(last, " ")) <= 3) & ~no_place
     guess = F.struct(
         F.trim(F.array_join(F.slice(parts, 1, F.size(parts) - 1), " ")).alias("shape"),
         title_case(last).alias("city"), F.lit(None).cast("string").alias("country"), F.lit(0.5).alias("confidence"),

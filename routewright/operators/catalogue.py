@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from routewright import dims, schemas
 from routewright.functions import text
+from routewright.operators import titles
 from routewright.operators.scans import number_rows
 from routewright.session import cut_lineage
 
@@ -21,8 +22,14 @@ LABEL_COLUMNS = ["geocode_source", "ocr_streets", "ocr_attempted_at"]
 
 # --- building rows ----------------------------------------------------------------------------------------------
 
-def parse_titles(tiles: DataFrame) -> DataFrame:
-    """Add shape, city, country and confidence read from the title."""
+def parse_titles(tiles: DataFrame, cities: DataFrame | None = None, non_places: DataFrame | None = None) -> DataFrame:
+    """Add shape, city, country and confidence read from the title.
+
+    With rows of ``cities`` (name, country) or ``non_places`` (word) the names are looked up by joins; else, and for the
+    one that is not given, the built-in lists hold.
+    """
+    if cities is not None or non_places is not None:
+        return titles.parse_titles_by_rows(tiles, cities, non_places)
     return tiles.withColumn("_t", text.parse_title(F.col("title"))).select("*", "_t.*").drop("_t")
 
 

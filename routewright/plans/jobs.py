@@ -15,9 +15,11 @@ from routewright.session import cut_lineage
 from routewright.sinks import writers
 
 
-def index_batch(tiles: DataFrame, hits: DataFrame | None, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+def index_batch(
+    tiles: DataFrame, hits: DataFrame | None, old: DataFrame, cities: DataFrame | None = None, non_places: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(next catalogue snapshot, one row of counts: rows, geocoded). Without ``hits`` nothing is geocoded."""
-    parsed = cat.parse_titles(tiles)
+    parsed = cat.parse_titles(tiles, cities, non_places)
     if hits is None:
         geocoded = parsed.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
     else:

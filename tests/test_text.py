@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from routewright import dims
 from routewright.functions import streets, text
+from routewright.operators import titles
 
 
 def test_dimension_sizes():
@@ -80,3 +81,45 @@ def test_label_helpers(column):
     assert column(["ab", "a1", "a b 12345", "éé", ""], text.is_alpha_label) == [True, False, False, True, False]
     assert column(["Bréf Çà ß"], text.ascii_fold) == ["Bref Ca ß"]
     assert column(["ocr: x", None, "", "odd"], text.failure_mode) == ["ocr", "unknown", "unknown", "odd"]
+
+
+def by_rows(spark, given, cities=None, non_places=None):
+    tiles = spark.createDataFrame([(n, t) for n, t in enumerate(given)], "n int, title string")
+    cities = None if cities is None else spark.createDataFrame(cities, "name string, country string, position long")
+    words = None if non_places is None else spark.createDataFrame(non_places, "word string")
+    got = titles.parse_titles_by_rows(tiles, cities, words)
+    assert got.columns == ["n", "title", "shape", "city", "country", "confidence"]
+    return [tuple(r)[2:] for r in got.orderBy("n").collect()]
+
+
+def test_titles_by_built_in_rows_equal_the_expression(spark, column):
+    given = [
+        *TITLES, *TITLES, "BATH NEWT NEW YORK", "bath2 york3 hare", "LeedsÉBATH", "NEW  YORK/HONG KONG — fox", "St Albans (2019)",
+        "owl|York|", "PERTH PERTH owl", "New, York", "ROME OSLO BATH YORK", None, "   ", "x" * 5000 + " Oslo " + "HARE " * 5000,
+    ]
+    assert by_rows(spark, given) == [tuple(g) for g in column(given, text.parse_title)]
+
+
+def test_rows_decide_what_is_a_city(spark):
+    cities = [
+        ("Ulan Bator", "Mongolia", None), ("Xi'an", "China", None), ("évry", "France", None), ("Москва", "Russia", None),
+        ("Bator", "Nowhere", 1), ("San José de Tacámbaro", "Mexico", 2), ("San José", "Costa Rica", 3), ("Ab", "Second", 5),
+        ("ab", "First", 4), ("Cd", "Tie", 1), (None, "Null", 0), ("!?", "Empty", 0), ("Route 66", "Road", None),
+    ]
+    got = by_rows(spark, [
+        "Hare ULAN BATOR", "xi'an owl", "goat Évry", "москва лиса", "fox san josé", "fox San José de Tacámbaro", "CD AB", "LEEDS",
+        "run route 66", "route 666", "лисамосква",
+    ], cities)
+    assert got == [
+        ("HARE", "Ulan Bator", "Mongolia", 1.0), ("OWL", "Xi An", "China", 1.0), ("GOAT", "Évry", "France", 1.0),
+        ("ЛИСА", "Москва", "Russia", 1.0), ("FOX", "San José", "Costa Rica", 1.0),
+        ("FOX", "San José De Tacámbaro", "Mexico", 1.0), ("AB", "Cd", "Tie", 1.0), ("LEEDS", None, None, 0.0),
+        ("RUN", "Route 66", "Road", 1.0), ("ROUTE 666", None, None, 0.0), ("ЛИСАМОСКВА", None, None, 0.0),
+    ]
+
+
+def test_rows_decide_what_is_no_place(spark):
+    assert by_rows(spark, ["Hare, lake", "Hare, morning"], [], [("Lake",), (None,)]) == [
+        ("HARE, LAKE", None, None, 0.0), ("HARE", "Morning", None, 0.5)]
+    assert by_rows(spark, ["Hare, morning", "OSLO"], [], []) == [("HARE", "Morning", None, 0.5), ("OSLO", None, None, 0.0)]
+    assert by_rows(spark, [], None, []) == []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from routewright import dims
 from routewright.functions import geo, scores, streets, text
 from routewright.operators import catalogue as cat
-from routewright.operators import labels, raster
+from routewright.operators import labels, raster, titles
 from routewright.sinks import writers
 from workload.fixtures import derive, table
 from workload.registry import query, r6, s6, s_hav
@@ -106,8 +106,9 @@ def _ranked_cities() -> str:
     return ", ".join(f"({i}, {lit(c)}, {lit(n)})" for i, (_, (c, n)) in enumerate(ranked))
 
 
-def s_parse_title(source: str, key: str) -> str:
-    """SELECT key, shape, city, country, confidence over (key, title) rows."""
+def s_parse_title(source: str, key: str, cities: str | None = None) -> str:
+    """SELECT key, shape, city, country, confidence over (key, title) rows; ``cities`` selects (i, city, country), best first."""
+    cities = cities or f"SELECT * FROM (VALUES {_ranked_cities()}) AS r(i, city, country)"
     bounded = "'(^|[^A-Z])' || c.city || '([^A-Z]|$)'"
     sep = "\\s*[–—―,|/]\\s*"
     stop = ", ".join(lit(w.upper()) for w in dims.NON_PLACES)
@@ -126,7 +127,7 @@ def s_parse_title(source: str, key: str) -> str:
                     FROM (SELECT {key}, upper({s_clean_title('title')}) AS u FROM ({source}) AS q) AS t
                     LEFT JOIN (SELECT {key}, arg_min(city, i) AS city, arg_min(country, i) AS country
                                FROM (SELECT {key}, c.* FROM (SELECT {key}, upper({s_clean_title('title')}) AS u FROM ({source}) AS q2) AS q
-                                     JOIN (VALUES {_ranked_cities()}) AS c(i, city, country) ON regexp_matches(q.u, {bounded})) AS m
+                                     JOIN ({cities}) AS c(i, city, country) ON regexp_matches(q.u, {bounded})) AS m
                                GROUP BY {key}) AS b ON b.{key} = t.{key}) AS p) AS z"""
 
 
@@ -136,6 +137,25 @@ def parse_title(spark, d):
     return parsed.select("position", "shape", "city", "country", "confidence")
 
 
+_CITY_ROWS = f"""
+    SELECT row_number() OVER (ORDER BY length(city) DESC, i, city), city, country
+    FROM (SELECT i, city, country FROM (VALUES {_ranked_cities()}) AS b(i, city, country)
+          UNION ALL SELECT 1000 + n_nationkey, n_name, r_name FROM {{nation}} JOIN {{region}} ON r_regionkey = n_regionkey) AS a"""
+_NATION_TITLES = """SELECT position, CASE WHEN position % 2 = 0 THEN title || ' ' || n_name ELSE title END AS title
+                    FROM [titles] JOIN {nation} ON n_nationkey = position % 25"""
+
+
+@query(s_parse_title(_NATION_TITLES, "position", _CITY_ROWS))
+def parse_titles_by_rows(spark, d):
+    nations = table(spark, d, "nation")
+    added = nations.join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(
+        F.col("n_name").alias("name"), F.col("r_name").alias("country"), (F.col("n_nationkey") + 1000).cast("long").alias("position"))
+    cities = titles.built_in_cities(spark).unionByName(added)
+    named = derive(spark, d, "titles").join(nations, F.col("n_nationkey") == F.col("position") % 25).select(
+        "position", F.when(F.col("position") % 2 == 0, F.concat("title", F.lit(" "), "n_name")).otherwise(F.col("title")).alias("title"))
+    return cat.parse_titles(named, cities).select("position", "shape", "city", "country", "confidence")
+
+
 @query(f"""SELECT position, lower({s_collapse("city || CASE WHEN country IS NULL THEN '' ELSE ', ' || country END")}) AS key
            FROM ({s_parse_title("SELECT position, title FROM [titles]", "position")}) AS p""")
 def geocode_key(spark, d):
