@@ -176,3 +176,14 @@ def invert_affine(lat: Column, lon: Column, fit: Column) -> Column:
     return F.struct(
         ((fit["e"] * u - fit["b"] * v) / det).alias("x"), ((fit["a"] * v - fit["d"] * u) / det).alias("y")
     )
+
+
+def curve_place(lat: Column, lon: Column) -> Column:
+    """Place of a point on a curve through 2^21 x 2^21 cells of the globe that keeps near points near: bits of both in turn."""
+    def bits(value: Column, low: float, span: float) -> Column:
+        step = F.floor((value - low) / span * (1 << 21))
+        # Binary digits read to the base of four leave every second bit free.
+        return F.conv(F.bin(F.greatest(F.lit(0), F.least(F.lit((1 << 21) - 1), step))), 4, 10).cast("long")
+
+    place = bits(lat, -90.0, 180.0) * 2 + bits(lon, -180.0, 360.0)
+    return F.when(lat.isNotNull() & lon.isNotNull(), place)

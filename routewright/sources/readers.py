@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from routewright import schemas
 from routewright.functions import geo
 
-GRAPH_CELL = 1.0
+GRAPH_FILE_BYTES = 64 << 20
+_VALUE_BYTES = 8
 
 
 # --- gallery tiles ----------------------------------------------------------------------------------------------
@@ -193,29 +194,42 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
 # --- street graphs ----------------------------------------------------------------------------------------------
 
-def write_street_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes (id, lat, lon) and edges (u, v, length) as parquet, partitioned by the cell of the node or edge start."""
-    placed = nodes.withColumn("cell", geo.cell_id(F.col("lat"), F.col("lon"), GRAPH_CELL))
-    placed.repartition("cell").write.partitionBy("cell").parquet(f"{path}/nodes")
-    starts = placed.select(F.col("id").alias("u"), "cell")
-    edges.join(starts, "u").repartition("cell").write.partitionBy("cell").parquet(f"{path}/edges")
+def write_street_graph(nodes: DataFrame, edges: DataFrame, path: str, file_bytes: int = GRAPH_FILE_BYTES) -> None:
+    """Nodes (id, lat, lon) and edges (u, v, length) as Parquet files of at most about ``file_bytes``, laid along a curve.
+
+    Rows are dealt and sorted by their place on a curve that keeps near places near, so a file covers a small area however
+    dense it is, and its statistics tell a reader of a box to pass it over. Edges carry the places of both ends. Edges
+    with an end that is no node are left out; of nodes that share an id, edges take the smallest place.
+    """
+    along = geo.curve_place(F.col("lat"), F.col("lon"))
+    _write_along(nodes.select("id", "lat", "lon"), along, ["id"], f"{path}/nodes", file_bytes)
+    places = nodes.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("at"))
+    for end in ("u", "v"):
+        edges = edges.join(places.select(
+            F.col("id").alias(end), F.col("at.lat").alias(f"{end}_lat"), F.col("at.lon").alias(f"{end}_lon")), end)
+    placed = edges.select("u", "v", "length", "u_lat", "u_lon", "v_lat", "v_lon")
+    _write_along(placed, geo.curve_place(F.col("u_lat"), F.col("u_lon")), ["u", "v"], f"{path}/edges", file_bytes)
+
+
+def _write_along(rows: DataFrame, place: Column, ties: list[str], path: str, file_bytes: int) -> None:
+    """The rows in files by their place; every column is a number, so a count of rows bounds the bytes."""
+    most = max(1, file_bytes // (_VALUE_BYTES * len(rows.columns)))
+    keyed = rows.withColumn("_place", place)
+    laid = keyed.repartitionByRange("_place", *ties).sortWithinPartitions("_place", *ties)
+    laid.drop("_place").write.option("maxRecordsPerFile", most).parquet(path)
 
 
 def read_street_graph(
     spark: SparkSession, path: str, south: float, north: float, west: float, east: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges inside a box. The box's cells prune the partitions that are read."""
-    corner = F.greatest(*[
-        geo.haversine(F.lit((south + north) / 2), F.lit((west + east) / 2), F.lit(lat), F.lit(lon), 1.0, True)
-        for lat in (south, north) for lon in (west, east)
-    ])
-    cells = spark.range(1).select(geo.cells_within(
-        F.lit((south + north) / 2), F.lit((west + east) / 2), F.degrees(corner) * 1.001, GRAPH_CELL
-    ).alias("cells")).first()["cells"]
-    in_box = F.col("lat").between(south, north) & F.col("lon").between(west, east)
-    nodes = spark.read.parquet(f"{path}/nodes").filter(F.col("cell").isin(cells) & in_box).select("id", "lat", "lon")
-    edges = spark.read.parquet(f"{path}/edges").filter(F.col("cell").isin(cells)).select("u", "v", "length")
-    ends = nodes.select("id")
-    return nodes, edges.join(ends.withColumnRenamed("id", "u"), "u", "left_semi").join(
-        ends.withColumnRenamed("id", "v"), "v", "left_semi"
-    )
+    """Nodes inside a box, and edges with both ends in it; a box with ``west`` beyond ``east`` crosses the date line.
+
+    Both are scans with filters that reach the files' statistics: nothing is shuffled or sent to the driver.
+    """
+    def inside(lat: str, lon: str) -> Column:
+        across = (F.col(lon) >= west) | (F.col(lon) <= east) if west > east else F.col(lon).between(west, east)
+        return F.col(lat).between(south, north) & across
+
+    nodes = spark.read.parquet(f"{path}/nodes").where(inside("lat", "lon")).select("id", "lat", "lon")
+    edges = spark.read.parquet(f"{path}/edges").where(inside("u_lat", "u_lon") & inside("v_lat", "v_lon"))
+    return nodes, edges.select("u", "v", "length")
