@@ -158,3 +158,15 @@ def test_unreadable_cache_is_empty(spark, tmp_path):
     path.write_text("{not json")
     hits, negatives = readers.read_place_cache(spark, str(path))
     assert hits.count() == 0 and negatives.count() == 0
+
+
+def test_index_batch_takes_cities_as_rows(spark):
+    tiles = spark.createDataFrame([tile(0, "HARE ULAN BATOR", "u1"), tile(1, "OWL OSLO", "u2")], TILES)
+    old = spark.createDataFrame([], schemas.CATALOGUE)
+    cities = spark.createDataFrame([("Ulan Bator", "Mongolia")], "name string, country string")
+    found = {}
+    for given in (None, cities):
+        after, _ = jobs.index_batch(tiles, None, old, given)
+        found[given is None] = sorted((r["image_url"], r["city"], r["country"]) for r in after.collect())
+    assert found[True] == [("u1", None, None), ("u2", "Oslo", "Norway")]
+    assert found[False] == [("u1", "Ulan Bator", "Mongolia"), ("u2", None, None)]
