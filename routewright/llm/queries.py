@@ -143,7 +143,7 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: where crc32(doc_id) ends in 0, the words from one on repeat the first few of them, as the query's contract says."""
-    words = "array_remove(split(translate(text, '\\t\\n\\u000b\\f\\r', '     '), ' '), '')"
+    words = "array_remove(split(translate(text, '\\t\\n\\u000b\\u000c\\r', '     '), ' '), '')"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("g", F.expr("h div 10"))
     rows = rows.withColumn("words", F.expr(f"CASE WHEN h % 10 = 0 THEN {words} END")).withColumn("n", F.size("words").cast("long"))

@@ -89,6 +89,15 @@ def test_query_rows_match_brute_force(spark, tmp_path):
     assert sum(row[1] for row in got) > 15
 
 
+def test_planted_rows_hold_form_feeds_and_the_letter_f(spark, tmp_path):
+    r = random.Random(7)
+    words = ["offer", "f", "fan", "if", "x\x0cy", "a\x0bb", "é\x85f", "w\x1cf", "\U0001F600f"]
+    rows = [(n, " ".join(r.choice(words) for _ in range(r.randint(0, 120)))) for n in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op13_periodic_runs(spark, str(tmp_path)).collect()))
+    assert got == [brute_row(d, t) for d, t in rows]
+
+
 def test_other_limits_and_repeated_rows(spark):
     r = random.Random(8)
     texts = [periodic(r, "abc") for _ in range(60)]
