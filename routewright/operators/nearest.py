@@ -12,6 +12,14 @@ from routewright.session import cut_lineage
 
 # Cell sides in degrees for far searches, from continents down.
 _DESCENT = [45.0, 5.625, 0.703125, 0.087890625, 0.010986328125]
+# Distances are compared by this many decimals; closer ones are ties.
+_TIE_DECIMALS = 6
+
+
+def _closest(distance: Column) -> Column:
+    """struct(distance, t_id) of the closest rows: the smallest t_id of those that tie."""
+    tie = F.min(F.struct(F.round(distance, _TIE_DECIMALS).alias("rounded"), F.col("t_id")))
+    return F.struct(F.min(distance).alias("distance"), tie["t_id"].alias("t_id"))
 
 
 def _box_floor_km(lat: Column, lon: Column, box: dict, radius: float) -> Column:
@@ -53,14 +61,12 @@ def _far_nearest(src: DataFrame, dst: DataFrame, on: list[str], carry: list[str]
         reach = geo.haversine(F.col("lat"), F.col("lon"), F.col("_rep.t_lat"), F.col("_rep.t_lon"), radius, True)
         front = (
             front.withColumn("_floor", _box_floor_km(F.col("lat"), F.col("lon"), box, radius))
-            .withColumn("_reach", F.min(reach).over(best)).filter(F.col("_floor") <= F.col("_reach") * (1 + 1e-9))
+            .withColumn("_reach", F.min(reach).over(best)).filter(F.col("_floor") <= F.col("_reach") * (1 + 1e-9) + 10.0 ** -_TIE_DECIMALS)
             .select(*on, "src_id", "lat", "lon", *carry, f"_l{i}")
         )
     bottom = f"_l{len(_DESCENT) - 1}"
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"), radius, True)
-    return front.join(leveled, [*on, bottom]).groupBy(*on, "src_id", *carry).agg(
-        F.min(F.struct(distance.alias("distance"), F.col("t_id"))).alias("_best")
-    )
+    return front.join(leveled, [*on, bottom]).groupBy(*on, "src_id", *carry).agg(_closest(distance).alias("_best"))
 
 
 def nearest(
@@ -69,7 +75,7 @@ def nearest(
 ) -> DataFrame:
     """Nearest ``dst`` (t_id, lat, lon) of every ``src`` (src_id, lat, lon), within equal ``on`` keys if given.
 
-    Distances are in the unit of ``radius``; ties go to the smallest t_id. Most points find their neighbour among the
+    Distances are in the unit of ``radius``; ties (equal in six decimals) go to the smallest t_id. Most points find their neighbour among the
     cells within ``near``; the rest go down a cell hierarchy, so no point is compared with a whole target set.
     Points whose key has no target are absent. ``carry`` names columns of ``src`` to keep. ``which`` = False leaves t_id
     out, so that minima are taken in hash tables instead of by sorting.
@@ -81,9 +87,9 @@ def nearest(
     src = src.select(*on, "src_id", "lat", "lon", *carry)
     probe = geo.explode_cells(src, F.col("lat"), F.col("lon"), F.lit(size), size)
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"), radius, clamp)
-    best = F.min(F.struct(distance.alias("distance"), F.col("t_id"))) if which else F.min(distance)
+    best = _closest(distance) if which else F.min(distance)
     found_at = F.col("_best.distance") if which else F.col("_best")
-    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id", *carry).agg(best.alias("_best")).filter(found_at <= near)
+    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id", *carry).agg(best.alias("_best")).filter(found_at < near * (1 - 1e-6))
     close = cut_lineage(close)
     rest = src.join(close.select("src_id"), "src_id", "left_anti")
     if not rest.isEmpty():

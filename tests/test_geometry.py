@@ -119,6 +119,14 @@ def test_nearest_matches_brute_force_near_and_far(spark):
         assert got[i][0] == best and abs(got[i][1] - d) < 1e-3
 
 
+def test_nearest_ties_are_those_of_six_decimals(spark):
+    """The larger id is closer by less than a rounding step, near and far."""
+    nodes = spark.createDataFrame([(1, 0.0, 0.001), (2, 0.0, -0.001 + 2e-13), (3, 40.0, 0.01), (4, 40.0, -0.01 + 2e-13)], "id long, lat double, lon double")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 40.0, 0.0)], "src_id long, lat double, lon double")
+    got = {r["src_id"]: r["node"] for r in nearest.snap_to_nodes(points, nodes).collect()}
+    assert got == {1: 1, 2: 3}
+
+
 def test_mean_nearest_and_shape_fidelity(spark):
     square = [(0, 0), (0, 0.01), (0.01, 0.01), (0.01, 0), (0, 0)]
     moved = [(a + 0.001, b) for a, b in square]
