@@ -123,6 +123,30 @@ def test_radius_search(spark):
     assert search.search_near(points(spark), 53.8, -1.5, 0).count() == 0
 
 
+def test_equal_searches_are_made_once_and_meet_spots(spark, monkeypatch):
+    """Many equal queries over crowded spots with ties; results as by brute force, probes as many as distinct queries."""
+    rows = [(n, (None, "birds", "cats")[n % 3], 53.0 + n % 7 / 100, 1.0 + n % 5 / 100) for n in range(600)]
+    asked = [(n, 53.0 + n % 2 / 50, 1.02, 2.0 + n % 3, (None, "birds")[n % 2]) for n in range(60)]
+    catalogue = spark.createDataFrame(rows, "id long, category string, lat double, lon double")
+    queries = spark.createDataFrame(asked, "query_id long, lat double, lon double, radius_km double, category string")
+    probed, explode = [], search.geo.explode_cells
+
+    def counted(df, *args):
+        probed.append(df.count())
+        return explode(df, *args)
+
+    monkeypatch.setattr(search.geo, "explode_cells", counted)
+    for limit in (4, 70):
+        probed.clear()
+        hits = search.radius_search(queries, catalogue, limit, True)
+        want = queries.alias("q").join(catalogue.alias("c"), F.col("q.category").isNull() | (F.col("q.category") == F.col("c.category"))).withColumn(
+            "d", search.geo.haversine(F.col("q.lat"), F.col("q.lon"), F.col("c.lat"), F.col("c.lon"), search.geo.SEARCH_RADIUS_KM)
+        ).filter("d <= radius_km").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, limit).alias("best"))
+        got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "distance_km", "id"))).alias("best"))
+        assert {r[0]: [(i + 1, *x) for i, x in enumerate(r[1])] for r in want.collect()} == {r[0]: [tuple(x) for x in r[1]] for r in got.collect()}
+        assert sum(probed) == 6
+
+
 def test_search_pushes_its_box_to_the_scan(spark, tmp_path):
     points(spark).write.parquet(str(tmp_path / "p"))
     found = search.search_near(spark.read.parquet(str(tmp_path / "p")), 53.8, -1.5, 30.0, "birds")
