@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewright.functions import geo
-from routewright.session import cut_lineage
+from routewright.session import as_large, cut_lineage
 
 # Cell sides in degrees for far searches, from continents down.
 _DESCENT = [45.0, 5.625, 0.703125, 0.087890625, 0.010986328125]
 # Distances are compared by this many decimals; closer ones are ties.
 _TIE_DECIMALS = 6
+# Side of the cells in which lines of one key meet, in search distances: wider ones repeat fewer targets over their neighbours.
+_TILE = 2
 
 
 def _closest(distance: Column) -> Column:
@@ -83,16 +85,31 @@ def nearest(
     on, carry = list(on), list(carry)
     size = geo.degrees_for_m(near, radius)
     targets = dst.select(*on, "t_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    placed = targets.withColumn("cell", geo.cell_id(F.col("t_lat"), F.col("t_lon"), size))
     src = src.select(*on, "src_id", "lat", "lon", *carry)
-    probe = geo.explode_cells(src, F.col("lat"), F.col("lon"), F.lit(size), size)
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"), radius, clamp)
     best = _closest(distance) if which else F.min(distance)
     found_at = F.col("_best.distance") if which else F.col("_best")
-    close = probe.join(placed, [*on, "cell"]).groupBy(*on, "src_id", *carry).agg(best.alias("_best")).filter(found_at < near * (1 - 1e-6))
-    close = cut_lineage(close)
-    rest = src.join(close.select("src_id"), "src_id", "left_anti")
+    if on:
+        # A point stays in its cell and targets are repeated over the cells they can be reached from: what a point meets
+        # is joined and folded in one task, and its rows are shuffled once instead of once for each cell around it.
+        tile = _TILE * size
+        met = src.withColumn("cell", geo.cell_id(F.col("lat"), F.col("lon"), tile)).join(
+            as_large(geo.explode_cells(targets, F.col("t_lat"), F.col("t_lon"), F.lit(size), tile)), [*on, "cell"], "left")
+        folded = met.groupBy(*on, "cell", "src_id", "lat", "lon", *carry).agg(best.alias("_best"))
+        far = F.coalesce(found_at >= near * (1 - 1e-6), F.lit(True))
+        place = [F.when(F.col("_far"), F.col(c)).alias(c) for c in ("lat", "lon")]
+        folded = cut_lineage(folded.withColumn("_far", far).select(*on, "src_id", *carry, "_best", "_far", *place))
+        close = folded.filter("NOT _far").select(*on, "src_id", *carry, "_best")
+        rest = folded.filter("_far").select(*src.columns)
+    else:
+        placed = targets.withColumn("cell", geo.cell_id(F.col("t_lat"), F.col("t_lon"), size))
+        probe = geo.explode_cells(src, F.col("lat"), F.col("lon"), F.lit(size), size)
+        close = cut_lineage(
+            probe.join(placed, "cell").groupBy("src_id", *carry).agg(best.alias("_best")).filter(found_at < near * (1 - 1e-6)))
+        rest = src.join(close.select("src_id"), "src_id", "left_anti")
     if not rest.isEmpty():
+        if on:
+            targets = cut_lineage(targets.join(as_large(rest.select(*on).distinct()), on, "left_semi"))
         far = _far_nearest(rest, targets, on, carry, radius)
         close = close.unionByName(far if which else far.withColumn("_best", F.col("_best.distance")))
     if not which:
@@ -107,17 +124,25 @@ def snap_to_nodes(points: DataFrame, nodes: DataFrame, near_m: float = 250.0) ->
     ).select("src_id", F.col("t_id").alias("node"), F.col("distance").alias("distance_m"))
 
 
+def fold_points(points: DataFrame, key: str) -> DataFrame:
+    """Written points of lines (key, lat, lon, w, src_id): repeated coordinates are one point of weight ``w`` and cost one lookup."""
+    folded = points.groupBy(key, "lat", "lon").agg(F.count("*").alias("w"))
+    return cut_lineage(folded.withColumn("src_id", F.monotonically_increasing_id()))
+
+
 def mean_nearest(src: DataFrame, dst: DataFrame, key: str, near_m: float = 250.0) -> DataFrame:
     """Mean over a line's points of the distance to the nearest point of the other line with the same key.
 
-    Repeated coordinates are folded into one weighted point first, so they cost one lookup. A line whose counterpart is
-    empty gets infinity.
+    A line whose counterpart is empty gets infinity.
     """
-    folded = src.groupBy(key, "lat", "lon").agg(F.count("*").alias("w")).withColumn("src_id", F.monotonically_increasing_id())
-    targets = dst.select(key, "lat", "lon").distinct().withColumn("t_id", F.lit(0))
-    folded = cut_lineage(folded)
-    found = nearest(folded, targets, [key], geo.OUTLINE_RADIUS_M, near_m, clamp=False, carry=["w"], which=False)
+    return mean_nearest_folded(fold_points(src, key), fold_points(dst, key), key, near_m)
+
+
+def mean_nearest_folded(src: DataFrame, dst: DataFrame, key: str, near_m: float = 250.0) -> DataFrame:
+    """:func:`mean_nearest` of lines that :func:`fold_points` wrote."""
+    targets = dst.select(key, "lat", "lon").withColumn("t_id", F.lit(0))
+    found = nearest(src, targets, [key], geo.OUTLINE_RADIUS_M, near_m, clamp=False, carry=["w"], which=False)
     means = found.groupBy(key).agg((F.sum(F.col("distance") * F.col("w")) / F.sum("w")).alias("mean_nearest_m"))
-    return folded.select(key).distinct().join(means, key, "left").select(
+    return src.select(key).distinct().join(means, key, "left").select(
         key, F.coalesce("mean_nearest_m", F.lit(float("inf"))).alias("mean_nearest_m")
     )

@@ -10,9 +10,9 @@ from pyspark.sql.functions import pandas_udf
 
 from routewright.functions import geo, scores
 from routewright.operators.lines import as_lines, box_diagonal, densify, shared_origin
-from routewright.operators.nearest import mean_nearest
+from routewright.operators.nearest import fold_points, mean_nearest_folded
 from routewright.operators.scans import segments
-from routewright.session import cut_lineage
+from routewright.session import cut_lineage, staged_rounds
 
 # Densify step, buffers and soft limit in metres.
 DENSIFY_M = 25.0
@@ -27,15 +27,17 @@ def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float
     Inputs (key, seq, lat, lon). No points on either side, or no diagonal, gives infinity.
     """
     diagonal = box_diagonal(ideal, [key])
-    a, b = cut_lineage(densify(ideal, [key], step_m)), cut_lineage(densify(snapped, [key], step_m))
-    there = mean_nearest(a, b, key).withColumnRenamed("mean_nearest_m", "there_m")
-    back = mean_nearest(b, a, key).withColumnRenamed("mean_nearest_m", "back_m")
-    joined = there.join(back, key, "full_outer").join(diagonal, key, "left")
     infinite = F.lit(float("inf"))
     score = 0.5 * (F.col("there_m") + F.col("back_m")) / F.nullif(F.col("diagonal_m"), F.lit(0.0))
-    return joined.select(key, F.when(
-        F.col("there_m").isNull() | F.col("back_m").isNull() | ~(F.col("diagonal_m") > 0), infinite
-    ).otherwise(score).alias("fidelity"))
+    # The points between are many and the scores few: only these are kept.
+    with staged_rounds(ideal.sparkSession):
+        a, b = fold_points(densify(ideal, [key], step_m), key), fold_points(densify(snapped, [key], step_m), key)
+        there = mean_nearest_folded(a, b, key).withColumnRenamed("mean_nearest_m", "there_m")
+        back = mean_nearest_folded(b, a, key).withColumnRenamed("mean_nearest_m", "back_m")
+        joined = there.join(back, key, "full_outer").join(diagonal, key, "left")
+        return cut_lineage(joined.select(key, F.when(
+            F.col("there_m").isNull() | F.col("back_m").isNull() | ~(F.col("diagonal_m") > 0), infinite
+        ).otherwise(score).alias("fidelity")))
 
 
 def _frechet(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> float:
