@@ -15,7 +15,7 @@ _DESCENT = [45.0, 5.625, 0.703125, 0.087890625, 0.010986328125]
 # Distances are compared by this many decimals; closer ones are ties.
 _TIE_DECIMALS = 6
 # Side of the cells in which lines of one key meet, in search distances: wider ones repeat fewer targets over their neighbours.
-_TILE = 2
+_TILE = 8
 
 
 def _closest(distance: Column) -> Column:
@@ -93,8 +93,13 @@ def nearest(
         # A point stays in its cell and targets are repeated over the cells they can be reached from: what a point meets
         # is joined and folded in one task, and its rows are shuffled once instead of once for each cell around it.
         tile = _TILE * size
-        met = src.withColumn("cell", geo.cell_id(F.col("lat"), F.col("lon"), tile)).join(
-            as_large(geo.explode_cells(targets, F.col("t_lat"), F.col("t_lon"), F.lit(size), tile)), [*on, "cell"], "left")
+        # Half width in degrees of what a point can reach, rounded up so that it packs well; it spares most distances.
+        spread = F.ceil(geo.longitude_spread(F.col("lat"), F.lit(size)) * 10000) / 10000
+        left = src.withColumn("cell", geo.cell_id(F.col("lat"), F.col("lon"), tile)).withColumn("_spread", spread).alias("s")
+        right = geo.explode_cells(targets, F.col("t_lat"), F.col("t_lon"), F.lit(size), tile).alias("t")
+        apart = F.abs(F.col("lon") - F.col("t_lon"))
+        met = left.join(as_large(right), [F.col(f"s.{c}") == F.col(f"t.{c}") for c in (*on, "cell")] + [
+            F.abs(F.col("lat") - F.col("t_lat")) <= size, F.least(apart, 360.0 - apart) <= F.col("_spread")], "left").select("s.*", "t_id", "t_lat", "t_lon")
         folded = met.groupBy(*on, "cell", "src_id", "lat", "lon", *carry).agg(best.alias("_best"))
         far = F.coalesce(found_at >= near * (1 - 1e-6), F.lit(True))
         place = [F.when(F.col("_far"), F.col(c)).alias(c) for c in ("lat", "lon")]

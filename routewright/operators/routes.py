@@ -116,9 +116,9 @@ def candidate_waypoints(grid: DataFrame, sampled: DataFrame) -> DataFrame:
 
 
 def best_route_by_fidelity(scored: DataFrame) -> DataFrame:
-    """Lowest fidelity per request among candidates that routed, first candidate on a tie, which is told by nine decimals:
+    """Lowest fidelity per request among candidates that routed, first candidate on a tie, which is told by twelve decimals:
     a mean over a line's points differs beyond those with the order in which it is added up."""
-    best = F.min_by(F.struct(*scored.columns), F.struct(F.round("fidelity", 9), "candidate_no"))
+    best = F.min_by(F.struct(*scored.columns), F.struct(F.round("fidelity", 12), "candidate_no"))
     return scored.filter("fidelity IS NOT NULL").groupBy("request_id").agg(best.alias("_b")).select("_b.*")
 
 
