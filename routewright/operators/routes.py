@@ -186,18 +186,21 @@ def rescale_lines(
         drawn = candidate_waypoints(placed, sampled).select("route_id", "seq", "lat", "lon")
         routed = cut_lineage(router(drawn))
         lengths = routed.groupBy("route_id").agg(F.max("distance_m").alias("distance_m"))
-        tried = cut_lineage(placed.join(lengths, "route_id").join(shape_fidelity(drawn, routed, "route_id"), "route_id"))
+        tried = cut_lineage(placed.join(lengths, "route_id"))
         round_of = (tried, drawn, routed)
         done = round_of if done is None else tuple(a.unionByName(b) for a, b in zip(done, round_of))
         ratio = F.col("target_m") / F.nullif(F.col("distance_m"), F.lit(0.0))
         error = F.abs(F.col("distance_m") - F.col("target_m")) / F.col("target_m")
         open_rows = tried.filter((error >= GOOD_ERROR) & (F.col("iterations") > number)).withColumn(
             "scale", F.col("scale") * F.sqrt(ratio)
-        ).drop("distance_m", "fidelity", "route_id").withColumn("iteration", F.lit(number + 1))
+        ).drop("distance_m", "route_id").withColumn("iteration", F.lit(number + 1))
         if open_rows.isEmpty():
             break
     tried, drawn, routed = done
+    # The distance alone decides, so only the chosen lines are scored.
     best = cut_lineage(best_iteration(tried))
+    chosen = [points.join(best.select("route_id"), "route_id", "left_semi") for points in (drawn, routed)]
+    best = cut_lineage(best.join(shape_fidelity(*chosen, "route_id"), "route_id"))
     return best, _lost(requests, best, F.lit("the first routing failed")), drawn, routed
 
 

@@ -68,3 +68,23 @@ def test_scores_leave_no_points_on_disk(spark):
 def test_a_tie_in_fidelity_goes_to_the_first_candidate(spark):
     scored = spark.createDataFrame([(1, 0, 0.3), (1, 1, 0.3 - 1e-15), (2, 0, 0.3), (2, 1, 0.2)], "request_id long, candidate_no int, fidelity double")
     assert {r["request_id"]: r["candidate_no"] for r in routes.best_route_by_fidelity(scored).collect()} == {1: 0, 2: 1}
+
+
+def test_rescaling_scores_the_chosen_lines_alone(spark, monkeypatch):
+    scored = []
+
+    def score(ideal, snapped, key):
+        found = similarity.shape_fidelity(ideal, snapped, key)
+        scored.append(sorted(r[key] for r in found.collect()))
+        return found
+
+    monkeypatch.setattr(routes, "shape_fidelity", score)
+    outlines = spark.createDataFrame([("box", 0, 0.0, 0.0), ("box", 1, 4.0, 0.0), ("box", 2, 4.0, 4.0)], "shape string, seq long, x double, y double")
+    asked = spark.createDataFrame([(1, "box", 51.0, 0.0, 2.0, 10, 3)], "request_id long, shape string, lat double, lon double, distance_km double, waypoints int, iterations int")
+
+    def router(waypoints):  # always 1 km: the error stays, and the first of equal errors is best
+        return waypoints.withColumn("distance_m", F.lit(1000.0))
+
+    best, lost = routes.rescale_iterate(asked, outlines, router)
+    assert [(r["iteration"], r["distance_m"], r["fidelity"]) for r in best.collect()] == [(1, 1000.0, 0.0)]
+    assert scored == [["1/1"]] and lost.isEmpty()
