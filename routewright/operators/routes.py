@@ -73,7 +73,7 @@ def sampled_outlines(requests: DataFrame, outlines: DataFrame) -> DataFrame:
     """
     used = requests.select("shape", "waypoints").distinct()
     key = ["shape", "waypoints"]
-    drawn = resample(outlines.join(used, "shape").withColumn("_n", F.col("waypoints")), key, "_n")
+    drawn = cut_lineage(resample(cut_lineage(outlines.join(used, "shape").withColumn("_n", F.col("waypoints"))), key, "_n"))
     box = line_box(drawn, key, ("x", "y")).select(
         *key, ((F.col("min_x") + F.col("max_x")) / 2).alias("cx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("cy")
     )
