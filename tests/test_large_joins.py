@@ -46,3 +46,13 @@ def test_fits_are_merged_with_their_pixels(spark):
     for df in (fits, placed, located):
         assert "Broadcast" not in plan(df)
     assert placed.count() == located.count() == 5
+
+
+def test_steps_of_a_fit_are_written_apart(spark):
+    """One join per written step: memory of a task adds up over the joins and aggregations that share its stage."""
+    rows = [(1, float(x), float(y), 51.5 - y / 1e5, x / 6e4, f"L{x}", 0.5) for x, y in ((10, 10), (200, 30), (90, 250), (300, 310), (20, 200))]
+    gcps = spark.createDataFrame(rows, "image_id long, x_px double, y_px double, lat double, lon double, label string, weight double")
+    fits, _ = georef.fit_affine(gcps)
+    plain, _ = georef.fit_affine(gcps.drop("label"), drop_outliers=False)
+    assert plan(fits).count("SortMergeJoin") == 1 and plan(plain).count("SortMergeJoin") == 1
+    assert [r["n_anchors"] for r in fits.collect() + plain.collect()] == [5, 5]
