@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from routewright.operators import crossref, georef
+from routewright.operators import crossref, georef, labels
 from routewright.session import cut_lineage
 
 
@@ -56,3 +56,10 @@ def test_steps_of_a_fit_are_written_apart(spark):
     plain, _ = georef.fit_affine(gcps.drop("label"), drop_outliers=False)
     assert plan(fits).count("SortMergeJoin") == 1 and plan(plain).count("SortMergeJoin") == 1
     assert [r["n_anchors"] for r in fits.collect() + plain.collect()] == [5, 5]
+
+
+def test_texts_are_parsed_before_they_meet_labels(spark):
+    rows = [(i, text, 0.9, 1.0, 2.0, 2.0, 1.0, 1) for i in range(40) for text in ("Elm Road", "13", None)]
+    found = labels.parse_labels(spark.createDataFrame(
+        rows, "image_id long, text string, conf double, x_center double, y_center double, band_y double, band_x double, part long"))
+    assert "regexp_extract" not in plan(found) and found.filter("normalized = 'Elm Road'").count() == found.count() == 40
