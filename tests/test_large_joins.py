@@ -63,3 +63,16 @@ def test_texts_are_parsed_before_they_meet_labels(spark):
     found = labels.parse_labels(spark.createDataFrame(
         rows, "image_id long, text string, conf double, x_center double, y_center double, band_y double, band_x double, part long"))
     assert "regexp_extract" not in plan(found) and found.filter("normalized = 'Elm Road'").count() == found.count() == 40
+
+
+def test_hits_are_dealt_by_image(spark):
+    """Hits are many times the rows they come from: as many tasks as a shuffle has hold them, not as many as the names are worth."""
+    asked = spark.range(50).selectExpr("id AS image_id", "'elm road' AS name_key", "'Elm Road' AS normalized", "0.9D AS confidence",
+                                       "0D AS band_y", "0D AS band_x", "1L AS part")
+    places = spark.range(30).selectExpr("id AS place_id", "'Elm Road' AS name", "CAST(NULL AS STRING) AS name_en", "51D AS lat", "0D AS lon",
+                                        "concat('City ', id % 7) AS city", "'X' AS country", "1D AS importance")
+    found = crossref.match_streets(asked, places)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 50 * 30
+    checked = crossref.verify_city_hypotheses(crossref.city_hypotheses(found), asked, found, places)
+    assert checked.count() == 50 * 30 and plan(checked).count("regexp_replace") == 0
