@@ -76,3 +76,11 @@ def test_hits_are_dealt_by_image(spark):
     assert found.count() == 50 * 30
     checked = crossref.verify_city_hypotheses(crossref.city_hypotheses(found), asked, found, places)
     assert checked.count() == 50 * 30 and plan(checked).count("regexp_replace") == 0
+
+
+def test_clusters_are_scored_in_one_shuffle(spark):
+    rows = [(1, 7, street, 0.5, n, 51.0, 0.0, "Aton", "X") for n, street in enumerate(("Elm Road", "Oak Lane", "Elm Road"))]
+    clustered = spark.createDataFrame(rows, "image_id long, component long, street string, confidence double, hit_no int, lat double, "
+                                            "lon double, city string, country string")
+    scored = crossref.score_clusters(clustered, 2)
+    assert plan(scored).count("Exchange hashpartitioning") == 1 and [(r["n_names"], r["n_ways"]) for r in scored.collect()] == [(2, 3)]
