@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from routewright import dims
 from routewright.functions import streets, text
+from routewright.operators import catalogue as cat
 from routewright.operators import titles
 
 
@@ -31,6 +32,18 @@ def test_parse_title(column):
     assert {t: tuple(g) for t, g in zip(TITLES, got)} == TITLES
 
 
+def test_a_title_is_parsed_once(spark):
+    """However many steps name what was read from a title, the plan holds its parse once."""
+    tiles = spark.range(4).selectExpr("id AS n", "concat('Hare ', id, ', Ulan Bator') AS title")
+    hits = spark.createDataFrame([("oslo, norway", 1.0, 2.0, "Norway")], "key string, lat double, lon double, country string")
+    parsed = cat.parse_titles(tiles)
+    asked = cat.unresolved_places(parsed, hits, spark.createDataFrame([("x",)], "key string"))
+    for df in (parsed, cat.geocode_titles(parsed, hits), asked):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+    assert [r["key"] for r in asked.collect()] == ["ulan bator"]
+
+
 def test_longest_city_wins_over_earlier_one(column):
     got = column(["BATH NEWT NEW YORK"], text.parse_title)[0]
     assert (got["city"], got["shape"]) == ("New York", "BATH NEWT")
