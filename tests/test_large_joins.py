@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from routewright import schemas
 from routewright.operators import crossref, georef, labels
+from routewright.plans import jobs
 from routewright.session import cut_lineage
 
 
@@ -25,6 +27,14 @@ def test_clusters_are_merged_with_their_points(spark):
     assert "Broadcast" not in plan(found) and found.count() == 3
 
 
+def test_indexed_tiles_are_parsed_and_written_once(spark):
+    tiles = spark.createDataFrame([(0, "OSLO Hare", "misc", "u0", "p", "s"), (1, "Hare", "misc", "u1", "p", "s")],
+                                  "position long, title string, category string, image_url string, page_url string, scraped_at string")
+    hits = spark.createDataFrame([("oslo, norway", 1.0, 2.0, "Norway")], "key string, lat double, lon double, country string")
+    rows, counts = jobs.index_batch(tiles, hits, spark.createDataFrame([], schemas.CATALOGUE))
+    assert "regexp" not in plan(counts) and counts.collect()[0].asDict() == {"rows": 2, "geocoded": 1} and rows.count() == 2
+
+
 def test_street_lookups_are_merged(spark, tmp_path):
     asked = spark.createDataFrame(
         [(1, "elm road", "Elm Road", 0.9, 0.0, 0.0, 1)], "image_id long, name_key string, normalized string, confidence double, band_y double, band_x double, part long")
