@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from routewright.functions import geo, scores
 from routewright.operators.lines import as_lines, box_diagonal, densify, shared_origin
 from routewright.operators.nearest import fold_points, mean_nearest_folded
 from routewright.operators.scans import segments
-from routewright.session import cut_lineage, staged_rounds
+from routewright.session import cut_lineage, spread, staged_rounds
 
 # Densify step, buffers and soft limit in metres.
 DENSIFY_M = 25.0
 BUFFER_M = 20.0
 FRECHET_SOFT_M = 200.0
 _SCANLINES_PER_BUFFER = 8
+# Scanlines of a band, and intervals on scanlines that a task makes at a time.
+_BAND = 64
+_SWEPT = 1 << 18
 
 
 def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float = DENSIFY_M) -> DataFrame:
@@ -82,49 +90,97 @@ def discrete_frechet(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return pair.select(key, coupling(xs("a"), ys("a"), xs("b"), ys("b")).alias("frechet_m"))
 
 
-def _swept_intervals(line: DataFrame, origin: DataFrame, key: str, buffer_m: float, side: int) -> DataFrame:
-    """x intervals a buffered line covers on each scanline: one exact interval per segment and scanline.
+def _band_segments(points: DataFrame, key: str, buffer_m: float) -> DataFrame:
+    """Segments (side, x, y, x2, y2) of both lines by ``key`` and band of scanlines, with the rows of the band they meet.
 
-    A buffered segment is convex, so it meets a scanline in one interval whose ends lie on an end disc or on an offset
-    edge.
+    A segment goes to each band its buffer touches, so its scanlines are made where they meet and never shuffled.
     """
     row_height = buffer_m / _SCANLINES_PER_BUFFER
-    local = line.join(origin, key).select(
-        key, "seq", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0")).alias("x"),
+    origin = shared_origin(points, [key])
+    local = points.join(origin, key).select(
+        key, "side", "seq", geo.local_x(F.col("lon"), F.col("lat0"), F.col("lon0")).alias("x"),
         geo.local_y(F.col("lat"), F.col("lat0")).alias("y"),
     )
-    r = F.lit(buffer_m)
-    length = F.nullif(F.hypot(F.col("next.x") - F.col("x"), F.col("next.y") - F.col("y")), F.lit(0.0))
-    # Per segment: its ends, the offset (nx, ny) to its side edges, and how far an edge moves in x per unit of y.
-    pairs = segments(local, [key], ["x", "y"]).filter(F.col("next").isNotNull()).select(
-        key, "x", "y", F.col("next.x").alias("x2"), F.col("next.y").alias("y2"),
-        (-(F.col("next.y") - F.col("y")) / length * r).alias("nx"),
-        ((F.col("next.x") - F.col("x")) / length * r).alias("ny"),
-        ((F.col("next.x") - F.col("x")) / F.nullif(F.col("next.y") - F.col("y"), F.lit(0.0))).alias("lean"),
-        F.explode(F.sequence(
-            F.ceil((F.least("y", "next.y") - buffer_m) / row_height - 0.5),
-            F.floor((F.greatest("y", "next.y") + buffer_m) / row_height - 0.5),
-        )).alias("row"),
+    pairs = segments(local, [key, "side"], ["x", "y"]).filter(F.col("next").isNotNull()).select(
+        key, "side", "x", "y", F.col("next.x").alias("x2"), F.col("next.y").alias("y2"),
+        F.ceil((F.least("y", "next.y") - buffer_m) / row_height - 0.5).alias("first"),
+        F.floor((F.greatest("y", "next.y") + buffer_m) / row_height - 0.5).alias("last"),
     )
-    at = (F.col("row") + 0.5) * row_height
-    # Height of the scanline over both ends; half widths of the end discs there.
-    rows = pairs.select(key, "row", "x", "x2", "nx", "ny", "lean", (at - F.col("y")).alias("h1"), (at - F.col("y2")).alias("h2"))
+    band = F.sequence(F.floor(F.col("first") / _BAND), F.floor(F.col("last") / _BAND))
+    placed = spread(pairs.select("*", F.explode(band).alias("band")), key, "band")
+    low = F.greatest(F.col("first") - F.col("band") * _BAND, F.lit(0)).cast("int")
+    high = F.least(F.col("last") - F.col("band") * _BAND, F.lit(_BAND - 1)).cast("int")
+    segment = F.struct("side", "x", "y", "x2", "y2", low.alias("low"), high.alias("high"))
+    return placed.groupBy(key, "band").agg(F.collect_list(segment).alias("segments"))
 
-    def half(h: str) -> Column:
-        return F.when(F.abs(h) <= r, F.sqrt(r * r - F.col(h) * F.col(h)))
 
-    def edge(sign: int) -> Column:
-        up1, up2 = F.col("h1") - sign * F.col("ny"), F.col("h2") - sign * F.col("ny")
-        return F.when(up1 * up2 <= 0, F.col("x") + sign * F.col("nx") + up1 * F.col("lean"))
+def _interval_ends(s: dict, at: np.ndarray, buffer_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ends in x of the buffered segments ``s`` on the scanlines at height ``at``; NaN where they miss it.
 
-    ends = rows.select(
-        key, "row", "x", "x2", half("h1").alias("w1"), half("h2").alias("w2"), edge(1).alias("e1"), edge(-1).alias("e2")
-    )
-    return ends.select(
-        key, "row", F.lit(side).alias("side"),
-        F.least(F.col("x") - F.col("w1"), F.col("x2") - F.col("w2"), "e1", "e2").alias("lo"),
-        F.greatest(F.col("x") + F.col("w1"), F.col("x2") + F.col("w2"), "e1", "e2").alias("hi"),
-    )
+    A buffered segment is convex, so it meets a scanline in one interval whose ends lie on an end disc or on an offset
+    edge.
+    """
+    x, y, x2, y2 = s["x"], s["y"], s["x2"], s["y2"]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        length = np.hypot(x2 - x, y2 - y)
+        nx, ny = -(y2 - y) / length * buffer_m, (x2 - x) / length * buffer_m
+        lean = (x2 - x) / (y2 - y)
+        h1, h2 = at - y, at - y2
+        w1, w2 = np.sqrt(buffer_m * buffer_m - h1 * h1), np.sqrt(buffer_m * buffer_m - h2 * h2)
+        low, high = np.fmin(x - w1, x2 - w2), np.fmax(x + w1, x2 + w2)
+        for sign in (1, -1):
+            up1, up2 = h1 - sign * ny, h2 - sign * ny
+            edge = np.where((up1 * up2 <= 0) & (y != y2), x + sign * nx + up1 * lean, np.nan)
+            low, high = np.fmin(low, edge), np.fmax(high, edge)
+    return low, high
+
+
+def _sweep(s: dict, n: int, buffer_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """Area of overlap and of union, over the row height, of each of ``n`` groups; every segment names its group."""
+    rows = np.maximum(s["high"] - s["low"] + 1, 0)
+    which = np.repeat(np.arange(len(rows)), rows)
+    row = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows) + s["low"][which]
+    at = (s["band"][which] * _BAND + row + 0.5) * (buffer_m / _SCANLINES_PER_BUFFER)
+    low, high = _interval_ends({c: s[c][which] for c in ("x", "y", "x2", "y2")}, at, buffer_m)
+    kept = ~np.isnan(low)
+    line = (s["group"][which] * _BAND + row)[kept]
+    x, line = np.concatenate([low[kept], high[kept]]), np.concatenate([line, line])
+    step = np.repeat([1, -1], len(x) // 2)
+    of_a = np.tile((s["side"][which] == 1)[kept], 2)
+    # Events at one x may come in any order: what lies between them has no width. Past a scanline's last event nothing is open.
+    order = np.lexsort((x, line.astype(np.uint16) if n * _BAND < 1 << 16 else line))
+    x, line, step, of_a = x[order], line[order], step[order], of_a[order]
+    in_a, in_b = np.cumsum(np.where(of_a, step, 0)) > 0, np.cumsum(np.where(of_a, 0, step)) > 0
+    width = np.append(np.diff(x), 0.0)
+    return tuple(np.bincount(line // _BAND, np.where(inside, width, 0.0), n) for inside in (in_a & in_b, in_a | in_b))
+
+
+def _band_areas(batches: Iterator[pa.RecordBatch], buffer_m: float, most: int = _SWEPT) -> Iterator[pa.RecordBatch]:
+    """``both, any, has_a, has_b`` of each band; ``most`` scanlines at a time, of some bands or some rows of a full one."""
+    for batch in batches:
+        n, key, listed = batch.num_rows, batch.column(0), batch.column("segments")
+        ends = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+        flat = listed.flatten()
+        s = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("side", "x", "y", "x2", "y2", "low", "high")}
+        group = np.repeat(np.arange(n), np.diff(ends))
+        s["band"] = batch.column("band").to_numpy(zero_copy_only=False)[group]
+        both, union, has = np.zeros(n), np.zeros(n), np.zeros((2, n), dtype=bool)
+        for side in (1, 2):
+            has[side - 1][group[s["side"] == side]] = True
+        start = 0
+        while start < n:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most // _BAND, "right")) - 1)
+            part = {c: v[ends[start]:ends[stop]] for c, v in s.items()}
+            part["group"] = group[ends[start]:ends[stop]] - start
+            step = max(1, min(_BAND, most // max(1, len(part["group"]))))
+            for row in range(0, _BAND, step):
+                slab = {**part, "low": np.maximum(part["low"], row), "high": np.minimum(part["high"], row + step - 1)}
+                for total, found in zip((both, union), _sweep(slab, stop - start, buffer_m)):
+                    total[start:stop] += found
+            start = stop
+        yield pa.RecordBatch.from_arrays(
+            [key, pa.array(both), pa.array(union), pa.array(has[0]), pa.array(has[1])],
+            names=[batch.schema.names[0], "both", "any", "has_a", "has_b"])
 
 
 def buffered_iou(a: DataFrame, b: DataFrame, key: str, buffer_m: float = BUFFER_M) -> DataFrame:
@@ -135,28 +191,13 @@ def buffered_iou(a: DataFrame, b: DataFrame, key: str, buffer_m: float = BUFFER_
     """
     if buffer_m <= 0:
         raise ValueError("buffer_m must be > 0")
-    points = a.select(key, "lat", "lon").unionByName(b.select(key, "lat", "lon"))
-    origin = shared_origin(points, [key])
-    swept = _swept_intervals(a, origin, key, buffer_m, 1).unionByName(_swept_intervals(b, origin, key, buffer_m, 2))
-    events = swept.select(key, "row", F.explode(F.array(
-        F.struct(F.col("lo").alias("x"), F.col("side"), F.lit(1).alias("step")),
-        F.struct(F.col("hi").alias("x"), F.col("side"), F.lit(-1).alias("step")),
-    )).alias("_e")).select(
-        key, "row", "_e.x", F.when(F.col("_e.side") == 1, F.col("_e.step")).otherwise(0).alias("da"),
-        F.when(F.col("_e.side") == 2, F.col("_e.step")).otherwise(0).alias("db"),
-    )
-    # Events at one x may come in any order: what lies between them has no width.
-    along = Window.partitionBy(key, "row").orderBy("x")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    spans = events.select(
-        key, "row", (F.lead("x").over(along) - F.col("x")).alias("width"),
-        (F.sum("da").over(upto) > 0).alias("in_a"), (F.sum("db").over(upto) > 0).alias("in_b"),
-    )
-    areas = spans.groupBy(key).agg(
-        F.sum(F.when(F.col("in_a") & F.col("in_b"), F.col("width")).otherwise(0.0)).alias("both"),
-        F.sum(F.when(F.col("in_a") | F.col("in_b"), F.col("width")).otherwise(0.0)).alias("any"),
-        F.max("in_a").alias("has_a"), F.max("in_b").alias("has_b"),
-    )
+    sided = [line.select(key, F.lit(side).alias("side"), "seq", "lat", "lon") for side, line in ((1, a), (2, b))]
+    points = sided[0].unionByName(sided[1])
+    banded = _band_segments(points, key, buffer_m)
+    schema = T.StructType([banded.schema[key], *(T.StructField(c, T.DoubleType()) for c in ("both", "any")),
+                           *(T.StructField(c, T.BooleanType()) for c in ("has_a", "has_b"))])
+    areas = banded.mapInArrow(partial(_band_areas, buffer_m=buffer_m), schema).groupBy(key).agg(
+        F.sum("both").alias("both"), F.sum("any").alias("any"), F.max("has_a").alias("has_a"), F.max("has_b").alias("has_b"))
     ratio = F.when(F.col("has_a") & F.col("has_b") & (F.col("any") > 0), F.col("both") / F.nullif(F.col("any"), F.lit(0.0))).otherwise(0.0)
     return points.select(key).distinct().join(areas.select(key, ratio.alias("iou")), key, "left").select(
         key, F.coalesce("iou", F.lit(0.0)).alias("iou")

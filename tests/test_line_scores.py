@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,20 @@ def test_rescaling_scores_the_chosen_lines_alone(spark, monkeypatch):
     best, lost = routes.rescale_iterate(asked, outlines, router)
     assert [(r["iteration"], r["distance_m"], r["fidelity"]) for r in best.collect()] == [(1, 1000.0, 0.0)]
     assert scored == [["1/1"]] and lost.isEmpty()
+
+
+def test_scanlines_are_not_shuffled(spark, monkeypatch):
+    """A segment is shuffled, its scanlines are not; areas are the same however few are made at a time."""
+    rng = random.Random(5)
+    walk = lambda k: [(k, n, 51 + n * 4e-4 + rng.uniform(0, 4e-4), rng.uniform(0, 1e-3)) for n in range(12)]
+    schema = "k string, seq long, lat double, lon double"
+    a, b = (spark.createDataFrame([r for k in "uvw" for r in walk(k)] + [("still", n, 51.0, 0.0) for n in (0, 1)] + more, schema)
+            for more in ([("lone", 0, 51.0, 0.0)], [("gap", 0, 51.0, 0.0), ("gap", 1, None, 0.0)]))
+    found = similarity.buffered_iou(a, b, "k")
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("row" in line.split("hashpartitioning")[1] for line in dealt)
+    whole = {r["k"]: r["iou"] for r in found.collect()}
+    monkeypatch.setattr(similarity, "_band_areas", partial(similarity._band_areas, most=50))
+    few = {r["k"]: r["iou"] for r in similarity.buffered_iou(a, b, "k").collect()}
+    assert whole.keys() == few.keys() == {"u", "v", "w", "still", "lone", "gap"} and (whole["still"], whole["lone"], whole["gap"]) == (1.0, 0.0, 0.0)
+    assert all(abs(whole[k] - few[k]) < 1e-12 for k in whole) and 0 < whole["u"] < 1
