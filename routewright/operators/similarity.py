@@ -27,6 +27,8 @@ _SCANLINES_PER_BUFFER = 8
 # Scanlines of a band, and intervals on scanlines that a task makes at a time.
 _BAND = 64
 _SWEPT = 1 << 18
+# Points of line pairs that are coupled side by side.
+_COUPLED = 1 << 16
 
 
 def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float = DENSIFY_M) -> DataFrame:
@@ -48,26 +50,38 @@ def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float
         ).otherwise(score).alias("fidelity")))
 
 
-def _frechet(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> float:
-    """Coupling distance by anti-diagonals: each depends only on the two before it, so memory stays linear."""
-    n, m = len(ax), len(bx)
+def _frechet(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Coupling distances of line pairs with equal numbers of points (point, pair).
+
+    By anti-diagonals: each depends only on the two before it, so memory stays linear.
+    """
+    (n, pairs), m = ax.shape, len(bx)
     if n == 0 or m == 0:
-        return float("inf")
-    older = newer = np.full(n + 1, np.inf)
+        return np.full(pairs, np.inf)
+    older = newer = np.full((n + 1, pairs), np.inf)
     for s in range(n + m - 1):
-        i = np.arange(max(0, s - m + 1), min(n, s + 1))
-        j = s - i
-        d = np.hypot(ax[i] - bx[j], ay[i] - by[j])
+        low, high = max(0, s - m + 1), min(n, s + 1)
+        back = slice(m - 1 - (s - low), m - (s - high + 1))  # the points s - i of the reversed line
+        d = np.hypot(ax[low:high] - bx[::-1][back], ay[low:high] - by[::-1][back])
         # Slot i+1 holds cell (i, s-i); slot 0 stands for "no row before".
-        reach = np.minimum(np.minimum(newer[i], newer[i + 1]), older[i])
-        current = np.full(n + 1, np.inf)
-        current[i + 1] = d if s == 0 else np.maximum(reach, d)
+        reach = np.minimum(np.minimum(newer[low:high], newer[low + 1:high + 1]), older[low:high])
+        current = np.full((n + 1, pairs), np.inf)
+        current[low + 1:high + 1] = d if s == 0 else np.maximum(reach, d)
         older, newer = newer, current
-    return float(newer[n])
+    return newer[n]
 
 
 def _frechet_batch(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([_frechet(*[np.asarray(v, dtype=float) for v in row]) for row in zip(ax, ay, bx, by)])
+    """Pairs of equal sizes are coupled side by side, some ``_COUPLED`` points at a time; a longer pair alone."""
+    found, alike = np.empty(len(ax)), {}
+    for at, (a, b) in enumerate(zip(ax, bx)):
+        alike.setdefault((len(a), len(b)), []).append(at)
+    for (n, m), places in alike.items():
+        step = max(1, _COUPLED // max(1, n + m))
+        for start in range(0, len(places), step):
+            some = places[start:start + step]
+            found[some] = _frechet(*[np.stack([np.asarray(line.iloc[at], dtype=float) for at in some], axis=1) for line in (ax, ay, bx, by)])
+    return pd.Series(found)
 
 
 def discrete_frechet(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -106,3 +106,24 @@ def test_scanlines_are_not_shuffled(spark, monkeypatch):
     few = {r["k"]: r["iou"] for r in similarity.buffered_iou(a, b, "k").collect()}
     assert whole.keys() == few.keys() == {"u", "v", "w", "still", "lone", "gap"} and (whole["still"], whole["lone"], whole["gap"]) == (1.0, 0.0, 0.0)
     assert all(abs(whole[k] - few[k]) < 1e-12 for k in whole) and 0 < whole["u"] < 1
+
+
+def test_pairs_of_equal_sizes_are_coupled_together(monkeypatch):
+    rng = random.Random(7)
+    line = lambda n: [rng.uniform(0, 9) for _ in range(n)]
+    sizes = [(3, 5), (0, 2), (3, 5), (5, 3), (1, 1), (3, 5), (2, 0), (1, 4)]
+    rows = [(line(n), line(n), line(m), line(m)) for n, m in sizes]
+    calls, couple = [], similarity._frechet
+    monkeypatch.setattr(similarity, "_COUPLED", 16)
+    monkeypatch.setattr(similarity, "_frechet", lambda *arrays: (calls.append(arrays[0].shape), couple(*arrays))[1])
+    got = list(similarity._frechet_batch(*(similarity.pd.Series(list(side)) for side in zip(*rows))))
+
+    def coupled(ax, ay, bx, by):
+        best = {}
+        for i in range(len(ax)):
+            for j in range(len(bx)):
+                before = [best[q] for q in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if q in best]
+                best[i, j] = max(min(before, default=0.0), float(similarity.np.hypot(ax[i] - bx[j], ay[i] - by[j])))
+        return best.get((len(ax) - 1, len(bx) - 1), math.inf)
+
+    assert got == [coupled(*row) for row in rows] and calls.count((3, 2)) == 1 and calls.count((3, 1)) == 1
