@@ -123,10 +123,11 @@ def nearest(
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, near_m: float = 250.0) -> DataFrame:
-    """Nearest street node (id, lat, lon) of each point (src_id, lat, lon) by great circle."""
-    return nearest(
-        points, nodes.select(F.col("id").alias("t_id"), "lat", "lon"), (), geo.MATCH_RADIUS_M, near_m
-    ).select("src_id", F.col("t_id").alias("node"), F.col("distance").alias("distance_m"))
+    """Nearest street node (id, lat, lon) of each point (src_id, lat, lon) by great circle. Equal places are searched once."""
+    places = points.select("lat", "lon").distinct().withColumn("src_id", F.struct("lat", "lon"))
+    found = nearest(places, nodes.select(F.col("id").alias("t_id"), "lat", "lon"), (), geo.MATCH_RADIUS_M, near_m)
+    return points.select("src_id", "lat", "lon").join(as_large(found.select("src_id.lat", "src_id.lon", "t_id", "distance")), ["lat", "lon"]).select(
+        "src_id", F.col("t_id").alias("node"), F.col("distance").alias("distance_m"))
 
 
 def fold_points(points: DataFrame, key: str) -> DataFrame:

@@ -127,3 +127,18 @@ def test_pairs_of_equal_sizes_are_coupled_together(monkeypatch):
         return best.get((len(ax) - 1, len(bx) - 1), math.inf)
 
     assert got == [coupled(*row) for row in rows] and calls.count((3, 2)) == 1 and calls.count((3, 1)) == 1
+
+
+def test_equal_places_are_snapped_once(spark, monkeypatch):
+    searched, search = [], nearest.nearest
+
+    def counted(src, *args):
+        searched.append(src.count())
+        return search(src, *args)
+
+    monkeypatch.setattr(nearest, "nearest", counted)
+    rows = [((r, n), 51.0 + n * 0.001, 0.0 if r else -0.0) for r in range(5) for n in range(3)] + [((9, 0), None, 0.0)]
+    points = spark.createDataFrame(rows, "src_id struct<r:long,n:long>, lat double, lon double")
+    nodes = spark.createDataFrame([(n, 51.0 + n * 0.001, 0.0001) for n in range(2)], "id long, lat double, lon double")
+    got = {tuple(r["src_id"]): r["node"] for r in nearest.snap_to_nodes(points, nodes).collect()}
+    assert got == {(r, n): min(n, 1) for r in range(5) for n in range(3)} and searched == [4]
