@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from routewright.functions import geo, scores
-from routewright.operators.lines import as_lines, box_diagonal, densify, shared_origin
-from routewright.operators.nearest import fold_points, mean_nearest_folded
+from routewright.operators.lines import as_lines, shared_origin
 from routewright.operators.scans import segments
-from routewright.session import cut_lineage, spread, staged_rounds
+from routewright.operators.traces import mean_distances
+from routewright.session import cut_lineage, spread
 
 # Densify step, buffers and soft limit in metres.
 DENSIFY_M = 25.0
@@ -34,20 +34,23 @@ _COUPLED = 1 << 16
 def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float = DENSIFY_M) -> DataFrame:
     """Half the sum of both mean nearest distances over the ideal line's box diagonal; lower is better.
 
-    Inputs (key, seq, lat, lon). No points on either side, or no diagonal, gives infinity.
+    Inputs (key, seq, lat, lon). No points on either side, or no diagonal, gives infinity; lines without a key never meet.
+    Vertices are shuffled once by line; the points between them are made and searched in the tasks, a pair of lines in one task.
     """
-    diagonal = box_diagonal(ideal, [key])
+    sided = [line.select(key, F.lit(side).alias("side"), F.col("seq").cast("long").alias("seq"), "lat", "lon")
+             for side, line in ((0, ideal), (1, snapped))]
+    vertices = spread(sided[0].unionByName(sided[1]), key)
+    lat, lon = (F.when(F.col("side") == 0, F.col(c)) for c in ("lat", "lon"))
+    diagonal = geo.haversine(F.min(lat), F.min(lon), F.max(lat), F.max(lon), geo.OUTLINE_RADIUS_M)
+    pairs = vertices.groupBy(key, F.when(F.col(key).isNull(), F.col("side")).alias("_apart")).agg(
+        diagonal.alias("diagonal_m"), F.collect_list(F.struct("side", "seq", "lat", "lon")).alias("vertices")).drop("_apart")
+    schema = T.StructType([pairs.schema[key], *(T.StructField(c, T.DoubleType()) for c in ("diagonal_m", "there_m", "back_m"))])
+    means = pairs.mapInArrow(partial(mean_distances, step_m=step_m), schema)
     infinite = F.lit(float("inf"))
     score = 0.5 * (F.col("there_m") + F.col("back_m")) / F.nullif(F.col("diagonal_m"), F.lit(0.0))
-    # The points between are many and the scores few: only these are kept.
-    with staged_rounds(ideal.sparkSession):
-        a, b = fold_points(densify(ideal, [key], step_m), key), fold_points(densify(snapped, [key], step_m), key)
-        there = mean_nearest_folded(a, b, key).withColumnRenamed("mean_nearest_m", "there_m")
-        back = mean_nearest_folded(b, a, key).withColumnRenamed("mean_nearest_m", "back_m")
-        joined = there.join(back, key, "full_outer").join(diagonal, key, "left")
-        return cut_lineage(joined.select(key, F.when(
-            F.col("there_m").isNull() | F.col("back_m").isNull() | ~(F.col("diagonal_m") > 0), infinite
-        ).otherwise(score).alias("fidelity")))
+    return cut_lineage(means.select(key, F.when(
+        F.col("there_m").isNull() | F.col("back_m").isNull() | ~(F.col("diagonal_m") > 0), infinite
+    ).otherwise(score).alias("fidelity")))
 
 
 def _frechet(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from routewright.operators import nearest, routes, similarity
+from routewright.operators import nearest, routes, similarity, traces
 from routewright.session import shared_dir
 
 
@@ -142,3 +142,68 @@ def test_equal_places_are_snapped_once(spark, monkeypatch):
     nodes = spark.createDataFrame([(n, 51.0 + n * 0.001, 0.0001) for n in range(2)], "id long, lat double, lon double")
     got = {tuple(r["src_id"]): r["node"] for r in nearest.snap_to_nodes(points, nodes).collect()}
     assert got == {(r, n): min(n, 1) for r in range(5) for n in range(3)} and searched == [4]
+
+
+def dense(line, step):
+    """Points of a line as lists of (lat, lon); a vertex without a place is none, and nothing lies between it and the next."""
+    out = line[:1]
+    for a, b in zip(line, line[1:]):
+        n = 1 if None in (*a, *b) else max(1, math.ceil(hav(a, b, 6371008.8) / step))
+        out += [b if n == 1 else tuple(p + (q - p) * i / n for p, q in zip(a, b)) for i in range(1, n + 1)]
+    return [p for p in out if None not in p]
+
+
+def traced_lines():
+    rng = random.Random(11)
+    walk = lambda lat, lon, n, d: [(lat + rng.uniform(-d, d), (lon + rng.uniform(-d, d) + 180) % 360 - 180) for _ in range(n)]
+    return {
+        "near": (walk(51, 0, 9, 0.01), walk(51, 0, 12, 0.01)), "far": (walk(51, 0, 3, 0.01), walk(-20, 100, 4, 0.01)),
+        "date line": (walk(-10, 179.9995, 5, 0.002), walk(-10, 179.9995, 4, 0.002)), "pole": (walk(89.99, 20, 3, 0.005), walk(89.99, -160, 3, 0.005)),
+        "same": ([(51.0, 0.0), (51.01, 0.0)], [(51.0, 0.0), (51.01, 0.0)]), "gap": ([(51.0, 0.0), (None, 0.001), (51.01, 0.01)], [(51.0, 0.0), (51.0, None)]),
+        "short": ([(51.0, 0.0)], walk(51, 0, 3, 0.01)), "round": ([(51.0, 0.0), (51.0, 1e-5)] * 4, [(51 + 0.01 * math.sin(t), 0.016 * math.cos(t)) for t in range(40)]),
+    }
+
+
+def mean_distances(step, **sizes):
+    lines = traced_lines()
+    rows = [[{"side": side, "seq": n, "lat": lat, "lon": lon} for side in (1, 0) for n, (lat, lon) in reversed(list(enumerate(pair[side])))]
+            for pair in lines.values()]
+    vertex = similarity.pa.struct([("side", "int32"), ("seq", "int64"), ("lat", "float64"), ("lon", "float64")])
+    listed = similarity.pa.array(rows, similarity.pa.list_(vertex))
+    batch = similarity.pa.RecordBatch.from_arrays([similarity.pa.array(list(lines)), listed], names=["k", "vertices"])
+    return {r["k"]: (r["there_m"], r["back_m"]) for out in traces.mean_distances(iter([batch]), step) for r in out.to_pylist()}
+
+
+def test_distances_of_traced_lines_match_brute_force(monkeypatch):
+    found = mean_distances(25.0)
+    for k, (a, b) in traced_lines().items():
+        a, b = dense(a, 25.0), dense(b, 25.0)
+        for got, src, dst in zip(found[k], (a, b), (b, a)):
+            want = sum(min(hav(p, q, 6371008.8) for q in dst) for p in src) / len(src)
+            assert abs(got - want) < 1e-6, (k, got, want)
+    assert found["same"] == (0.0, 0.0)
+    for name, size in {"_LEAF": 2, "_FAN": 2, "_DENSE": 40, "_PAIRS": 3, "_MEASURED": 2}.items():
+        monkeypatch.setattr(traces, name, size)
+    few = mean_distances(25.0)
+    assert all(abs(x - y) < 1e-6 for k in found for x, y in zip(found[k], few[k]))
+
+
+def test_points_between_vertices_are_neither_shuffled_nor_written(spark, monkeypatch):
+    """Vertices are shuffled once by line; only the scores are written."""
+    plans, cut = [], similarity.cut_lineage
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(similarity, "cut_lineage", written)
+    monkeypatch.setattr(nearest, "cut_lineage", written)
+    lines = traced_lines()
+    schema = "k string, seq long, lat double, lon double"
+    a, b = (spark.createDataFrame([(k, n, *p) for k, pair in lines.items() for n, p in enumerate(pair[side])] + more, schema)
+            for side, more in ((0, [("lost", 0, 51.0, 0.0), (None, 0, 51.0, 0.0), (None, 1, 51.1, 0.0)]), (1, [(None, 0, 51.0, 0.0)])))
+    got = [(r["k"], r["fidelity"]) for r in similarity.shape_fidelity(a, b, "k").collect()]
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning(k") == plans[0].count("Exchange") == 1 and "Generate" not in plans[0]
+    assert sorted(str(k) for k, score in got if math.isinf(score)) == ["None", "None", "lost", "short"]
+    scores = dict(got)
+    assert scores["same"] == 0 and scores["far"] > 1000 and 0 < scores["gap"] < 1
