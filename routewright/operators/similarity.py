@@ -37,9 +37,10 @@ def shape_fidelity(ideal: DataFrame, snapped: DataFrame, key: str, step_m: float
     Inputs (key, seq, lat, lon). No points on either side, or no diagonal, gives infinity; lines without a key never meet.
     Vertices are shuffled once by line; the points between them are made and searched in the tasks, a pair of lines in one task.
     """
-    sided = [line.select(key, F.lit(side).alias("side"), F.col("seq").cast("long").alias("seq"), "lat", "lon")
+    # Each line is dealt by itself: what it comes from is then not held in one task with what the other comes from.
+    sided = [spread(line.select(key, F.lit(side).alias("side"), F.col("seq").cast("long").alias("seq"), "lat", "lon"), key)
              for side, line in ((0, ideal), (1, snapped))]
-    vertices = spread(sided[0].unionByName(sided[1]), key)
+    vertices = sided[0].unionByName(sided[1])
     lat, lon = (F.when(F.col("side") == 0, F.col(c)) for c in ("lat", "lon"))
     diagonal = geo.haversine(F.min(lat), F.min(lon), F.max(lat), F.max(lon), geo.OUTLINE_RADIUS_M)
     pairs = vertices.groupBy(key, F.when(F.col(key).isNull(), F.col("side")).alias("_apart")).agg(
